@@ -1,9 +1,8 @@
 """Exact ids of a byte-level BPE tokenizer file, pre-token by pre-token with a bounded memo.
 
 The library's own `model.tokenize` gives the ids of each pre-token the first time it is seen; repeated
-pre-tokens cost one dictionary lookup. Texts with characters outside common Latin text and punctuation,
-where two regular-expression libraries might class a character differently, and texts that hold an added
-token's string go through the library whole.
+pre-tokens cost one dictionary lookup. Texts with characters outside common Latin text and punctuation and
+texts that hold an added token's string go through the library whole.
 """
 
 from __future__ import annotations
@@ -13,8 +12,10 @@ import re
 import numpy as np
 
 _memo: dict[str, "ByteBpe"] = {}
-#: Pre-tokens kept per worker process: at about 200 bytes each, some 80 MB.
-MEMO_LIMIT = 400_000
+#: Pre-tokens kept per worker process: at about 200 bytes each, some 100 MB.
+MEMO_LIMIT = 500_000
+#: All letters up to U+024F.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -27,15 +28,15 @@ def byte_alphabet() -> dict[int, str]:
 
 class ByteBpe:
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        # the byte-level pre-tokenizer's classes, spelled out for the characters that whole() lets through
+        self.find = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+").findall
         self.alphabet = byte_alphabet()
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[^\t\n\r -~¡-ɏ‐-…€]", *map(re.escape, added)])).search
+        self.whole = re.compile("|".join(["[^\t\n\r -~¡-±´-¸º»¿-ɏ‐-…€]", *map(re.escape, added)])).search
         self.memo: dict[str, bytes] = {}
 
     def _new(self, token: str) -> bytes:
