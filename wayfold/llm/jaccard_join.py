@@ -16,9 +16,9 @@ n - T + 1 shortest lists makes a candidate.
    two classes or more. Pairs that the position and size bounds exclude are never built. A list gives a
    star (each class with one other), not all its pairs.
 4. Probe: the two sets of a candidate meet by joins, and the long lists are probed by binary search.
-5. Classes joined so far form components. Lists that still hold several components go round again: a
-   star from another leader, then all remaining pairs across components, so that no link that could
-   join components is missed. Pairs inside a component are never built, which keeps a group of n near
+5. Classes joined so far form components. Lists that still hold several components go round again: each
+   class with eight others of other components, then all remaining pairs across components, so that no
+   link that could join components is missed. Pairs inside a component are never built, which keeps a group of n near
    copies linear.
 
 Nulls and edges: a null or wordless text has no shingles and links with nothing; fewer words than a
@@ -40,6 +40,8 @@ from wayfold.llm.components import components
 from wayfold.llm.words import mix, word_bounds, word_hashes
 
 _NO_BOUND = 65535
+#: Bits of a set's parity summary, and the list length from which pairs are first compared by it.
+BITS, SUMMARISED = 1024, 32
 _rng = np.random.default_rng(5)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -132,6 +134,12 @@ def long_lists(docs: DataFrame, size: int, bits: int, at_least: int, max_long: i
     return np.sort(found.where(F.col("df") > at_least).select("key").toPandas()["key"].to_numpy(np.uint64))
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """BITS bits, each the parity of the shingles that hash to it. Two sets differ in at least as many shingles
+    as their bits do."""
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def _member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(len(x), bool)
@@ -146,7 +154,7 @@ def set_class(s: np.ndarray) -> np.uint64:
 
 
 def signatures(docs: DataFrame, size: int, percent: int, bits: int, long: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, class, prefix (shingles of the shortest lists in list order, 8 bytes each)."""
+    """doc_id, n_shingles, class, prefix (shingles of the shortest lists in list order, 8 bytes each), summary."""
     shared = docs.sparkSession.sparkContext.broadcast(long)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,26 +163,29 @@ def signatures(docs: DataFrame, size: int, percent: int, bits: int, long: np.nda
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets, size)
                 flags = _member(long, _keys(np.concatenate(sets), bits))
-                n, cls, prefix, at = [], [], [], 0
+                n, cls, prefix, summary, at = [], [], [], [], 0
                 for s in sets:
                     m = len(s)
                     f = flags[at : at + m]
                     at += m
                     n.append(m)
+                    summary.append(parity_bits(s))
                     cls.append(set_class(s) if m else np.uint64(0))
                     k = m - (percent * m + 99) // 100 + 1 if m else 0
                     if f[: 2 * k].any():
                         prefix.append(np.concatenate([s[~f][:k], s[f][:k]])[:k].tobytes())
                     else:
                         prefix.append(s[:k].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(prefix, pa.binary())], names=["doc_id", "n_shingles", "class", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), pa.array(summary, pa.binary())], names=["doc_id", "n_shingles", "class", "prefix", "summary"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class long, prefix binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class long, prefix binary, summary binary")
 
 
-def candidates(sigs: DataFrame, percent: int, bits: int, salt: int, every: bool) -> DataFrame:
+def candidates(sigs: DataFrame, percent: int, bits: int, salt: int, leaders: int) -> DataFrame:
     """sigs (n_shingles, class, comp, prefix) -> distinct pairs (a, b) of classes of different comp that share
-    a short list and that position and size do not exclude; a star per list, or every such pair."""
+    a short list and that position and size do not exclude: each class with that many others of a list, in
+    an order that salt sets, or (leaders 0) with all. In the latter case pairs of lists longer than SUMMARISED
+    are built only if the sets' parity summaries allow the threshold, which never excludes a true pair."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +217,7 @@ def candidates(sigs: DataFrame, percent: int, bits: int, salt: int, every: bool)
                     names=["bucket", "keys", "cls", "comp", "sizes"],
                 )
 
-    def lists(table: pa.Table) -> pa.Table:
+    def lists(table: pa.Table, whole: bool = False) -> pa.Table:
         cls = np.frombuffer(b"".join(table["cls"].to_pylist()), np.int64)
         comp = np.frombuffer(b"".join(table["comp"].to_pylist()), np.int64) if salt else cls
         m = [len(x) // 8 for x in table["cls"].to_pylist()]
@@ -220,6 +231,11 @@ def candidates(sigs: DataFrame, percent: int, bits: int, salt: int, every: bool)
         keys, cls, comp, n, most = keys[new], cls[new], comp[new], n[new], most[new]
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         end = np.append(at[1:], len(keys))
+        if whole:
+            several = np.minimum.reduceat(comp, at) < np.maximum.reduceat(comp, at)
+            use = np.repeat(several & (end - at > SUMMARISED), end - at)
+            named = (int(table["bucket"][0].as_py()) << 28) | keys.astype(np.int64)
+            return pa.table({"list": named[use], "class": cls[use], "comp": comp[use], "n": n[use], "most": most[use]})
         left, right = [], []
         two = at[end - at == 2]
         ok = (comp[two] != comp[two + 1]) & (n[two] <= most[two + 1]) & (n[two + 1] <= most[two])
@@ -227,29 +243,42 @@ def candidates(sigs: DataFrame, percent: int, bits: int, salt: int, every: bool)
         right.append(cls[two[ok] + 1])
         for a, b in zip(at[end - at > 2].tolist(), end[end - at > 2].tolist()):
             c, g, s, t = cls[a:b], comp[a:b], n[a:b], most[a:b]
-            if salt and (g == g[0]).all():
+            if salt and (g == g[0]).all() or not leaders and b - a > SUMMARISED:
                 continue
             if salt:
                 order = np.argsort(mix(c.view(np.uint64) ^ np.uint64(salt)))
                 c, g, s, t = c[order], g[order], s[order], t[order]
-            free = np.ones(len(c), bool)
+            free = np.full(len(c), leaders or len(c))
             for i in range(len(c) - 1):
-                fit = (g[i + 1 :] != g[i]) & (s[i + 1 :] <= t[i]) & (s[i] <= t[i + 1 :])
-                if not every:
-                    fit &= free[i + 1 :]
-                if fit.any():
-                    other = c[i + 1 :][fit]
-                    left.append(np.full(len(other), c[i]))
-                    right.append(other)
-                    if not every:
-                        free[i + 1 :][fit] = False
-                if not every and not free[i + 1 :].any():
-                    break
+                fit = np.flatnonzero((free[i + 1 :] > 0) & (g[i + 1 :] != g[i]) & (s[i + 1 :] <= t[i]) & (s[i] <= t[i + 1 :])) + i + 1
+                if len(fit):
+                    left.append(np.full(len(fit), c[i]))
+                    right.append(c[fit])
+                    free[fit] -= 1
         x, y = np.concatenate(left), np.concatenate(right)
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return sigs.select("n_shingles", "class", "comp", "prefix").mapInArrow(blocks, "bucket int, keys binary, cls binary, comp binary, sizes binary").groupBy("bucket").applyInArrow(lists, "a long, b long").distinct()
+    def summarised(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["class"].to_numpy())
+        c, g, s, t = (table[x].to_numpy()[order] for x in ("class", "comp", "n", "most"))
+        bits = np.frombuffer(b"".join(table["summary"].to_pylist()), np.uint64).reshape(len(c), -1)[order]
+        left, right = [c[:0]], [c[:0]]
+        for i in range(len(c) - 1):
+            fit = np.flatnonzero((g[i + 1 :] != g[i]) & (s[i + 1 :] <= t[i]) & (s[i] <= t[i + 1 :])) + i + 1
+            differ = np.bitwise_count(bits[fit] ^ bits[i]).sum(1, dtype=np.int64)
+            fit = fit[differ * (100 + percent) <= (100 - percent) * (s[fit] + s[i])]
+            left.append(np.full(len(fit), c[i]))
+            right.append(c[fit])
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    posted = sigs.select("n_shingles", "class", "comp", "prefix").mapInArrow(blocks, "bucket int, keys binary, cls binary, comp binary, sizes binary").groupBy("bucket")
+    pairs = posted.applyInArrow(lambda t: lists(t), "a long, b long")
+    if leaders == 0:
+        members = written(posted.applyInArrow(lambda t: lists(t, True), "list long, class long, comp long, n long, most long"), "long-lists")
+        summaries = sigs.join(sized_broadcast(written(members.select("class").distinct(), "members")), "class", "left_semi").groupBy("class").agg(F.first("summary").alias("summary"))
+        pairs = pairs.unionAll(members.join(summaries, "class").groupBy("list").applyInArrow(summarised, "a long, b long"))
+    return pairs.distinct()
 
 
 def class_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -294,18 +323,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, at_lea
     bits = max(6, min(16, int(chars / 6 / 1_000_000).bit_length()))  # about a million keys a bucket
     sigs = written(signatures(docs, size, percent, bits, long_lists(docs, size, bits, at_least, max_long)), "signatures")
     usable = sigs.where("n_shingles > 0 and doc_id is not null")
-    pairs = written(candidates(usable.withColumn("comp", F.col("class")), percent, bits, 0, False), "pairs")
+    pairs = written(candidates(usable.withColumn("comp", F.col("class")), percent, bits, 0, 1), "pairs")
     classes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     classes = sized_broadcast(written(classes, "classes"))
     suspects = written(usable.join(classes, "class", "left_semi"), "suspects")
     chosen = written(suspects.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "chosen")
     texts = docs.join(sized_broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    sets = written(class_sets(texts, size).dropDuplicates(["class"]), "sets")
+    sets = written(class_sets(texts, size), "sets")
+    if sets.count() > chosen.count():  # only if doc_ids repeat
+        sets = written(sets.dropDuplicates(["class"]), "sets")
     links = written(probed(pairs, sets, percent), "links")
-    for salt, every in ((1, False), (2, True)):
+    for salt, leaders in ((1, 8), (2, 0)):
         comps = written(components(links), "components")
-        comp = suspects.join(comps, suspects["class"] == comps["node"], "left").select("n_shingles", "class", "prefix", F.coalesce("root", "class").alias("comp"))
-        more = candidates(comp, percent, bits, salt, every).join(pairs, ["a", "b"], "left_anti")
+        comp = suspects.join(comps, suspects["class"] == comps["node"], "left").select("n_shingles", "class", "prefix", "summary", F.coalesce("root", "class").alias("comp"))
+        more = candidates(comp, percent, bits, salt, leaders).join(pairs, ["a", "b"], "left_anti")
         more = written(more, "pairs")
         ends = written(more.select(F.col("a").alias("class")).union(more.select("b")).distinct(), "ends")
         found = written(probed(more, sets.join(sized_broadcast(ends), "class", "left_semi"), percent), "links")
