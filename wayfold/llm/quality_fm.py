@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.llm.common import text_chunks
 from wayfold.llm.words import word_bounds, word_hashes
@@ -151,23 +152,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine:
     return fit(rows, np.array([r.label for r in found], float))
 
 
-def scores(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, and score, for every row by its text."""
+def scores(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """docs with the score of every row's text added as column name."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in text_chunks(batch.column("_scored"), 1 << 20):
-                z, _ = shared.value.logits(*text_features(data, at))
+            for lo, hi, data, offsets in text_chunks(batch.column(at), 1 << 20):
+                z, _ = shared.value.logits(*text_features(data, offsets))
                 rows = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*rows.select(keep).columns, pa.array(_sigmoid(z.astype(float)))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_sigmoid(z.astype(float)))], names=[*rows.schema.names, name])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_scored"))
-    schema = rows.drop("_scored").schema.add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 6000) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, score, predicted."""
-    rows = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, sample), ["doc_id"])
+    rows = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, sample))
     return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -33,20 +33,69 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.recompress import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), size=50)
+
+
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.quality_fm import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=1, length=2048)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.bpe_count import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE), limit=4096)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.iblt import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_jaccard_join, op5_packing, op8_token_counts)
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_jaccard_join,
+        op3_recompression,
+        op4_quality_fm,
+        op5_packing,
+        op6_secret_scan,
+        op7_mixing,
+        op8_token_counts,
+        op9_fingerprints,
+        op10_embedding_dedup,
+    )
 }
 
+#: No operator's full result can be said in SQL; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {}

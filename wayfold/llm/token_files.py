@@ -27,10 +27,10 @@ from wayfold.llm.bpe_encode import encoder
 from wayfold.llm.common import part_offsets, work_path
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
-#: Row groups of about 32 MB and pages of 256 KB keep a selective read small; the dictionary page may
+#: Row groups of about 16 MB and pages of 256 KB keep a selective read small; the dictionary page may
 #: hold the whole vocabulary.
 OPTIONS = {
-    "parquet.block.size": str(32 << 20),
+    "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.dictionary.page.size": str(1 << 20),
     "parquet.enable.dictionary": "true",
@@ -46,8 +46,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                rows = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 256):
+                rows = batch.slice(lo, 256)
                 ids = [encode(t) + end for t in rows.column(1).to_pylist()]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.zeros(len(n) + 1, np.int32)
