@@ -12,8 +12,8 @@ import re
 import numpy as np
 
 _memo: dict[str, "ByteBpe"] = {}
-#: Pre-tokens kept per worker process: at about 200 bytes each, some 60 MB.
-MEMO_LIMIT = 300_000
+#: Pre-tokens kept per worker process: at about 200 bytes each, some 120 MB.
+MEMO_LIMIT = 600_000
 #: All letters up to U+024F.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 
@@ -26,6 +26,19 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memo(dict):
+    """Values by key, made on the first use and kept up to MEMO_LIMIT."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) < MEMO_LIMIT:
+            self[key] = value
+        return value
+
+
 class ByteBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -37,14 +50,11 @@ class ByteBpe:
         self.alphabet = byte_alphabet()
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["[^\t\n\r -~¡-±´-¸º»¿-ɏ‐-…€]", *map(re.escape, added)])).search
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._new)
 
     def _new(self, token: str) -> bytes:
         mapped = token.encode().decode("latin1").translate(self.alphabet)
-        ids = np.array([x.id for x in self.model.tokenize(mapped)], "<u4").tobytes()
-        if len(self.memo) < MEMO_LIMIT:
-            self.memo[token] = ids
-        return ids
+        return np.array([x.id for x in self.model.tokenize(mapped)], "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -52,8 +62,7 @@ class ByteBpe:
             return b""
         if self.whole(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        tokens, get, new = self.find(text), self.memo.get, self._new
-        return b"".join([get(t) or new(t) for t in tokens])
+        return b"".join(map(self.memo.__getitem__, self.find(text)))
 
 
 def encoder(path: str) -> ByteBpe:

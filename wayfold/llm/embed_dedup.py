@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import part_offsets, written
+from wayfold.llm.common import part_offsets, small_batches, written
 from wayfold.llm.components import components
 
 
@@ -158,6 +158,7 @@ def link_counts(members: DataFrame, block: int, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 8, window: int = 50, chunk: int = 2000, block: int = 512, seed: int = 1) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept, one row per row."""
+    small_batches(vectors.sparkSession)
     rows = usable(vectors)
     placed = positions(keyed(rows, passes, seed), ["pass", "label", "dim", "key", "vec_id"])
     found = written(components(written(window_links(placed, window, chunk, threshold), "links")), "components")

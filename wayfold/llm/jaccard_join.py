@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import sized_broadcast, text_chunks, written
+from wayfold.llm.common import sized_broadcast, small_batches, text_chunks, written
 from wayfold.llm.components import components
 from wayfold.llm.words import mix, word_bounds, word_hashes
 
@@ -188,34 +188,44 @@ def candidates(sigs: DataFrame, percent: int, bits: int, salt: int, leaders: int
     are built only if the sets' parity summaries allow the threshold, which never excludes a true pair."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            n, cls, comp = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+            prefixes = [p for b in held for p in b.column(3).to_pylist()]
+            k = np.array([len(p) // 8 for p in prefixes], np.int64)
+            tok = np.frombuffer(b"".join(prefixes), np.uint64)
+            row = np.repeat(np.arange(len(k)), k)
+            place = np.arange(len(tok)) - np.repeat(np.cumsum(k) - k, k)
+            # with the occurrence at place i, a partner has at most (n - i) * (100 + p) / p - n shingles
+            most = np.minimum((n[row] - place) * (100 + percent) // percent - n[row], _NO_BOUND)
+            key = _keys(tok, bits)
+            order = np.argsort(key, kind="stable")
+            key, row, most = key[order], row[order], most[order]
+            cuts = np.searchsorted(key >> np.uint64(28), np.arange((1 << bits) + 1))
+            low = (key & np.uint64((1 << 28) - 1)).astype(np.uint32)
+            small = np.minimum(n, _NO_BOUND).astype(np.uint16)
+            some = [b for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
+            cut = lambda x, b: x[cuts[b] : cuts[b + 1]]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some, pa.int32()),
+                    pa.array([_pack(cut(low, b)) for b in some], pa.binary()),
+                    pa.array([cls[cut(row, b)].tobytes() for b in some], pa.binary()),
+                    pa.array([b"" if salt == 0 else comp[cut(row, b)].tobytes() for b in some], pa.binary()),
+                    pa.array([small[cut(row, b)].tobytes() + cut(most, b).astype(np.uint16).tobytes() for b in some], pa.binary()),
+                ],
+                names=["bucket", "keys", "cls", "comp", "sizes"],
+            )
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                rows = batch.slice(lo, 4096)
-                n, cls, comp = (rows.column(i).to_numpy() for i in range(3))
-                k = np.array([len(p) // 8 for p in rows.column(3).to_pylist()], np.int64)
-                tok = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64)
-                row = np.repeat(np.arange(len(k)), k)
-                place = np.arange(len(tok)) - np.repeat(np.cumsum(k) - k, k)
-                # with the occurrence at place i, a partner has at most (n - i) * (100 + p) / p - n shingles
-                most = np.minimum((n[row] - place) * (100 + percent) // percent - n[row], _NO_BOUND)
-                key = _keys(tok, bits)
-                order = np.argsort(key, kind="stable")
-                key, row, most = key[order], row[order], most[order]
-                cuts = np.searchsorted(key >> np.uint64(28), np.arange((1 << bits) + 1))
-                low = (key & np.uint64((1 << 28) - 1)).astype(np.uint32)
-                small = np.minimum(n, _NO_BOUND).astype(np.uint16)
-                some = [b for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
-                cut = lambda x, b: x[cuts[b] : cuts[b + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(some, pa.int32()),
-                        pa.array([_pack(cut(low, b)) for b in some], pa.binary()),
-                        pa.array([cls[cut(row, b)].tobytes() for b in some], pa.binary()),
-                        pa.array([b"" if salt == 0 else comp[cut(row, b)].tobytes() for b in some], pa.binary()),
-                        pa.array([small[cut(row, b)].tobytes() + cut(most, b).astype(np.uint16).tobytes() for b in some], pa.binary()),
-                    ],
-                    names=["bucket", "keys", "cls", "comp", "sizes"],
-                )
+            held.append(batch)
+            size += batch.nbytes
+            if size >= 8 << 20:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     def lists(table: pa.Table, whole: bool = False) -> pa.Table:
         cls = np.frombuffer(b"".join(table["cls"].to_pylist()), np.int64)
@@ -318,6 +328,7 @@ def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, at_least: int = 64, max_long: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row per row of docs."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, min(16, int(chars / 6 / 1_000_000).bit_length()))  # about a million keys a bucket

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import text_chunks
+from wayfold.llm.common import small_batches, text_chunks
 from wayfold.llm.words import word_bounds, word_hashes
 
 WORDS, BINS, FACTORS = 1 << 15, 16, 8
@@ -147,6 +147,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine:
+    small_batches(docs.sparkSession)
     found = sorted(labelled(docs, labels, sample).collect(), key=lambda r: (r.doc_id, r.label, bytes(r.feature)))
     rows = [(np.frombuffer(r.feature, np.int32), np.frombuffer(r.value, np.float32)) for r in found]
     return fit(rows, np.array([r.label for r in found], float))
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine:
 
 def scores(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     """docs with the score of every row's text added as column name."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     docs = docs.withColumn("text", F.col("text").cast("string"))
     at = docs.columns.index("text")

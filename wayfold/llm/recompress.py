@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import text_chunks, written
+from wayfold.llm.common import small_batches, text_chunks, written
 from wayfold.llm.words import mix, window_hashes, word_bounds, word_hashes
 
 ROUNDS, LONG_RUN = 4, 8
@@ -286,6 +286,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, with_text: bool = False) ->
     if size < 50:
         raise ValueError("four rounds are shown to meet in windows of 50 words or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     size_of = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = max(64, min(1 << 16, int(size_of / (6 << 20))))  # about 6 MB of text a group
     marks = written(reveal(docs, size, pieces, pieces), "marks")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import small_batches
+
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 #: Both rules take maximal runs and then drop short ones; the bounded forms find the same spans.
@@ -186,6 +188,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans. Narrow: no shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +210,7 @@ def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
 def redacted(docs: DataFrame, net: Network | None = None, mask: str = "[secret]") -> DataFrame:
     """docs with every span of text replaced by mask (overlapping spans as one) and n_chars, if there is such
     a column, recounted; other columns as they are. A null text stays null."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net or train())
     columns = docs.columns
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.bpe_encode import encoder
-from wayfold.llm.common import part_offsets, work_path
+from wayfold.llm.common import part_offsets, small_batches, work_path
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 #: Row groups of about 16 MB and pages of 256 KB keep a selective read small; the dictionary page may
@@ -35,7 +35,7 @@ OPTIONS = {
     "parquet.dictionary.page.size": str(1 << 20),
     "parquet.enable.dictionary": "true",
     "parquet.writer.version": "PARQUET_2_0",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
@@ -66,6 +66,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     """Write the token files and give their folder. ordered: rows run in ascending doc_id over the parts
     (range partitions sorted by doc_id, equal ids by text); else they stay where they are, with no shuffle."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or work_path(spark, "tokens")
     rows = docs.select("doc_id", "text")
     if ordered:

@@ -1,0 +1 @@
+"""Named queries over the domain views, with their SQL where SQL can say it."""
