@@ -64,7 +64,7 @@ _TITLE = "concat('<b>', substr(text, 1, 60), '</b>')"
 
 @query("str05_relevance", None)
 def _(spark, sf):
-    rows = t("documents")(spark, sf).selectExpr("doc_id", f"{_TITLE} AS title", "substr(text, 1, 400) AS body", "coalesce(get(split(trim(text), ' '), 1), '') AS name", "array(coalesce(get(split(trim(text), ' '), 2), ''), 'the') AS places")
+    rows = t("documents")(spark, sf).selectExpr("doc_id", f"{_TITLE} AS title", "text AS body", "coalesce(get(split(trim(text), ' '), 1), '') AS name", "array(coalesce(get(split(trim(text), ' '), 2), ''), 'the') AS places")
     return rows.select("doc_id", curation.relevance(F.col("name"), F.col("title"), F.col("body"), F.col("places")).alias("score"))
 
 
@@ -73,10 +73,10 @@ _NEAR = lambda x: f"(contains({_NORM(x)}, {_NORM('place')}) OR contains({_NORM(x
 
 
 @query("str06_relevance_substring", f"""SELECT doc_id, CASE WHEN {_NORM('name')} = '' OR NOT ({_PLAIN('title')} OR {_PLAIN('body')}) THEN 0 ELSE CASE WHEN {_PLAIN('title')} THEN 3 ELSE 1 END + CASE WHEN {_NEAR('title')} THEN 2 WHEN {_NEAR('body')} THEN 1 ELSE 0 END END AS score
- FROM (SELECT doc_id, {_TITLE} AS title, substr(text, 1, 400) AS body, coalesce(string_split(trim(text), ' ')[2], '') AS name, coalesce(string_split(trim(text), ' ')[3], '') AS place FROM documents)""")
+ FROM (SELECT doc_id, {_TITLE} AS title, text AS body, coalesce(string_split(trim(text), ' ')[2], '') AS name, coalesce(string_split(trim(text), ' ')[3], '') AS place FROM documents)""")
 def _(spark, sf):
     word = lambda i: f"coalesce(get(split(trim(text), ' '), {i}), '')"
-    rows = t("documents")(spark, sf).selectExpr("doc_id", f"{_TITLE} AS title", "substr(text, 1, 400) AS body", f"{word(1)} AS name", f"array({word(2)}, 'the') AS places")
+    rows = t("documents")(spark, sf).selectExpr("doc_id", f"{_TITLE} AS title", "text AS body", f"{word(1)} AS name", f"array({word(2)}, 'the') AS places")
     return rows.select("doc_id", curation.relevance(F.col("name"), F.col("title"), F.col("body"), F.col("places"), boundaries=False).alias("score"))
 
 
@@ -115,11 +115,11 @@ def _(spark, sf):
     return V.poi(spark, sf).select("poi_id", F.length(short).cast("long").alias("n")).where("n <= 2")
 
 
-@query("str20_code_fences", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events WHERE event_id % 6 = 0")
+@query("str20_code_fences", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events")
 def _(spark, sf):
     fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
     parsed = F.from_json(F.regexp_replace(fenced, r"^```[a-z]*\s*|\s*```$", ""), "k long")
-    return t("events")(spark, sf).where("event_id % 6 = 0").select("event_id", parsed["k"].alias("k"))
+    return t("events")(spark, sf).select("event_id", parsed["k"].alias("k"))
 
 
 @query("flt05_exclusion", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN upper(p_name) LIKE '%A%' AND p_type = 'STANDARD' THEN 'type' WHEN regexp_matches(lower(p_brand), 'brand#1') THEN 'brand' WHEN p_size > 40 THEN 'size' WHEN p_retailprice < 905 THEN 'price' END AS reason FROM part) GROUP BY reason")

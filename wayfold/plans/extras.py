@@ -35,10 +35,10 @@ def _(spark, sf):
     return points(spark, sf).join(F.broadcast(boxes(spark)), polygons.contains(F.col("ring"), F.col("x"), F.col("y"))).select("id", "code")
 
 
-@query("geo07_user_zone", f"SELECT request_id, min(code) AS code FROM v_request LEFT JOIN (VALUES {_VALUES}) b(code, x0, x1, y0, y1) ON u_lng >= x0 AND u_lng < x1 AND u_lat >= y0 AND u_lat < y1 GROUP BY request_id")
+@query("geo07_user_zone", f"SELECT request_id, min(b.code) AS code FROM v_request LEFT JOIN (VALUES {_VALUES}) b(code, x0, x1, y0, y1) ON u_lng >= x0 AND u_lng < x1 AND u_lat >= y0 AND u_lat < y1 GROUP BY request_id")
 def _(spark, sf):
     inside = polygons.contains(F.col("ring"), F.col("u_lng"), F.col("u_lat"))
-    return V.requests(spark).join(F.broadcast(boxes(spark)), inside, "left").groupBy("request_id").agg(F.min("code").alias("code"))
+    return V.requests(spark).drop("code").join(F.broadcast(boxes(spark)), inside, "left").groupBy("request_id").agg(F.min("code").alias("code"))
 
 
 @query("geo10_smallest_area", f"SELECT id, arg_min(code, (round(size, 12), code)) AS code FROM {_IN} GROUP BY id")
@@ -65,10 +65,10 @@ def _(spark, sf):
 
 @query("str13_quote_repair")
 def _(spark, sf):
-    docs = V.table(spark, sf, "documents").where("doc_id < 600")
-    chunks = docs.groupBy((F.col("doc_id") % 200).alias("g")).agg(F.array_sort(F.collect_list(F.substring("text", 1, 120))).alias("chunks"))
+    turns = V.table(spark, sf, "conversations")
+    chunks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("text")).alias("chunks"))
     quote = F.concat(F.substring(F.element_at("chunks", -1), 1, 50), F.lit("..."))
-    return chunks.select("g", fuzzy.repaired(quote, F.col("chunks")).alias("quote"))
+    return chunks.select("conv_id", fuzzy.repaired(quote, F.col("chunks")).alias("quote"))
 
 
 def run_stream(spark, sf, shape, mode):
