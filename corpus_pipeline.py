@@ -19,7 +19,8 @@ from wayfold.llm.secret_scan import redacted
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (score 0.3 or more)."""
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scores(docs, machine, "_quality_score").where("_quality_score >= 0.3").drop("_quality_score")
+    score = "_".join([*docs.columns, "score"])  # no column has this name
+    return scores(docs, machine, score).where(F.col(score) >= 0.3).drop(score)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

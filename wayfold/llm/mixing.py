@@ -113,6 +113,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def copies(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of docs, each as often as it is taken, with the columns of docs."""
-    _, sized, decided = decisions(docs, **options)
-    return decided(sized).where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    """The mixed corpus: the rows of docs, each as often as it is taken, with the columns of docs, which may have
+    any names as they travel in one struct."""
+    used = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")]
+    if options.get("preference"):
+        used.append(F.col(options["preference"]))
+    _, sized, decided = decisions(docs.select(*used, F.struct("*").alias("_row")), **options)
+    return decided(sized).where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select("_row.*")

@@ -78,7 +78,7 @@ def labelled_findings(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
         lambda: ".".join(pick(full + "_-", int(rng.integers(12, 20))) for _ in range(3)),
     ]
     harmless = [
-        lambda: f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{rng.integers(10, 24)}",
+        lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(0, 24):02d}",
         lambda: "-".join(word() for _ in range(3)) + f"-{rng.integers(1, 99)}",
         lambda: f"{word()}.{word()}{rng.integers(1, 99)}.com/{word()}",
         lambda: word() + word() + "_" + word() + str(rng.integers(0, 999)),
