@@ -6,9 +6,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired(quote: pd.Series, chunks: pd.Series) -> pd.Series:
     """The chunk that holds the quote (white space aside), else the one most like it at a ratio of 0.6 or more, else the
     first; null without chunks."""
