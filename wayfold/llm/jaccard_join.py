@@ -1,4 +1,5 @@
-"""N-gram Jaccard self-join of whole texts by T-occurrence search (DivideSkip), exact.
+"""N-gram Jaccard self-join of whole texts by T-occurrence search (DivideSkip), exact but for collisions of
+48-bit shingle hashes within a pair.
 
 A document is the set of its distinct word shingles. Documents x, y link when their sets' Jaccard
 similarity reaches the threshold, i.e. when y occurs in at least T of the inverted lists of x's shingles.
@@ -291,14 +292,26 @@ def candidates(sigs: DataFrame, percent: int, bits: int, salt: int, leaders: int
     return pairs.distinct()
 
 
+def pack_set(s: np.ndarray) -> bytes:
+    """The first 48 bits of a sorted set's hashes: the count, 2 bytes each, and 4 bytes each as compressed deltas."""
+    high, low = (s >> np.uint64(32)).astype("<u4"), ((s >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2")
+    return len(s).to_bytes(4, "little") + low.tobytes() + _pack(high)
+
+
+def unpack_set(blob: memoryview) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    low = np.frombuffer(blob[4 : 4 + 2 * n], "<u2")
+    return (_unpack(blob[4 + 2 * n :], n).astype(np.uint64) << np.uint64(16)) | low
+
+
 def class_sets(docs: DataFrame, size: int) -> DataFrame:
-    """class, shingles (sorted, 8 bytes each) of every document of docs."""
+    """class, shingles (packed set) of every document of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 sets = [s for s in shingle_sets(data, offsets, size) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_class(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_class(s) for s in sets], np.uint64).view(np.int64)), pa.array([pack_set(s) for s in sets], pa.binary())], names=["class", "shingles"])
 
     return docs.select("text").mapInArrow(run, "class long, shingles binary")
 
@@ -316,7 +329,7 @@ def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                s, t = unpack_set(memoryview(x.as_buffer())), unpack_set(memoryview(y.as_buffer()))
                 both = occurrences(s, t)
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
