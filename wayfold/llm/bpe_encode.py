@@ -12,8 +12,8 @@ import re
 import numpy as np
 
 _memo: dict[str, "ByteBpe"] = {}
-#: Pre-tokens kept per worker process: at about 200 bytes each, some 120 MB.
-MEMO_LIMIT = 600_000
+#: Pre-tokens kept per worker process: at about 200 bytes each, some 40 MB.
+MEMO_LIMIT = 200_000
 #: All letters up to U+024F.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 
