@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from wayfold.functions import fuzzy
+from wayfold.llm.common import work_path
 from wayfold.operators import polygons
+from wayfold.operators.merges import last_wins
 from wayfold.plans.registry import query
 from wayfold.sources import views as V
 from wayfold.streaming import snapshots as st
@@ -71,34 +71,54 @@ def _(spark, sf):
     return chunks.select("conv_id", fuzzy.repaired(quote, F.col("chunks")).alias("quote"))
 
 
-def run_stream(spark, sf, shape, mode):
-    """Events as a stream through shape into an in-memory table: the rows once all input is read."""
-    src = tempfile.mkdtemp(prefix="wayfold-stream-")
-    V.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartition(3, "user_id").write.mode("overwrite").parquet(src)
-    rows = st.stream(spark, src, spark.read.parquet(src).schema)
-    name = f"s{abs(hash(src))}"
-    shape(rows).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def run_stream(spark, sf, shape, keys=(), files=1):
+    """The events table as a stream through shape, written below the work folder and read again: appended rows, or with
+    keys the updates of each batch, of which the last of a key counts. files: how many make a trigger (None: all)."""
+    out, schema = work_path(spark, "stream"), V.table(spark, sf, "events").schema
+    # as a pattern: a stream takes the plain path of a folder only, and a table may be a single file
+    rows = st.stream(spark, f"{sf}/events.parque[t]", schema, files).withColumn("ts", F.col("ts").cast("timestamp"))
+    shaped = shape(rows)
+    sink = shaped.writeStream.option("checkpointLocation", work_path(spark, "stream-state")).trigger(availableNow=True)
+    if not keys:
+        sink.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
+        return spark.read.schema(shaped.schema).parquet(out)
+    none = spark.createDataFrame([], shaped.schema).withColumn("batch", F.lit(0).cast("long"))
+    none.write.parquet(f"{out}/none")
+
+    def write(batch, epoch):
+        batch.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/{epoch}")
+
+    sink.foreachBatch(write).outputMode("update").start().awaitTermination()
+    updates = spark.read.schema(none.schema).option("recursiveFileLookup", "true").parquet(out)
+    return last_wins(updates, list(keys), ["batch"]).drop("batch")
+
+
+def span(spark, sf):
+    """A watermark delay that no event of the table is behind: from the first to the last, and a second."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    micros = V.table(spark, sf, "events").agg((F.max(at) - F.min(at)).alias("n")).first().n
+    return f"{(micros or 0) // 1_000_000 + 1} seconds"
 
 
 @query("stm02_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def _(spark, sf):
-    rows = run_stream(spark, sf, lambda r: st.deduplicated(r, ["user_id", "event_type"], "ts", "90 days"), "append")
+    rows = run_stream(spark, sf, lambda r: st.deduplicated(r, ["user_id", "event_type"], "ts", span(spark, sf)))
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("stm03_stream_latest", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS seen FROM events GROUP BY user_id")
 def _(spark, sf):
-    rows = run_stream(spark, sf, lambda r: st.latest(r.withColumn("at", F.struct("ts", "event_id")), "user_id", "at", ["event_id"]), "complete")
+    rows = run_stream(spark, sf, lambda r: st.latest(r.withColumn("at", F.struct("ts", "event_id")), "user_id", "at", ["event_id"]), ["user_id"])
     return rows.select("user_id", F.col("last.event_id").alias("event_id"), "seen")
 
 
 @query("stm01_stream_windows", "SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, sf):
-    return run_stream(spark, sf, lambda r: st.windowed(r, "user_id", "ts", "1 day", delay="90 days"), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return run_stream(spark, sf, lambda r: st.windowed(r, "user_id", "ts", "1 day", delay=span(spark, sf)), ["user_id", "start"]).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("stm05_stream_rate_limit")
 def _(spark, sf):
-    rows = run_stream(spark, sf, lambda r: st.limited(r, "user_id", "ts", 86400, 2), "append")
+    # files need not follow time, and a hit's verdict hangs on all earlier ones: one trigger takes them all
+    rows = run_stream(spark, sf, lambda r: st.limited(r, "user_id", "ts", 86400, 2), files=None)
     return rows.groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("hits"))

@@ -12,8 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wayfold.operators.merges import last_wins, upsert
 
 
-def stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def stream(spark: SparkSession, path: str, schema, files: int | None = 1) -> DataFrame:
+    """The Parquet files of a folder or pattern as a stream of so many files a trigger (None: all there are)."""
+    rows = spark.readStream.schema(schema)
+    return (rows.option("maxFilesPerTrigger", files) if files else rows).parquet(path)
 
 
 def deduplicated(rows: DataFrame, keys: list[str], at: str, delay: str = "2 hours") -> DataFrame:
@@ -50,20 +52,20 @@ def merge_batches(rows: DataFrame, path: str, keys: list[str], order: list[str],
 
 
 def limited(rows: DataFrame, key: str, at: str, seconds: int, most: int) -> DataFrame:
-    """Sliding-window rate limit: (key, at, allowed). Rejected hits do not count, so each key's kept times are state."""
+    """Sliding-window rate limit: (key, at, allowed). Rejected hits do not count, so each key's kept times are state.
+    Within a trigger hits are taken in order of time, over all Arrow batches of the key; triggers must follow time."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
-        for b in batches:
-            out = []
-            for t in b[at].sort_values():
-                now = t.timestamp()
-                kept = [x for x in kept if x > now - seconds]
-                allowed = len(kept) < most
-                if allowed:
-                    kept.append(now)
-                out.append((k[0], t, allowed))
-            yield pd.DataFrame(out, columns=[key, at, "allowed"])
+        out = []
+        for t in pd.concat([b[at] for b in batches]).sort_values():
+            now = t.timestamp()
+            kept = [x for x in kept if x > now - seconds]
+            allowed = len(kept) < most
+            if allowed:
+                kept.append(now)
+            out.append((k[0], t, allowed))
+        yield pd.DataFrame(out, columns=[key, at, "allowed"])
         state.update((kept,))
 
     kind = rows.schema[key].dataType.simpleString()
