@@ -9,6 +9,9 @@ forest of its links, not the links, so a group of n near copies costs n rows a p
 Then components: within each, every vector is compared with every other, in blocks, and only its number of links
 is kept. That counts links exactly for all vectors whose component was found whole; a pair is missed
 only if no chain of compared pairs joins it (recall is measured against brute force in the tests).
+The share of pairs that meet in a round of passes falls as a label grows, so rounds with new projections
+follow until one joins no two components. Labels of at most `window` + 1 vectors are compared whole by the first
+round and need no other.
 
 Nulls and edges: null, zero, empty or non-finite vectors, null components, null labels and null vec_ids
 link with nothing (component_id is their own vec_id); vectors of different length link with nothing; repeated
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import part_offsets, small_batches, written
+from wayfold.llm.common import part_offsets, sized_broadcast, small_batches, written
 from wayfold.llm.components import components
 
 
@@ -45,7 +48,7 @@ def _unit(v: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def keyed(rows: DataFrame, passes: int, seed: int) -> DataFrame:
+def keyed(rows: DataFrame, passes: int, seed: list[int]) -> DataFrame:
     """Each row once a pass, with its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +59,7 @@ def keyed(rows: DataFrame, passes: int, seed: int) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 own = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, passes * 62))
+                    planes[dim] = np.random.default_rng([*seed, dim]).normal(size=(dim, passes * 62))
                 signs = (_unit(own.column(2), dim) @ planes[dim] > 0).reshape(-1, passes, 62)
                 key = (signs * weight).sum(2)
                 for p in range(passes):
@@ -156,12 +159,30 @@ def link_counts(members: DataFrame, block: int, threshold: float) -> DataFrame:
     return found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
 
 
+def linked(rows: DataFrame, threshold: float, passes: int, window: int, chunk: int, seed: int) -> DataFrame:
+    """usable rows -> (node, root) of the components of their links: rounds of passes until one joins nothing new."""
+    sizes = written(rows.groupBy("label", "dim").agg(F.count("*").alias("n")), "sizes").where(F.col("n") > window + 1)
+    large = sized_broadcast(written(sizes.select("label", "dim"), "large"))
+    found, left, turn = None, 0, 0
+    while True:
+        some = rows if found is None else rows.join(large, ["label", "dim"], "left_semi")
+        placed = positions(keyed(some, passes, [seed, turn] if turn else [seed]), ["pass", "label", "dim", "key", "vec_id"])
+        links = written(window_links(placed, window, chunk, threshold), "links")
+        if found is not None:
+            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = written(components(links), "components")
+        # every join of two components, or of a new node, takes one off nodes less roots
+        joins = found.where("node <> root").count()
+        if joins == left or not turn and large.isEmpty():
+            return found
+        left, turn = joins, turn + 1
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 8, window: int = 50, chunk: int = 2000, block: int = 512, seed: int = 1) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept, one row per row."""
     small_batches(vectors.sparkSession)
     rows = usable(vectors)
-    placed = positions(keyed(rows, passes, seed), ["pass", "label", "dim", "key", "vec_id"])
-    found = written(components(written(window_links(placed, window, chunk, threshold), "links")), "components")
+    found = linked(rows, threshold, passes, window, chunk, seed)
     members = rows.join(found, rows["vec_id"] == found["node"]).drop("node")
     counts = written(link_counts(members, block, threshold), "counts")
     known = found.join(counts, found["node"] == counts["vec_id"]).select("node", "root", "n_links")
