@@ -1,0 +1,25 @@
+"""Secrets behind prefixes longer than a window of the network."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from wayfold.llm.secret_scan import all_spans, train
+
+HEADS = ("hooks.example.com/services/T00000000/B00000000/", "/srv/www/releases/current/config/certificates/live/archive/site/", "https-proxy.internal.example.org/accounts/billing/invoices/v2/")
+
+
+def test_secret_behind_a_long_prefix():
+    net, rng = train(), np.random.default_rng(77)
+    alphabet = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    texts, secrets = [], []
+    for i in range(150):
+        secret = "".join(rng.choice(alphabet, 24))
+        texts.append(f"post it to {HEADS[i % 3]}{secret} when ready")
+        secrets.append((texts[-1].index(secret), texts[-1].index(secret) + 24))
+    whole = [any(a <= s and e <= b for a, _, b in spans) for spans, (s, e) in zip(all_spans(texts, net), secrets)]
+    assert np.mean(whole) >= 0.9
+    # a span follows from the windows that fire: far text of the run stays
+    far = "post it to " + "docs/guide/pages/index/" * 10 + "Zk3xQ9bT7LmWv2RjHs8YpD4f now"
+    (span,) = all_spans([far], net)[0]
+    assert span[0] > 100 and far[span[2] - 24 : span[2]] == "Zk3xQ9bT7LmWv2RjHs8YpD4f"

@@ -3,11 +3,12 @@
 Base rules (kinds assign, access, hex) give spans that always stay. Candidates of the network are all
 runs of 12 or more of [A-Za-z0-9+/_.=-] that mix a digit with a letter, or case inside a word, and overlap no
 base span; nothing is sampled or cut. Each is read with its surroundings (24 characters before, 40
-of it, 8 behind) by a small network in numpy: character embedding, one convolution, maximum over places,
+of it, 8 behind), a longer one in overlapping windows of 40 over its whole length, by a small network in numpy (long ones by a second, with its own threshold): character embedding, one convolution, maximum over places,
 logistic output. It is trained on labelled findings (`labelled_findings`, written out from documented
 generators of secrets and of harmless strings), its output is calibrated by Platt scaling on held-back
-findings, and the threshold is the largest at which recall on them is still `recall`. Added spans have the
-kind learned.
+findings, and the threshold is the largest at which recall on them is still `recall`; a long finding
+counts by its best window. Added spans have the kind learned: short candidates whole, of longer ones the windows
+at the threshold, widened to the next of / . = on both sides.
 
 Nulls and edges: a null or empty text has no spans (hash of the empty string, empty list); a null doc_id and
 repeated rows pass; extra columns are ignored; an empty table gives an empty result.
@@ -35,6 +36,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9]|[A-Za-z0-9+/_.=-]*[a-z][A-Z])[A-Za-z0-9+/_.=-]{12,}")
 BEFORE, INSIDE, BEHIND = 24, 40, 8
 WIDTH = BEFORE + INSIDE + BEHIND
+STEP = 10
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -62,9 +64,27 @@ def window(text: str, a: int, b: int) -> bytes:
     return one(text[max(0, a - BEFORE) : a]).rjust(BEFORE, b"\0") + inside.ljust(INSIDE, b"\0") + one(text[b : b + BEHIND]).ljust(BEHIND, b"\0")
 
 
-def labelled_findings(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """n labelled windows: half are secrets of several make-ups, half harmless strings, in invented prose."""
-    rng = np.random.default_rng(seed)
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """The windows of a candidate: itself, or one of INSIDE characters every STEP and one at its end."""
+    return [(a, b)] if b - a <= INSIDE else [(p, p + INSIDE) for p in [*range(a, b - INSIDE, STEP), b - INSIDE]]
+
+
+def widened(text: str, a: int, b: int, fired: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted windows of the candidate (a, b) widened to / . = or its ends, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for p, q in fired:
+        while p > a and text[p - 1] not in "/.=":
+            p -= 1
+        while q < b and text[q] not in "/.=":
+            q += 1
+        if out and p <= out[-1][1]:
+            p, q = out[-1][0], max(q, out.pop()[1])
+        out.append((p, q))
+    return out
+
+
+def makers(rng: np.random.Generator) -> tuple:
+    """Generators of a word, of secrets and of harmless strings."""
     pick = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     word = lambda: pick(low, int(rng.integers(2, 10)))
@@ -88,6 +108,38 @@ def labelled_findings(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
         lambda: f"{pick(dig, 3)}-{pick(dig, 3)}-{pick(dig, 4)}-x{pick(dig, 3)}",
         lambda: word() * 2 + ".." + word().title() + "." + word(),
     ]
+    return word, secrets, harmless
+
+
+def long_findings(n: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, labels and finding numbers of n runs of more than INSIDE characters: paths, every second with a secret
+    at its end. Windows that hold only a part of a secret, below 16 characters, are left out."""
+    rng = np.random.default_rng(seed)
+    word, secrets, _ = makers(rng)
+    number = lambda: str(rng.integers(0, 10**8)).zfill(8)
+    parts = [word, word, word, lambda: word().title(), lambda: word() + str(rng.integers(0, 99)), lambda: "ABTUX"[int(rng.integers(5))] + number(), lambda: f"{word()}.com", lambda: f"v{rng.integers(1, 9)}"]
+    rows, labels, of = [], [], []
+    for i in range(n):
+        joint, head = "/./-_"[int(rng.integers(5))], ""
+        while len(head) < (rng.integers(12, 90) if i % 2 else rng.integers(INSIDE + 1, 120)):
+            head += parts[int(rng.integers(len(parts)))]() + joint
+        value = secrets[int(rng.integers(len(secrets)))]() if i % 2 else ""
+        before = " ".join(word() for _ in range(5)) + " "
+        text, a = before + head + value + " " + word() + " " + word(), len(before)
+        b = a + len(head + value)
+        for p, q in windows(a, b):
+            held = max(0, min(q, b) - max(p, b - len(value)))
+            if held == 0 or held >= 16:
+                rows.append(window(text, p, q))
+                labels.append(int(held > 0))
+                of.append(i)
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, WIDTH), np.array(labels), np.array(of)
+
+
+def labelled_findings(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """n labelled windows: half are secrets of several make-ups, half harmless strings, in invented prose."""
+    rng = np.random.default_rng(seed)
+    word, secrets, harmless = makers(rng)
     hints = ["key ", "Authorization: Bearer ", "auth=", "pwd: ", "credential ", "", "", ""]
     rows, labels = [], np.zeros(n, int)
     for i in range(n):
@@ -110,6 +162,7 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    long: Network | None = None
 
     def hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         emb = self.e[x]
@@ -125,9 +178,19 @@ class Network:
 
 
 def train(n: int = 3000, recall: float = 0.98, epochs: int = 8, seed: int = 11) -> Network:
-    """Fit on four fifths of n findings (Adam, fixed order), calibrate and set the threshold on the rest."""
+    """The network of n findings, and as its `long` one that has also learnt windows of long findings and has its
+    threshold from these."""
     x, y = labelled_findings(n)
-    part = np.arange(n) % 10 < 8
+    net = fitted(x, y, np.arange(n), 0, recall, epochs, seed)
+    more, labels, of = long_findings(n // 8)
+    net.long = fitted(np.concatenate([x, more]), np.concatenate([y, labels]), np.concatenate([np.arange(n), n + of]), n, recall, epochs, seed)
+    return net
+
+
+def fitted(x: np.ndarray, y: np.ndarray, of: np.ndarray, first_of: int, recall: float, epochs: int, seed: int) -> Network:
+    """Fit on four fifths of the findings (of: their numbers; Adam, fixed order), calibrate on the rest and set the
+    threshold on those of the rest from number first_of on."""
+    part = of % 10 < 8
     rng = np.random.default_rng(seed)
     dim, hid = 8, 24
     net = Network(rng.normal(0, 0.3, (128, dim)), rng.normal(0, 0.2, (5 * dim, hid)), np.zeros(hid), rng.normal(0, 0.2, hid), 0.0)
@@ -165,7 +228,9 @@ def train(n: int = 3000, recall: float = 0.98, epochs: int = 8, seed: int = 11)
         p = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30)))
         net.scale -= 0.1 * float(((p - t) * z).mean())
         net.shift -= 0.1 * float((p - t).mean())
-    p = np.sort(net.probability(x[~part][t == 1]))
+    held = ~part & (y == 1) & (of >= first_of)
+    p, of = net.probability(x[held]), of[held]
+    p = np.sort([p[of == i].max() for i in np.unique(of)])
     net.threshold = float(p[int((1 - recall) * len(p))])
     return net
 
@@ -173,12 +238,18 @@ def train(n: int = 3000, recall: float = 0.98, epochs: int = 8, seed: int = 11)
 def all_spans(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
     """Base and learned spans of each text, sorted by start, then kind."""
     spans = [base_spans(t) for t in texts]
-    found = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, spans[i])]
+    found = [(i, a, b, p, q) for i, t in enumerate(texts) for a, b in candidates(t, spans[i]) for p, q in windows(a, b)]
     if found:
-        x = np.frombuffer(b"".join(window(texts[i], a, b) for i, a, b in found), np.uint8).reshape(-1, WIDTH)
-        for (i, a, b), p in zip(found, net.probability(np.minimum(x, 127))):
-            if p >= net.threshold:
-                spans[i].append((a, 3, b))
+        x = np.frombuffer(b"".join(window(texts[i], p, q) for i, _, _, p, q in found), np.uint8).reshape(-1, WIDTH)
+        fired: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        long, fires = np.array([b - a > INSIDE for _, a, b, _, _ in found]), np.zeros(len(found), bool)
+        for own, at in ((net, ~long), (net.long or net, long)):
+            fires[at] = own.probability(np.minimum(x[at], 127)) >= own.threshold
+        for (i, a, b, p, q), fire in zip(found, fires.tolist()):
+            if fire:
+                fired.setdefault((i, a, b), []).append((p, q))
+        for (i, a, b), places in fired.items():
+            spans[i] += [(p, 3, q) for p, q in widened(texts[i], a, b, places)]
     return [sorted(s) for s in spans]
 
 
