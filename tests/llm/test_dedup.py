@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.fixtures import brute_components, brute_removal
+from wayfold.llm import jaccard_join
 from wayfold.llm.embed_dedup import near_duplicates
 from wayfold.llm.jaccard_join import jaccard_components
 from wayfold.llm.recompress import remove_repeats
@@ -22,13 +23,59 @@ def test_jaccard_components_equal_brute_force(docs, table, which):
     assert found == Counter(brute_components(rows))
 
 
-@pytest.mark.parametrize("options", [{"at_least": 2, "max_long": 50}, {"at_least": 1, "max_long": 100_000}])
-def test_jaccard_components_with_many_long_lists(docs, options):
+@pytest.mark.parametrize("bounds", [{"BLOCK": 500, "BUCKET": 300, "TILE": 400}, {"BLOCK": 20_000, "BUCKET": 50_000, "TILE": 2_000}])
+def test_jaccard_components_in_small_blocks_and_tiles(docs, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    found = Counter(map(tuple, jaccard_components(docs, **options).select("doc_id", "n_shingles", "component_id").collect()))
+    found = Counter(map(tuple, jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()))
     assert found == Counter(brute_components(rows))
 
 
+def near_groups(spark, seed: int, groups: int, members: int, words: int):
+    """Copies with edits that put many pairs on either side of the threshold, and lists that several groups share."""
+    rng = np.random.default_rng(seed)
+    rows, common = [], [f"c{i}" for i in range(60)]
+    for g in range(groups):
+        base = common[: int(rng.integers(0, 60))] + [f"g{g}w{i}" for i in range(words)]
+        for m in range(members):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, max(2, len(base) // 22)))):
+                copy[int(rng.integers(len(copy)))] = f"e{rng.integers(40)}"
+            rows.append((g * members + m, " ".join(copy)))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+@pytest.mark.parametrize("shape", [(3, 6, 60, 90), (4, 25, 12, 40), (5, 2, 150, 60)])
+def test_jaccard_components_of_near_groups(spark, monkeypatch, shape):
+    monkeypatch.setattr(jaccard_join, "TILE", 3_000)
+    frame = near_groups(spark, *shape)
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    found = Counter(map(tuple, jaccard_components(frame).collect()))
+    assert found == Counter(brute_components(rows))
+
+
+def test_divide_skip_counts_short_lists_and_probes_long_ones():
+    rng = np.random.default_rng(1)
+    everyone = lambda ids: np.ones(len(ids), bool)
+    probed = dropped = 0
+    for _ in range(200):
+        k = int(rng.integers(2, 40))
+        lists = [np.unique(rng.integers(0, 60, int(rng.integers(1, 60 if rng.random() < 0.4 else 6)))) for _ in range(k)]
+        need = int(rng.integers(1, k + 1))
+        ids, said = jaccard_join.divide_skip(lists, need, everyone, lambda x, need=need: np.full(len(x), need))
+        count = Counter(np.concatenate(lists).tolist())
+        assert ids.tolist() == sorted(i for i, n in count.items() if n >= need)
+        # what was merged is only the short lists, and a candidate has need - long of them
+        short = sorted(lists, key=len)[: k - said["long"]]
+        assert said["merged"] == sum(map(len, short)) and said["long"] < need
+        of_short = Counter(i for x in short for i in x.tolist())
+        assert said["counted"] == sum(n >= need - said["long"] for n in of_short.values())
+        probed += said["probed"]
+        dropped += len(of_short) - said["counted"]
+    assert probed > 200 and dropped > 200
+
+
 @pytest.mark.parametrize("which", ["fixture", "table"])
 def test_repeats_equal_brute_force(docs, table, which):
     frame = docs if which == "fixture" else table("documents")

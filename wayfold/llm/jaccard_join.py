@@ -1,26 +1,26 @@
 """N-gram Jaccard self-join of whole texts by T-occurrence search (DivideSkip), exact but for collisions of
-48-bit shingle hashes within a pair.
-
-A document is the set of its distinct word shingles. Documents x, y link when their sets' Jaccard
-similarity reaches the threshold, i.e. when y occurs in at least T of the inverted lists of x's shingles.
-DivideSkip keeps the L longest lists of x out of the merge: y must then occur at least T - L times in the
-short ones, and the long lists are only probed for those y. Here L = T - 1, so one occurrence in the
-n - T + 1 shortest lists makes a candidate.
-
-1. List lengths: tasks send sorted, delta-coded blocks of shingle keys by hash bucket; each bucket merges its
-   blocks and counts. Only the long lists' keys leave it, at most `max_long` of them (the length that
-   counts as long is doubled until they fit), so broadcasting them is bounded.
-2. Signatures: per document the set size, a 64-bit class of its whole set (equal sets: equal class), and
-   its shortest lists: shingles that have no long list first, each part in hash order. This is one
-   global order, which is what the prefix argument needs.
-3. Merge: postings (key, class, sizes) by bucket; each bucket merges its sorted runs and reads off lists of
-   two classes or more. Pairs that the position and size bounds exclude are never built. A list gives a
-   star (each class with one other), not all its pairs.
-4. Probe: the two sets of a candidate meet by joins, and the long lists are probed by binary search.
-5. Classes joined so far form components. Lists that still hold several components go round again: each
-   class with eight others of other components, then all remaining pairs across components, so that no
-   link that could join components is missed. Pairs inside a component are never built, which keeps a group of n near
-   copies linear.
+48-bit shingle hashes.
+
+A document is the set of its distinct word shingles. Documents x, y link when their sets' Jaccard similarity
+reaches the threshold, so y must occur in at least T = threshold * |x| of the inverted lists of x's shingles.
+
+1. Blocks. Tasks cut their documents into blocks of about a million shingles and write each block's postings,
+   sorted and delta-coded, one row per (block, bucket of keys). The blocks are a written table, so a task
+   that runs again cannot number them differently.
+2. List lengths. A bucket gets each block's distinct keys with counts (a hot key once per block, not once per document),
+   adds them up and answers with the lengths of the lists, one byte a key (255: or more).
+3. Back in its block every document keeps only shingles whose list holds another document; one that keeps
+   fewer than T of them cannot link and is done. Equal sets are then folded to one class, and steps
+   1 to 3 run again over the classes, so that copies no longer count as company.
+4. Stars. With a class's lists ordered by (length, key), two classes that link share one of their first
+   s - T + 1 lists (s shingles kept). Each list joins its classes to its smallest one; these pairs are verified and give
+   first components. Pairs inside a component are never built: a group of n near copies costs n pairs a list.
+5. DivideSkip. Lists that still hold several components tie classes into regions, and a region goes to one task
+   (large ones as pairs of tiles of bounded size). There every class outside the largest component sets aside its
+   L longest lists (L = T / (MU log2 M + 1), M the longest), merges the others counting occurrences (numpy merges
+   the sorted runs at once in place of a heap, with the same counts), drops what occurs less than T - L times,
+   and finds the rest in the long lists by binary search, dropping a candidate as soon as it cannot reach
+   the overlap that both sizes ask for. Only links that join two components leave the task.
 
 Nulls and edges: a null or wordless text has no shingles and links with nothing; fewer words than a
 shingle count as one shingle; a null doc_id links with nothing and has a null component; repeated doc_ids are
@@ -29,20 +29,22 @@ one node; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import sized_broadcast, small_batches, text_chunks, written
+from wayfold.llm.common import dropped, sized_broadcast, small_batches, text_chunks, written
 from wayfold.llm.components import components
 from wayfold.llm.words import mix, word_bounds, word_hashes
 
-_NO_BOUND = 65535
-#: Bits of a set's parity summary, and the list length from which pairs are first compared by it.
-BITS, SUMMARISED = 1024, 32
+#: Bits of a list key; shingles of a block, of a bucket and of a tile.
+KEY, BLOCK, BUCKET, TILE = 48, 1_000_000, 1_000_000, 1_000_000
+#: The weight of DivideSkip's rule for the number of long lists.
+MU = 0.01
 _rng = np.random.default_rng(5)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -71,304 +73,335 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted uint32 keys as compressed deltas."""
-    return pa.compress(np.diff(keys, prepend=keys[:1] * 0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-
+def set_class(s: np.ndarray) -> np.uint64:
+    """64-bit identity of a whole set."""
+    return mix(_total(mix(s ^ np.uint64(0x9E3779B97F4A7C15)), len(s) * int(_PLACE[62])))[0]
 
-def _unpack(blob: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(blob, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes: the count, the number of planes, the planes."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = x.view(np.uint8).reshape(-1, 8).T[:width]
+    return len(x).to_bytes(4, "little") + bytes([width]) + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if width else b"")
 
-def _keys(shingles: np.ndarray, bits: int) -> np.ndarray:
-    """List keys: the bucket's bits and 28 more."""
-    return shingles >> np.uint64(64 - bits - 28)
 
+def unpack(blob: bytes) -> np.ndarray:
+    n, width = int.from_bytes(blob[:4], "little"), blob[4]
+    out = np.zeros((n, 8), np.uint8)
+    if width:
+        raw = pa.decompress(memoryview(blob)[5:], decompressed_size=n * width, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
 
-def _split(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(bucket.astype(np.uint16 if buckets <= 65536 else np.uint32), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=x[:1] * 0))
 
-def long_lists(docs: DataFrame, size: int, bits: int, at_least: int, max_long: int) -> np.ndarray:
-    """Sorted keys of the long inverted lists, at most max_long."""
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
 
-        def flush():
-            keys = _keys(np.concatenate(held), bits)
-            keys.sort()
-            cuts = np.searchsorted(keys >> np.uint64(28), np.arange((1 << bits) + 1))
-            low = (keys & np.uint64((1 << 28) - 1)).astype(np.uint32)
-            some = [b for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([cuts[b + 1] - cuts[b] for b in some], pa.int64()), pa.array([_pack(low[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], names=["bucket", "n", "keys"]
-            )
 
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                sets = shingle_sets(data, offsets, size)
-                held.extend(sets)
-                n += sum(map(len, sets))
-                if n >= 4_000_000:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array start, and its length."""
+    return np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), len(x)) if len(x) else np.zeros(1, np.int64)
 
-    def count(table: pa.Table) -> pa.Table:
-        runs = [_unpack(k, n) for k, n in zip(table["keys"].to_pylist(), table["n"].to_pylist())]
-        keys = np.concatenate(runs)
-        keys.sort(kind="stable")  # a merge of sorted runs
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        df = np.diff(np.append(at, len(keys)))
-        long = df > at_least
-        key = (np.uint64(table["bucket"][0].as_py()) << np.uint64(28)) | keys[at[long]].astype(np.uint64)
-        return pa.table({"key": pa.array(key.astype(np.int64)), "df": pa.array(df[long].astype(np.int64))})
 
-    found = docs.select("text").mapInArrow(blocks, "bucket int, n long, keys binary").groupBy("bucket").applyInArrow(count, "key long, df long")
-    found = written(found, "long-lists")
-    while found.where(F.col("df") > at_least).count() > max_long:
-        at_least *= 2
-    return np.sort(found.where(F.col("df") > at_least).select("key").toPandas()["key"].to_numpy(np.uint64))
+#: What a reader of batches gives: ids, whether they count, set sizes, classes, sorted 48-bit keys.
+Sets = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
+BLOCKS = "block long, bucket long, keys binary, counts binary, who binary, ids array<long>, known array<boolean>, n array<long>, class array<long>"
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """BITS bits, each the parity of the shingles that hash to it. Two sets differ in at least as many shingles
-    as their bits do."""
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def from_texts(size: int) -> Callable[[pa.RecordBatch], Iterator[Sets]]:
+    """Sets of (doc_id, text) rows. Rows with a null doc_id post nothing."""
 
+    def read(batch: pa.RecordBatch) -> Iterator[Sets]:
+        for lo, hi, data, offsets in text_chunks(batch.column(1), 1 << 20):
+            sets = shingle_sets(data, offsets, size)
+            ids = batch.column(0).slice(lo, hi - lo)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            n = np.array([len(s) for s in sets], np.int64)
+            cls = np.array([set_class(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            yield ids.fill_null(0).to_numpy(), known, n, cls, [s >> np.uint64(64 - KEY) if k else s[:0] for s, k in zip(sets, known.tolist())]
 
-def _member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(sorted_keys, x)
-    at[at == len(sorted_keys)] = 0
-    return sorted_keys[at] == x
+    return read
 
 
-def set_class(s: np.ndarray) -> np.uint64:
-    """64-bit identity of a whole set."""
-    return mix(_total(mix(s ^ np.uint64(0x9E3779B97F4A7C15)), len(s) * int(_PLACE[62])))[0]
+def from_classes(batch: pa.RecordBatch) -> Iterator[Sets]:
+    """Sets of (class, n, keys) rows."""
+    cls, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    yield cls, np.ones(len(cls), bool), n, cls, [unpack_sorted(k) for k in batch.column(2).to_pylist()]
 
 
-def signatures(docs: DataFrame, size: int, percent: int, bits: int, long: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, class, prefix (shingles of the shortest lists in list order, 8 bytes each), summary."""
-    shared = docs.sparkSession.sparkContext.broadcast(long)
+def blocks(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Sets]], bits: int) -> DataFrame:
+    """BLOCKS: the postings of a block by bucket, and one row with bucket -1 that lists its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        long = shared.value
-        for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                sets = shingle_sets(data, offsets, size)
-                flags = _member(long, _keys(np.concatenate(sets), bits))
-                n, cls, prefix, summary, at = [], [], [], [], 0
-                for s in sets:
-                    m = len(s)
-                    f = flags[at : at + m]
-                    at += m
-                    n.append(m)
-                    summary.append(parity_bits(s))
-                    cls.append(set_class(s) if m else np.uint64(0))
-                    k = m - (percent * m + 99) // 100 + 1 if m else 0
-                    if f[: 2 * k].any():
-                        prefix.append(np.concatenate([s[~f][:k], s[f][:k]])[:k].tobytes())
-                    else:
-                        prefix.append(s[:k].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), pa.array(summary, pa.binary())], names=["doc_id", "n_shingles", "class", "prefix", "summary"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class long, prefix binary, summary binary")
-
-
-def candidates(sigs: DataFrame, percent: int, bits: int, salt: int, leaders: int) -> DataFrame:
-    """sigs (n_shingles, class, comp, prefix) -> distinct pairs (a, b) of classes of different comp that share
-    a short list and that position and size do not exclude: each class with that many others of a list, in
-    an order that salt sets, or (leaders 0) with all. In the latter case pairs of lists longer than SUMMARISED
-    are built only if the sets' parity summaries allow the threshold, which never excludes a true pair."""
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            n, cls, comp = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
-            prefixes = [p for b in held for p in b.column(3).to_pylist()]
-            k = np.array([len(p) // 8 for p in prefixes], np.int64)
-            tok = np.frombuffer(b"".join(prefixes), np.uint64)
-            row = np.repeat(np.arange(len(k)), k)
-            place = np.arange(len(tok)) - np.repeat(np.cumsum(k) - k, k)
-            # with the occurrence at place i, a partner has at most (n - i) * (100 + p) / p - n shingles
-            most = np.minimum((n[row] - place) * (100 + percent) // percent - n[row], _NO_BOUND)
-            key = _keys(tok, bits)
+        held: list[Sets] = []
+        turn = 0
+
+        def flush() -> pa.RecordBatch:
+            ids, known, n, cls = (np.concatenate([h[i] for h in held]) for i in range(4))
+            sets = [s for h in held for s in h[4]]
+            who = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+            key = np.concatenate(sets)
             order = np.argsort(key, kind="stable")
-            key, row, most = key[order], row[order], most[order]
-            cuts = np.searchsorted(key >> np.uint64(28), np.arange((1 << bits) + 1))
-            low = (key & np.uint64((1 << 28) - 1)).astype(np.uint32)
-            small = np.minimum(n, _NO_BOUND).astype(np.uint16)
-            some = [b for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
-            cut = lambda x, b: x[cuts[b] : cuts[b + 1]]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(some, pa.int32()),
-                    pa.array([_pack(cut(low, b)) for b in some], pa.binary()),
-                    pa.array([cls[cut(row, b)].tobytes() for b in some], pa.binary()),
-                    pa.array([b"" if salt == 0 else comp[cut(row, b)].tobytes() for b in some], pa.binary()),
-                    pa.array([small[cut(row, b)].tobytes() + cut(most, b).astype(np.uint16).tobytes() for b in some], pa.binary()),
-                ],
-                names=["bucket", "keys", "cls", "comp", "sizes"],
-            )
-
+            key, who = key[order], who[order]
+            cuts = _runs(key >> np.uint64(KEY - bits))
+            bucket, keys, counts, whose = [-1], [None], [None], [None]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own = key[a:b]
+                at = _runs(own)
+                bucket.append(int(own[0]) >> (KEY - bits))
+                keys.append(pack_sorted(own[at[:-1]]))
+                counts.append(pack(np.diff(at)))
+                whose.append(pack(who[a:b]))
+            lists = [pa.array([x.tolist()] + [None] * (len(bucket) - 1), pa.list_(t)) for x, t in ((ids, pa.int64()), (known, pa.bool_()), (n, pa.int64()), (cls, pa.int64()))]
+            block = np.full(len(bucket), (TaskContext.get().partitionId() << 32) + turn, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(bucket, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(whose, pa.binary()), *lists], names=["block", "bucket", "keys", "counts", "who", "ids", "known", "n", "class"])
+
+        size = rows_held = 0
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= 8 << 20:
-                yield flush()
-                held, size = [], 0
-        if held:
+            for sets in read(batch):
+                held.append(sets)
+                size += sum(map(len, sets[4]))
+                rows_held += len(sets[0])
+                if size >= BLOCK or rows_held >= 50_000:
+                    yield flush()
+                    held, size, rows_held, turn = [], 0, 0, turn + 1
+        if rows_held:
             yield flush()
 
-    def lists(table: pa.Table, whole: bool = False) -> pa.Table:
-        cls = np.frombuffer(b"".join(table["cls"].to_pylist()), np.int64)
-        comp = np.frombuffer(b"".join(table["comp"].to_pylist()), np.int64) if salt else cls
-        m = [len(x) // 8 for x in table["cls"].to_pylist()]
-        keys = np.concatenate([_unpack(x, c) for x, c in zip(table["keys"].to_pylist(), m)])
-        sizes = [np.frombuffer(x, np.uint16).reshape(2, -1) for x in table["sizes"].to_pylist()]
-        n, most = (np.concatenate([s[i] for s in sizes]).astype(np.int64) for i in (0, 1))
-        most[most == _NO_BOUND] = 1 << 40
-        order = np.lexsort((cls, keys))  # merges the runs; a list's classes ascend
-        keys, cls, comp, n, most = keys[order], cls[order], comp[order], n[order], most[order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])])  # copies once
-        keys, cls, comp, n, most = keys[new], cls[new], comp[new], n[new], most[new]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        end = np.append(at[1:], len(keys))
-        if whole:
-            several = np.minimum.reduceat(comp, at) < np.maximum.reduceat(comp, at)
-            use = np.repeat(several & (end - at > SUMMARISED), end - at)
-            named = (int(table["bucket"][0].as_py()) << 28) | keys.astype(np.int64)
-            return pa.table({"list": named[use], "class": cls[use], "comp": comp[use], "n": n[use], "most": most[use]})
-        left, right = [], []
-        two = at[end - at == 2]
-        ok = (comp[two] != comp[two + 1]) & (n[two] <= most[two + 1]) & (n[two + 1] <= most[two])
-        left.append(cls[two[ok]])
-        right.append(cls[two[ok] + 1])
-        for a, b in zip(at[end - at > 2].tolist(), end[end - at > 2].tolist()):
-            c, g, s, t = cls[a:b], comp[a:b], n[a:b], most[a:b]
-            if salt and (g == g[0]).all() or not leaders and b - a > SUMMARISED:
-                continue
-            if salt:
-                order = np.argsort(mix(c.view(np.uint64) ^ np.uint64(salt)))
-                c, g, s, t = c[order], g[order], s[order], t[order]
-            free = np.full(len(c), leaders or len(c))
-            for i in range(len(c) - 1):
-                fit = np.flatnonzero((free[i + 1 :] > 0) & (g[i + 1 :] != g[i]) & (s[i + 1 :] <= t[i]) & (s[i] <= t[i + 1 :])) + i + 1
-                if len(fit):
-                    left.append(np.full(len(fit), c[i]))
-                    right.append(c[fit])
-                    free[fit] -= 1
-        x, y = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    def summarised(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["class"].to_numpy())
-        c, g, s, t = (table[x].to_numpy()[order] for x in ("class", "comp", "n", "most"))
-        bits = np.frombuffer(b"".join(table["summary"].to_pylist()), np.uint64).reshape(len(c), -1)[order]
-        left, right = [c[:0]], [c[:0]]
-        for i in range(len(c) - 1):
-            fit = np.flatnonzero((g[i + 1 :] != g[i]) & (s[i + 1 :] <= t[i]) & (s[i] <= t[i + 1 :])) + i + 1
-            differ = np.bitwise_count(bits[fit] ^ bits[i]).sum(1, dtype=np.int64)
-            fit = fit[differ * (100 + percent) <= (100 - percent) * (s[fit] + s[i])]
-            left.append(np.full(len(fit), c[i]))
-            right.append(c[fit])
-        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
-
-    posted = sigs.select("n_shingles", "class", "comp", "prefix").mapInArrow(blocks, "bucket int, keys binary, cls binary, comp binary, sizes binary").groupBy("bucket")
-    pairs = posted.applyInArrow(lambda t: lists(t), "a long, b long")
-    if leaders == 0:
-        members = written(posted.applyInArrow(lambda t: lists(t, True), "list long, class long, comp long, n long, most long"), "long-lists")
-        summaries = sigs.join(sized_broadcast(written(members.select("class").distinct(), "members")), "class", "left_semi").groupBy("class").agg(F.first("summary").alias("summary"))
-        pairs = pairs.unionAll(members.join(summaries, "class").groupBy("list").applyInArrow(summarised, "a long, b long"))
-    return pairs.distinct()
-
-
-def pack_set(s: np.ndarray) -> bytes:
-    """The first 48 bits of a sorted set's hashes: the count, 2 bytes each, and 4 bytes each as compressed deltas."""
-    high, low = (s >> np.uint64(32)).astype("<u4"), ((s >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2")
-    return len(s).to_bytes(4, "little") + low.tobytes() + _pack(high)
-
-
-def unpack_set(blob: memoryview) -> np.ndarray:
-    n = int.from_bytes(blob[:4], "little")
-    low = np.frombuffer(blob[4 : 4 + 2 * n], "<u2")
-    return (_unpack(blob[4 + 2 * n :], n).astype(np.uint64) << np.uint64(16)) | low
-
-
-def class_sets(docs: DataFrame, size: int) -> DataFrame:
-    """class, shingles (packed set) of every document of docs."""
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def list_lengths(posted: DataFrame) -> DataFrame:
+    """block, bucket, codes: for the distinct keys of a block in a bucket the length of their lists over all blocks, up to
+    255; only for rows with some list of two or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        runs, counts = [unpack_sorted(k) for k in table["keys"].to_pylist()], [unpack(c) for c in table["counts"].to_pylist()]
+        key = np.concatenate(runs)
+        order = np.argsort(key, kind="stable")
+        at = _runs(key[order])
+        length = np.add.reduceat(np.concatenate(counts)[order], at[:-1])
+        codes = np.empty(len(key), np.uint8)
+        codes[order] = np.repeat(np.minimum(length, 255), np.diff(at)).astype(np.uint8)
+        ends = np.cumsum([len(r) for r in runs])
+        codes = [codes[e - len(r) : e] for r, e in zip(runs, ends.tolist())]
+        some = [i for i, c in enumerate(codes) if (c > 1).any()]
+        return pa.table({"block": table["block"].combine_chunks().take(pa.array(some, pa.int64())), "bucket": table["bucket"].combine_chunks().take(pa.array(some, pa.int64())), "codes": pa.array([pack(codes[i]) for i in some], pa.binary())})
+
+    return posted.where("bucket >= 0").select("block", "bucket", "keys", "counts").groupBy("bucket").applyInArrow(run, "block long, bucket long, codes binary")
+
+
+def in_company(posted: DataFrame, percent: int) -> DataFrame:
+    """id, class, n, kept, keys, codes of the sets of which at least the threshold's share of shingles is in lists
+    with others, and those shingles alone."""
+    names = "id long, class long, n long, kept int, keys binary, codes binary"
+    schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("kept", pa.int32()), ("keys", pa.binary()), ("codes", pa.binary())])
+
+    def run(own: pa.Table, lengths: pa.Table) -> pa.Table:
+        if not own.num_rows or not lengths.num_rows:
+            return schema.empty_table()
+        codes = dict(zip(lengths["bucket"].to_pylist(), lengths["codes"].to_pylist()))
+        own = own.sort_by("bucket")
+        ids, known, n, cls = (np.array(own[c][0].as_py()) for c in ("ids", "known", "n", "class"))
+        key, code, who = [], [], []
+        for bucket, k, c, w in zip(*(own[x].to_pylist() for x in ("bucket", "keys", "counts", "who"))):
+            if bucket in codes:
+                counts, of = unpack(c).astype(np.int64), unpack(codes[bucket])
+                use = np.repeat(of > 1, counts)
+                key.append(np.repeat(unpack_sorted(k), counts)[use])
+                code.append(np.repeat(of, counts)[use].astype(np.uint8))
+                who.append(unpack(w)[use].astype(np.int64))
+        key, code, who = np.concatenate(key), np.concatenate(code), np.concatenate(who)
+        kept = np.bincount(who, minlength=len(n))
+        live = known & (n > 0) & (100 * kept >= percent * n)
+        use = live[who]
+        key, code, who = key[use], code[use], who[use]
+        order = np.argsort(who, kind="stable")  # a document's keys stay in order
+        key, code = key[order], code[order]
+        at = np.flatnonzero(live)
+        ends = np.cumsum(kept[at])
+        spans = list(zip((ends - kept[at]).tolist(), ends.tolist()))
+        return pa.table([ids[at], cls[at], n[at], kept[at].astype(np.int32), pa.array([pack_sorted(key[a:b]) for a, b in spans], pa.binary()), pa.array([pack(code[a:b]) for a, b in spans], pa.binary())], schema=schema)
+
+    return posted.groupBy("block").cogroup(list_lengths(posted).groupBy("block")).applyInArrow(run, names)
+
+
+def first_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """key, class, n, most: the first lists of each class in order of (length, key), and the largest set that a
+    partner met in this list can have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                sets = [s for s in shingle_sets(data, offsets, size) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_class(s) for s in sets], np.uint64).view(np.int64)), pa.array([pack_set(s) for s in sets], pa.binary())], names=["class", "shingles"])
+            parts = []
+            for cls, n, k, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                key, code = unpack_sorted(k), unpack(c)
+                need = (percent * n + 99) // 100
+                first = np.lexsort((key, code))[: len(key) - need + 1]
+                most = (len(key) - np.arange(len(first))) * (100 + percent) // percent - n
+                parts.append((key[first].view(np.int64), np.full(len(first), cls), np.full(len(first), n), most))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i in range(4)], names=["key", "class", "n", "most"])
 
-    return docs.select("text").mapInArrow(run, "class long, shingles binary")
+    return classes.select("class", "n", "keys", "codes").mapInArrow(run, "key long, class long, n long, most long")
 
 
 def occurrences(x: np.ndarray, y: np.ndarray) -> int:
     """In how many of x's lists y occurs, by binary search of the shorter sorted set in the longer."""
     x, y = (x, y) if len(x) <= len(y) else (y, x)
-    return int(_member(y, x).sum())
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
 
 
-def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
+def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = unpack_set(memoryview(x.as_buffer())), unpack_set(memoryview(y.as_buffer()))
-                both = occurrences(s, t)
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                both = occurrences(unpack_sorted(x), unpack_sorted(y))
+                keep.append(100 * both >= percent * (n + m - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda c: sets.select(F.col("class").alias(c), F.col("shingles").alias(f"of_{c}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
+    of = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"of_{c}"))
+    joined = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", "of_a", "of_b")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, at_least: int = 64, max_long: int = 1_000_000) -> DataFrame:
+def divide_skip(lists: list[np.ndarray], need: int, fits: Callable[[np.ndarray], np.ndarray], goal: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, dict[str, int]]:
+    """T-occurrence search: the ids that occur in at least goal(ids) >= need of the sorted lists, of those that fit.
+    Also gives the number of long lists, and of ids merged, left after the count, and probed in long lists."""
+    lists = sorted(lists, key=len)
+    longest = len(lists[-1]) if lists else 0
+    aside = min(need - 1, len(lists), int(need / (MU * np.log2(max(longest, 2)) + 1)))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    merged = np.sort(np.concatenate(short), kind="stable") if short else np.zeros(0, np.int64)  # a merge of sorted runs
+    at = _runs(merged)
+    ids, count = merged[at[:-1]], np.diff(at)
+    ids, count = ids[count >= need - aside], count[count >= need - aside]
+    use = fits(ids)
+    ids, count = ids[use], count[use]
+    said = {"long": aside, "merged": len(merged), "counted": len(ids), "probed": 0}
+    goals = goal(ids)
+    for left, one in zip(range(aside, 0, -1), long):
+        use = count + left >= goals
+        ids, count, goals = ids[use], count[use], goals[use]
+        if not len(ids):
+            break
+        said["probed"] += len(ids)
+        place = np.searchsorted(one, ids)
+        count = count + (one[np.minimum(place, len(one) - 1)] == ids)
+    return ids[count >= goals], said
+
+
+def region_links(members: DataFrame, percent: int) -> DataFrame:
+    """members (task, region, tile, class, comp, n, keys) -> links (a, b) that join two components, found by
+    DivideSkip within each task's rows; rows of two tiles meet only across the tiles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("class")
+        cls, comp, n, region, tile = (table[c].to_numpy() for c in ("class", "comp", "n", "region", "tile"))
+        sets = [unpack_sorted(k) for k in table["keys"].to_pylist()]
+        kept = np.array([len(s) for s in sets], np.int64)
+        most = kept * (100 + percent) // percent - n
+        who = np.repeat(np.arange(len(sets)), kept)
+        key = np.concatenate(sets)
+        order = np.argsort(key, kind="stable")  # ids ascend within a list
+        key, who = key[order], who[order]
+        at = _runs(key)
+        number = np.empty(len(key), np.int64)
+        number[order] = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        starts = np.cumsum(kept) - kept
+        apart = tile.max() != tile.min() and (region == region[0]).all()
+        names, comp = np.unique(comp, return_inverse=True)
+        size = np.bincount(comp)
+        biggest = {}
+        for r, c in {(int(r), int(c)) for r, c in zip(region, comp)}:
+            if r not in biggest or size[c] > size[biggest[r]]:
+                biggest[r] = c
+        skip = np.array([biggest[r] for r in region.tolist()]) == comp
+        left, right = [], []
+        for x in np.flatnonzero(~skip).tolist():
+            own = number[starts[x] : starts[x] + kept[x]]
+            lists = [who[at[i] : at[i + 1]] for i in own.tolist() if at[i + 1] - at[i] > 1]
+            need = int(percent * n[x] + 99) // 100
+
+            def fits(ids: np.ndarray, x: int = x) -> np.ndarray:
+                ok = (comp[ids] != comp[x]) & (region[ids] == region[x]) & (n[ids] <= most[x]) & (n[x] <= most[ids])
+                return ok & (tile[ids] != tile[x]) if apart else ok
+
+            goal = lambda ids, x=x: (percent * (n[ids] + n[x]) + 99 + percent) // (100 + percent)
+            if len(lists) < need:
+                continue
+            found, _ = divide_skip(lists, need, fits, goal)
+            for y in found.tolist():
+                if comp[y] != comp[x]:
+                    left.append(cls[x])
+                    right.append(cls[y])
+                    comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return members.groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def residual_links(lists: DataFrame, classes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of links, from the first lists that hold several of them."""
+    comps = written(components(links), "components").select(F.col("node").alias("_c"), F.col("root").alias("comp"))
+    labelled = lists.select("key", "class").join(comps, F.col("class") == F.col("_c"), "left").select("key", "class", F.coalesce("comp", "class").alias("comp"))
+    several = labelled.groupBy("key").agg(F.min("class").alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    ties = written(lists.select("key", "class").join(several.select("key", "lead"), "key").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "ties")
+    regions = written(components(ties), "regions").select(F.col("node").alias("class"), F.col("root").alias("region"))
+    members = classes.join(regions, "class").join(comps, F.col("class") == F.col("_c"), "left")
+    members = members.select("region", "class", F.coalesce("comp", "class").alias("comp"), "n", "kept", "keys")
+    sizes = written(members.groupBy("region").agg(F.sum("kept").alias("total")), "region-sizes")
+    tasks = max(1, int((sizes.agg(F.sum("total")).first()[0] or 0) / TILE))
+    sizes = sizes.select("region", F.ceil(F.col("total") / TILE).cast("int").alias("tiles"))
+    dealt = members.join(sizes, "region").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pair = F.xxhash64("region", F.least("tile", "other"), F.greatest("tile", "other"))
+    dealt = dealt.withColumn("task", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("region"), F.lit(tasks))).otherwise(pair))
+    return region_links(dealt.select("task", "region", "tile", "class", "comp", "n", "keys"), percent)
+
+
+def _bits(shingles: float) -> int:
+    return max(5, int(shingles / BUCKET).bit_length())
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row per row of docs."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, min(16, int(chars / 6 / 1_000_000).bit_length()))  # about a million keys a bucket
-    sigs = written(signatures(docs, size, percent, bits, long_lists(docs, size, bits, at_least, max_long)), "signatures")
-    usable = sigs.where("n_shingles > 0 and doc_id is not null")
-    pairs = written(candidates(usable.withColumn("comp", F.col("class")), percent, bits, 0, 1), "pairs")
-    classes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    classes = sized_broadcast(written(classes, "classes"))
-    suspects = written(usable.join(classes, "class", "left_semi"), "suspects")
-    chosen = written(suspects.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    texts = docs.join(sized_broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    sets = written(class_sets(texts, size), "sets")
-    if sets.count() > chosen.count():  # only if doc_ids repeat
-        sets = written(sets.dropDuplicates(["class"]), "sets")
-    links = written(probed(pairs, sets, percent), "links")
-    for salt, leaders in ((1, 8), (2, 0)):
-        comps = written(components(links), "components")
-        comp = suspects.join(comps, suspects["class"] == comps["node"], "left").select("n_shingles", "class", "prefix", "summary", F.coalesce("root", "class").alias("comp"))
-        more = candidates(comp, percent, bits, salt, leaders).join(pairs, ["a", "b"], "left_anti")
-        more = written(more, "pairs")
-        ends = written(more.select(F.col("a").alias("class")).union(more.select("b")).distinct(), "ends")
-        found = written(probed(more, sets.join(sized_broadcast(ends), "class", "left_semi"), percent), "links")
-        pairs, links = pairs.unionAll(more), links.unionAll(found)
-    comps = written(components(links), "components")
-    rows = sigs.join(comps, sigs["class"] == comps["node"], "left").withColumn("comp", F.coalesce("root", "class"))
+    posted = written(blocks(docs, from_texts(size), _bits(chars / 6)), "blocks")
+    each = F.explode(F.arrays_zip("ids", "known", "n", "class")).alias("x")
+    sigs = posted.where("bucket = -1").select(each).select(F.when(F.col("x.known"), F.col("x.ids")).alias("doc_id"), F.col("x.n").alias("n_shingles"), F.col("x.class").alias("class"))
+    sigs = written(sigs, "signatures")
+    rows = written(in_company(posted, percent), "in-company")
+    dropped(posted)
+    folded = written(rows.groupBy("class").agg(F.first("n").alias("n"), F.sum("kept").alias("kept"), F.first("keys").alias("keys")), "classes")
+    dropped(rows)
+    again = written(blocks(folded.select("class", "n", "keys"), from_classes, _bits(folded.agg(F.sum("kept")).first()[0] or 0)), "class-blocks")
+    classes = written(in_company(again, percent), "classes-in-company")
+    dropped(again, folded)
+    lists = written(first_lists(classes, percent), "lists")
+    leads = lists.groupBy("key").agg(F.min(F.struct("class", "n", "most")).alias("lead"), F.count("*").alias("length")).where("length > 1").select("key", "lead")
+    fit = (F.col("class") > F.col("lead.class")) & (F.col("n") <= F.col("lead.most")) & (F.col("lead.n") <= F.col("most"))
+    stars = written(lists.join(leads, "key").where(fit).select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), "stars")
+    links = written(verified(stars, classes, percent), "links")
+    more = written(residual_links(lists, classes, links, percent), "more-links")
+    comps = written(components(links.unionByName(more)), "components")
+    rows = sigs.join(sized_broadcast(comps), sigs["class"] == comps["node"], "left").withColumn("comp", F.coalesce("root", "class"))
     rows = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
     smallest = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"))
     smallest = written(smallest.where("n > 1").select(F.col("comp").alias("of"), "smallest"), "smallest")
-    joined = rows.join(smallest, rows["comp"] == smallest["of"], "left")
+    joined = rows.join(sized_broadcast(smallest), rows["comp"] == smallest["of"], "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
