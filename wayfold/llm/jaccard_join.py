@@ -41,8 +41,9 @@ from wayfold.llm.common import dropped, sized_broadcast, small_batches, text_chu
 from wayfold.llm.components import components
 from wayfold.llm.words import mix, word_bounds, word_hashes
 
-#: Bits of a list key; shingles of a block, of a bucket and of a tile.
-KEY, BLOCK, BUCKET, TILE = 48, 1_000_000, 1_000_000, 1_000_000
+#: Bits of a list key, and of its part behind the bucket's bits by which lists are measured (longer keys may share a
+#: length, which only lets more pass); shingles of a block, of a bucket and of a tile.
+KEY, MEASURED, BLOCK, BUCKET, TILE = 48, 28, 600_000, 1_000_000, 1_000_000
 #: The weight of DivideSkip's rule for the number of long lists.
 MU = 0.01
 _rng = np.random.default_rng(5)
@@ -103,6 +104,10 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
+def _tail(bits: int) -> np.uint64:
+    return np.uint64(max(0, KEY - bits - MEASURED))
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     """Where the runs of equal values of a sorted array start, and its length."""
     return np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), len(x)) if len(x) else np.zeros(1, np.int64)
@@ -110,7 +115,7 @@ def _runs(x: np.ndarray) -> np.ndarray:
 
 #: What a reader of batches gives: ids, whether they count, set sizes, classes, sorted 48-bit keys.
 Sets = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
-BLOCKS = "block long, bucket long, keys binary, counts binary, who binary, ids array<long>, known array<boolean>, n array<long>, class array<long>"
+BLOCKS = "block long, bucket long, keys binary, tails binary, counts binary, who binary, ids array<long>, known array<boolean>, n array<long>, class array<long>"
 
 
 def from_texts(size: int) -> Callable[[pa.RecordBatch], Iterator[Sets]]:
@@ -139,7 +144,7 @@ def blocks(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Sets]], bi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Sets] = []
-        turn = 0
+        turn, tail = 0, _tail(bits)
 
         def flush() -> pa.RecordBatch:
             ids, known, n, cls = (np.concatenate([h[i] for h in held]) for i in range(4))
@@ -149,17 +154,19 @@ def blocks(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Sets]], bi
             order = np.argsort(key, kind="stable")
             key, who = key[order], who[order]
             cuts = _runs(key >> np.uint64(KEY - bits))
-            bucket, keys, counts, whose = [-1], [None], [None], [None]
+            bucket, keys, tails, counts, whose = [-1], [None], [None], [None], [None]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own = key[a:b]
                 at = _runs(own)
                 bucket.append(int(own[0]) >> (KEY - bits))
-                keys.append(pack_sorted(own[at[:-1]]))
+                own = own[at[:-1]]
+                keys.append(pack_sorted(own >> tail))
+                tails.append(pack(own & ((np.uint64(1) << tail) - np.uint64(1))))
                 counts.append(pack(np.diff(at)))
                 whose.append(pack(who[a:b]))
             lists = [pa.array([x.tolist()] + [None] * (len(bucket) - 1), pa.list_(t)) for x, t in ((ids, pa.int64()), (known, pa.bool_()), (n, pa.int64()), (cls, pa.int64()))]
             block = np.full(len(bucket), (TaskContext.get().partitionId() << 32) + turn, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(bucket, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(whose, pa.binary()), *lists], names=["block", "bucket", "keys", "counts", "who", "ids", "known", "n", "class"])
+            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(bucket, pa.int64()), pa.array(keys, pa.binary()), pa.array(tails, pa.binary()), pa.array(counts, pa.binary()), pa.array(whose, pa.binary()), *lists], names=["block", "bucket", "keys", "tails", "counts", "who", "ids", "known", "n", "class"])
 
         size = rows_held = 0
         for batch in batches:
@@ -196,7 +203,7 @@ def list_lengths(posted: DataFrame) -> DataFrame:
     return posted.where("bucket >= 0").select("block", "bucket", "keys", "counts").groupBy("bucket").applyInArrow(run, "block long, bucket long, codes binary")
 
 
-def in_company(posted: DataFrame, percent: int) -> DataFrame:
+def in_company(posted: DataFrame, percent: int, bits: int) -> DataFrame:
     """id, class, n, kept, keys, codes of the sets of which at least the threshold's share of shingles is in lists
     with others, and those shingles alone."""
     names = "id long, class long, n long, kept int, keys binary, codes binary"
@@ -209,11 +216,11 @@ def in_company(posted: DataFrame, percent: int) -> DataFrame:
         own = own.sort_by("bucket")
         ids, known, n, cls = (np.array(own[c][0].as_py()) for c in ("ids", "known", "n", "class"))
         key, code, who = [], [], []
-        for bucket, k, c, w in zip(*(own[x].to_pylist() for x in ("bucket", "keys", "counts", "who"))):
+        for bucket, k, t, c, w in zip(*(own[x].to_pylist() for x in ("bucket", "keys", "tails", "counts", "who"))):
             if bucket in codes:
                 counts, of = unpack(c).astype(np.int64), unpack(codes[bucket])
                 use = np.repeat(of > 1, counts)
-                key.append(np.repeat(unpack_sorted(k), counts)[use])
+                key.append(np.repeat((unpack_sorted(k) << _tail(bits)) | unpack(t), counts)[use])
                 code.append(np.repeat(of, counts)[use].astype(np.uint8))
                 who.append(unpack(w)[use].astype(np.int64))
         key, code, who = np.concatenate(key), np.concatenate(code), np.concatenate(who)
@@ -381,16 +388,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    posted = written(blocks(docs, from_texts(size), _bits(chars / 6)), "blocks")
+    bits = _bits(chars / 6)
+    posted = written(blocks(docs, from_texts(size), bits), "blocks")
     each = F.explode(F.arrays_zip("ids", "known", "n", "class")).alias("x")
     sigs = posted.where("bucket = -1").select(each).select(F.when(F.col("x.known"), F.col("x.ids")).alias("doc_id"), F.col("x.n").alias("n_shingles"), F.col("x.class").alias("class"))
     sigs = written(sigs, "signatures")
-    rows = written(in_company(posted, percent), "in-company")
+    rows = written(in_company(posted, percent, bits), "in-company")
     dropped(posted)
     folded = written(rows.groupBy("class").agg(F.first("n").alias("n"), F.sum("kept").alias("kept"), F.first("keys").alias("keys")), "classes")
     dropped(rows)
-    again = written(blocks(folded.select("class", "n", "keys"), from_classes, _bits(folded.agg(F.sum("kept")).first()[0] or 0)), "class-blocks")
-    classes = written(in_company(again, percent), "classes-in-company")
+    bits = _bits(folded.agg(F.sum("kept")).first()[0] or 0)
+    again = written(blocks(folded.select("class", "n", "keys"), from_classes, bits), "class-blocks")
+    classes = written(in_company(again, percent, bits), "classes-in-company")
     dropped(again, folded)
     lists = written(first_lists(classes, percent), "lists")
     leads = lists.groupBy("key").agg(F.min(F.struct("class", "n", "most")).alias("lead"), F.count("*").alias("length")).where("length > 1").select("key", "lead")
