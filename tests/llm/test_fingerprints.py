@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -45,3 +46,15 @@ def test_edges(docs, empty):
     assert fingerprints(empty).count() == 0
     one = fingerprints(docs.where("doc_id = 413")).collect()
     assert one[0].near_next == 1.0
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abcdefghij", k=30)) for _ in range(80_000)]  # 2.5 million characters
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[:70_000] + lines[79_000:])), (3, "\n".join(lines[:50]))]
+    found = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = [t for _, t in rows]
+    for i, t in enumerate(texts):
+        assert abs(found[i + 1].near_next - likeness(t, texts[(i + 1) % 3])) < 1e-9
+    count, _, shards = found[1].fingerprint.partition(";")
+    assert int(count) == 16384 and shards.count(";") > 16000

@@ -7,12 +7,16 @@ cell, which leaves the digests that only one text has; a cell with one of those
 up, it is taken out of its other cells, and so on: peeling. If that ends with cells left, the comparison
 is tried again with sketches four times as large, twice, and then on the digests themselves.
 
-The fingerprint is the text's sketch of 24 cells. A comparison of long texts spreads the digests over as
-many 24-cell sketches as keep about ten differences in each, so its cost stays linear in the text.
-likeness = 1 - differing digests / all digests of both; 1 if both have none.
+The fingerprint of a text is a list of sketches of 24 cells: its digests are dealt by hash into shards, a power of two of
+them that keeps about five in each, so a longer text has more sketches. Cells of two shards add up, so
+fingerprints of different numbers of shards are compared at the smaller number. The likeness is taken from these
+fingerprints; only a shard that does not peel is tried again, larger, from its digests.
+likeness = 1 - differing digests / all digests of both; 1 if both have none. A text's digests are sorted once and sliced
+at the shards' borders, so the work is that of one sort and otherwise linear in the text.
 
 The next document in doc_id order comes from a window within doc_id ranges (approximate quantiles, four per
-shuffle partition), each range closed by a copy of the next range's first row, so no task sees all rows.
+shuffle partition), each range closed by a copy of the next range's first row, so no task sees all rows. A row finds
+its range by a small table of even cells of the id space, which is broadcast (its size is that of the ranges).
 
 Nulls and edges: a null text is empty; equal texts have equal fingerprints; null doc_ids come first; equal
 doc_ids are ordered by text; a single document is its own next; extra columns are ignored; an empty table
@@ -94,42 +98,85 @@ def peel(a: Column, b: Column, bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, done)
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Digests that only one of two arrays has, by peeling, larger sketches on failure."""
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+def exactly(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
 
-    def attempt(sizes: tuple[int, ...]) -> Column:
-        if not sizes:
-            return exact
-        bits, *rest = sizes
-        return let(peel(sketch(a, bits), sketch(b, bits), bits), lambda r: F.when(r["left"], attempt(tuple(rest))).otherwise(r["found"]))
 
-    return attempt(SIZES)
+def again(a: Column, b: Column, sizes: tuple[int, ...]) -> Column:
+    """Digests that only one of two arrays has, by peeling sketches of growing sizes, at last by comparing."""
+    if not sizes:
+        return exactly(a, b)
+    bits, *rest = sizes
+    return let(peel(sketch(a, bits), sketch(b, bits), bits), lambda r: F.when(r["left"], again(a, b, tuple(rest))).otherwise(r["found"]))
+
+
+def sliced(items: Column, key: Callable[[Column], Column]) -> Column:
+    """An array sorted by key -> the arrays of equal keys."""
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (key(F.get(s, i - 1)) != key(F.get(s, i - 2))))
+        return let(starts, lambda at: F.transform(at, lambda b, j: F.slice(s, b, F.coalesce(F.get(at, j + 1), F.size(s) + 1) - b)))
+
+    return let(items, lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(F.array(F.slice(s, 1, 0))))
+
+
+def shards(of: Column) -> Column:
+    """Digests -> their number of shards and, for each shard in use, its number, cells and digests."""
+    number = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.size(of) / F.lit(5.0))), F.lit(0))).cast("int")
+
+    def build(n: Column) -> Column:
+        placed = F.array_sort(F.transform(of, lambda d: F.struct(F.shiftright(d, 40).bitwiseAND((n - 1).cast("long")).alias("s"), d.alias("d"))))
+        parts = F.transform(sliced(placed, lambda x: x["s"]), lambda part: let(F.transform(part, lambda x: x["d"]), lambda ds: F.struct(F.get(part, F.lit(0))["s"].alias("s"), sketch(ds, SIZES[0]).alias("cells"), ds.alias("of"))))
+        return F.struct(n.alias("n"), F.filter(parts, lambda p: p["s"].isNotNull()).alias("parts"))
+
+    return let(number, build)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 - differing / all, of two arrays of digests."""
-    total = F.size(a) + F.size(b)
-    # powers of two of sketches, with about ten differences each at most
-    parts = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(total / F.lit(10.0))), F.lit(0))).cast("int")
-    of = lambda x, s, n: F.filter(x, lambda d: F.shiftright(d, 40).bitwiseAND((n - 1).cast("long")) == s)
-    some = let(parts, lambda n: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, s: acc + let(F.struct(of(a, s, n).alias("a"), of(b, s, n).alias("b")), lambda x: differing(x["a"], x["b"]))))
-    return F.when(total == 0, 1.0).otherwise(1.0 - some / total)
+    """1 - differing / all, of two texts' shards."""
+    size = lambda x: F.aggregate(x["parts"], F.lit(0), lambda n, p: n + F.size(p["of"]))
+    total = size(a) + size(b)
+    side = lambda x, n, sign: F.transform(x["parts"], lambda p: F.struct(p["s"].bitwiseAND((n - 1).cast("long")).alias("s"), F.lit(sign).alias("sign"), p["cells"].alias("cells"), p["of"].alias("of")))
+    empty = F.array_repeat(cell(F.lit(0), F.lit(0), F.lit(0)), 3 << SIZES[0])
+
+    def shard(parts: Column) -> Column:
+        added = F.aggregate(parts, empty, lambda acc, p: F.zip_with(acc, p["cells"], lambda x, y: combined(x, y["n"] * p["sign"], y["k"], y["c"])))
+        digests_of = lambda sign: F.flatten(F.transform(F.filter(parts, lambda p: p["sign"] == sign), lambda p: p["of"]))
+        return let(peel(added, empty, SIZES[0]), lambda r: F.when(r["left"], let(F.struct(digests_of(1).alias("a"), digests_of(-1).alias("b")), lambda x: again(x["a"], x["b"], SIZES[1:]))).otherwise(r["found"]))
+
+    def compare(n: Column) -> Column:
+        both = F.array_sort(F.concat(side(a, n, 1), side(b, n, -1)), lambda x, y: (x["s"] - y["s"]).cast("int"))
+        return F.aggregate(sliced(both, lambda x: x["s"]), F.lit(0), lambda acc, parts: acc + shard(parts))
+
+    return F.when(total == 0, 1.0).otherwise(1.0 - let(F.least(a["n"], b["n"]), compare) / total)
+
+
+def printed(x: Column) -> Column:
+    """The number of shards, then each shard in use with its used cells: number:cell.n.digests.checks,..."""
+    used = lambda cells: F.filter(F.transform(cells, lambda c, i: F.when(c["n"] != 0, F.concat_ws(".", i.cast("string"), c["n"].cast("string"), F.hex(c["k"]), F.hex(c["c"])))), lambda t: t.isNotNull())
+    return F.concat_ws(";", x["n"].cast("string"), F.transform(x["parts"], lambda p: F.concat(p["s"].cast("string"), F.lit(":"), F.concat_ws(",", used(p["cells"])))))
 
 
-def printed(cells: Column) -> Column:
-    return F.concat_ws(",", F.transform(cells, lambda x: F.concat_ws(".", x["n"].cast("string"), F.hex(x["k"]), F.hex(x["c"]))))
+def in_ranges(docs: DataFrame, bounds: list[int]) -> DataFrame:
+    """docs with grp: 1 + the number of bounds at or below doc_id; 1 for a null."""
+    if not bounds:
+        return docs.withColumn("grp", F.lit(1))
+    spark, n, low, width = docs.sparkSession, len(bounds), float(bounds[0]), float(bounds[-1]) - float(bounds[0]) + 1
+    even = lambda c: F.greatest(F.least(F.floor((c.cast("double") - low) / width * n), F.lit(n - 1)), F.lit(0)).cast("int")
+    held = spark.createDataFrame([(b,) for b in bounds], "b long").groupBy(even(F.col("b")).alias("_cell")).agg(F.array_sort(F.collect_list("b")).alias("_within"))
+    cells = spark.range(n).select(F.col("id").cast("int").alias("_cell")).join(held, "_cell", "left")
+    below = F.coalesce(F.sum(F.size("_within")).over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("_within", F.coalesce("_within", F.array().cast("array<bigint>"))).withColumn("_below", below)
+    rows = docs.withColumn("_cell", F.coalesce(even(F.col("doc_id")), F.lit(0))).join(F.broadcast(cells), "_cell")
+    grp = F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("_below") + F.size(F.filter("_within", lambda b: b <= F.col("doc_id"))) + 1)
+    return rows.withColumn("grp", grp.cast("int")).drop("_cell", "_within", "_below")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, digests) -> with next_text and next_digests, the next row's in doc_id order."""
     ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
-    bounds = sorted(set(bounds or []))
-    grp = F.coalesce(F.expr(f"array_position(transform(array({','.join(f'{b}L' for b in bounds)}), b -> b > doc_id), true)").cast("int"), F.lit(0)) if bounds else F.lit(0)
-    # ids below the first bound are in range 1, at or above the last in range 0, renumbered to come last
-    grp = F.when(F.col("doc_id").isNull(), 1).otherwise(F.when(grp == 0, len(bounds) + 1).otherwise(grp))
-    rows = docs.withColumn("grp", grp)
+    rows = in_ranges(docs, sorted(set(bounds or [])))
     firsts = written(rows.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("first")).select("grp", "first.doc_id"), "range-firsts")
     by_range = Window.orderBy("grp")  # one row per range
     before = firsts.withColumn("closes", F.coalesce(F.lag("grp").over(by_range), F.max("grp").over(Window.partitionBy())))
@@ -150,13 +197,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2)
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half.cast("int")))
-    rows = rows.withColumn("edited", edited).withColumn("edited_digests", digests(F.col("edited")))
+    rows = rows.withColumn("edited", edited).withColumn("own", shards(F.col("digests"))).withColumn("next", shards(F.col("next_digests")))
+    rows = rows.withColumn("other", shards(digests(F.col("edited"))))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        printed(sketch(F.col("digests"), SIZES[0])).alias("fingerprint"),
-        printed(sketch(F.col("edited_digests"), SIZES[0])).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"),
-        likeness(F.col("digests"), F.col("next_digests")).alias("near_next"),
+        printed(F.col("own")).alias("fingerprint"),
+        printed(F.col("other")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
