@@ -1,14 +1,16 @@
 """Secret scans: base rules plus a character convolutional network over every candidate in its context.
 
 Base rules (kinds assign, access, hex) give spans that always stay. Candidates of the network are all
-runs of 12 or more of [A-Za-z0-9+/_.=-] that mix a digit with a letter, or case inside a word, and overlap no
-base span; nothing is sampled or cut. Each is read with its surroundings (24 characters before, 40
-of it, 8 behind), a longer one in overlapping windows of 40 over its whole length, by a small network in numpy (long ones by a second, with its own threshold): character embedding, one convolution, maximum over places,
-logistic output. It is trained on labelled findings (`labelled_findings`, written out from documented
-generators of secrets and of harmless strings), its output is calibrated by Platt scaling on held-back
-findings, and the threshold is the largest at which recall on them is still `recall`; a long finding
-counts by its best window. Added spans have the kind learned: short candidates whole, of longer ones the windows
-at the threshold, widened to the next of / . = on both sides.
+runs of 12 or more of [A-Za-z0-9+/_.=-] of whatever make-up; only those that a base span covers whole are left out, as
+nothing could be added. Each is read with its surroundings (24 characters before, 40 of it, 8 behind; characters
+beyond ASCII count as ?), a longer one in overlapping windows of 40 over its whole length, by a small network in
+numpy (long ones by a second, with its own threshold): character embedding, one convolution, maximum over places,
+logistic output. It is trained on labelled findings (`labelled_findings` and `long_findings`, written out from
+documented generators of secrets and of harmless strings, so the labels are synthetic), its output is calibrated by
+Platt scaling on held-back findings, and the threshold is the largest at which recall on them is still `recall`; a
+long finding counts by its best window. Added spans have the kind learned: short candidates whole, of longer ones the
+windows at the threshold, widened to the next of / . = on both sides. A learned span may overlap base spans; masking
+takes their union.
 
 Nulls and edges: a null or empty text has no spans (hash of the empty string, empty list); a null doc_id and
 repeated rows pass; extra columns are ignored; an empty table gives an empty result.
@@ -33,7 +35,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 #: Both rules take maximal runs and then drop short ones; the bounded forms find the same spans.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9]|[A-Za-z0-9+/_.=-]*[a-z][A-Z])[A-Za-z0-9+/_.=-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 BEFORE, INSIDE, BEHIND = 24, 40, 8
 WIDTH = BEFORE + INSIDE + BEHIND
 STEP = 10
@@ -51,14 +53,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """All runs but those within one base span."""
     found = [m.span() for m in CANDIDATE.finditer(text)]
-    if base and found:
-        found = [(a, b) for a, b in found if not any(s < b and a < e for s, _, e in base)]
-    return [(a, b) for a, b in found if any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b]) or re.search("[a-z][A-Z]", text[a:b])]
+    return [(a, b) for a, b in found if not any(s <= a and b <= e for s, _, e in base)] if base else found
 
 
 def window(text: str, a: int, b: int) -> bytes:
-    """The candidate in its surroundings as WIDTH byte codes; other characters are code 1, padding 0."""
+    """The candidate in its surroundings as WIDTH byte codes; other characters are ?, padding 0."""
     one = lambda s: s.encode("ascii", "replace")
     inside = one(text[a : min(b, a + INSIDE)])
     return one(text[max(0, a - BEFORE) : a]).rjust(BEFORE, b"\0") + inside.ljust(INSIDE, b"\0") + one(text[b : b + BEHIND]).ljust(BEHIND, b"\0")
@@ -83,11 +84,16 @@ def widened(text: str, a: int, b: int, fired: list[tuple[int, int]]) -> list[tup
     return out
 
 
+#: The commonest letter pairs of English, of which harmless words are made.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch be ma si om ur sc ge ei el la qu ue os do au ie em un da za bo ga wh bl".split()
+
+
 def makers(rng: np.random.Generator) -> tuple:
     """Generators of a word, of secrets and of harmless strings."""
-    pick = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
+    pick = lambda alphabet, k: "".join([alphabet[i] for i in rng.integers(0, len(alphabet), k).tolist()])
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     word = lambda: pick(low, int(rng.integers(2, 10)))
+    natural = lambda least, most: pick(PAIRS, int(rng.integers(least, most)))
     full = low + up + dig
     secrets = [
         lambda: pick(full, int(rng.integers(20, 41))),
@@ -96,6 +102,9 @@ def makers(rng: np.random.Generator) -> tuple:
         lambda: pick(low, 3) + "-" + pick(full, int(rng.integers(24, 41))),
         lambda: pick(up + dig, int(rng.integers(18, 33))),
         lambda: ".".join(pick(full + "_-", int(rng.integers(12, 20))) for _ in range(3)),
+        lambda: pick("0123456789ABCDEF", int(rng.integers(24, 41))),
+        lambda: pick(low, int(rng.integers(24, 41))),
+        lambda: pick(up, int(rng.integers(24, 41))),
     ]
     harmless = [
         lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(0, 24):02d}",
@@ -107,6 +116,17 @@ def makers(rng: np.random.Generator) -> tuple:
         lambda: f"{word()}.{word()}_{rng.integers(10, 9999)}",
         lambda: f"{pick(dig, 3)}-{pick(dig, 3)}-{pick(dig, 4)}-x{pick(dig, 3)}",
         lambda: word() * 2 + ".." + word().title() + "." + word(),
+        lambda: natural(6, 9) + ("." if rng.random() < 0.2 else ""),
+        lambda: natural(8, 16),
+        lambda: natural(6, 12).title() + ("." if rng.random() < 0.2 else ""),
+        lambda: natural(6, 10).upper(),
+        lambda: natural(3, 5) + "-" + natural(3, 5) + ("-" + natural(2, 4) if rng.random() < 0.5 else ""),
+        lambda: natural(2, 5) + "." + natural(4, 6).title(),
+        lambda: natural(4, 8) + "." + str(rng.integers(10, 99)),
+        lambda: ".".join(str(rng.integers(1, 256)) for _ in range(4)),
+        lambda: pick(dig, int(rng.integers(12, 31))),
+        lambda: pick("-=._", 1) * int(rng.integers(12, 60)),
+        lambda: word() + str(rng.integers(0, 9)) + ".example.com",
     ]
     return word, secrets, harmless
 
@@ -146,7 +166,8 @@ def labelled_findings(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
         labels[i] = i % 2
         value = (secrets if labels[i] else harmless)[int(rng.integers(len(secrets) if labels[i] else len(harmless)))]()
         before = " ".join(word() for _ in range(5)) + " " + (hints[int(rng.integers(len(hints)))] if labels[i] or rng.random() < 0.2 else "")
-        rows.append(window(before + value + " " + word() + " " + word(), len(before), len(before) + len(value)))
+        behind = f":{rng.integers(0, 60):02d}:{rng.integers(0, 60):02d}" if re.search(r"T\d\d$", value) and not labels[i] else ""
+        rows.append(window(before + value + behind + " " + word() + " " + word(), len(before), len(before) + len(value)))
     return np.frombuffer(b"".join(rows), np.uint8).reshape(n, WIDTH), labels
 
 
@@ -170,14 +191,14 @@ class Network:
         return wide, wide @ self.c + self.cb
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        out = [np.maximum(self.hidden(x[lo : lo + 512])[1].max(1), 0) @ self.o + self.ob for lo in range(0, len(x), 512)]
+        out = [np.maximum(self.hidden(x[lo : lo + 128])[1].max(1), 0) @ self.o + self.ob for lo in range(0, len(x), 128)]
         return np.concatenate(out) if out else np.zeros(0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
 
 
-def train(n: int = 3000, recall: float = 0.98, epochs: int = 8, seed: int = 11) -> Network:
+def train(n: int = 7000, recall: float = 0.98, epochs: int = 6, seed: int = 11) -> Network:
     """The network of n findings, and as its `long` one that has also learnt windows of long findings and has its
     threshold from these."""
     x, y = labelled_findings(n)
@@ -192,8 +213,8 @@ def fitted(x: np.ndarray, y: np.ndarray, of: np.ndarray, first_of: int, recall:
     threshold on those of the rest from number first_of on."""
     part = of % 10 < 8
     rng = np.random.default_rng(seed)
-    dim, hid = 8, 24
-    net = Network(rng.normal(0, 0.3, (128, dim)), rng.normal(0, 0.2, (5 * dim, hid)), np.zeros(hid), rng.normal(0, 0.2, hid), 0.0)
+    dim, hid = 8, 32
+    net = Network(*(v.astype(np.float32) for v in (rng.normal(0, 0.3, (128, dim)), rng.normal(0, 0.2, (5 * dim, hid)), np.zeros(hid), rng.normal(0, 0.2, hid))), 0.0)
     names = ("e", "c", "cb", "o")
     first, second = ({k: np.zeros_like(getattr(net, k)) for k in names} for _ in range(2))
     step = 0
@@ -207,7 +228,7 @@ def fitted(x: np.ndarray, y: np.ndarray, of: np.ndarray, first_of: int, recall:
             top = np.take_along_axis(h, at[:, None, :], 1)[:, 0]
             act = np.maximum(top, 0)
             z = act @ net.o + net.ob
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[fit[lo : lo + 64]]) / len(b)
+            d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[fit[lo : lo + 64]]) / len(b)).astype(np.float32)
             dh = np.where(top > 0, d[:, None] * net.o, 0)
             rows = np.arange(len(b))[:, None]
             chosen = wide[rows, at]
@@ -222,7 +243,7 @@ def fitted(x: np.ndarray, y: np.ndarray, of: np.ndarray, first_of: int, recall:
             for k in names:
                 first[k] = 0.9 * first[k] + 0.1 * grad[k]
                 second[k] = 0.999 * second[k] + 0.001 * grad[k] ** 2
-                setattr(net, k, getattr(net, k) - 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8))
+                setattr(net, k, getattr(net, k) - np.float32(0.01) * (first[k] / np.float32(1 - 0.9**step)) / (np.sqrt(second[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8)))
     z, t = net.logits(x[~part]), y[~part]
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30)))
