@@ -51,7 +51,7 @@ def test_jaccard_components_of_near_groups(spark, monkeypatch, shape):
     monkeypatch.setattr(jaccard_join, "TILE", 3_000)
     frame = near_groups(spark, *shape)
     rows = [(r.doc_id, r.text) for r in frame.collect()]
-    found = Counter(map(tuple, jaccard_components(frame).collect()))
+    found = Counter(map(tuple, jaccard_components(frame).select("doc_id", "n_shingles", "component_id").collect()))
     assert found == Counter(brute_components(rows))
 
 
@@ -145,6 +145,14 @@ def test_embedding_edge_cases(spark):
     frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, label int, pass string, node string")
     assert Counter(map(tuple, near_duplicates(frame).collect())) == Counter(brute_links(rows))
     assert near_duplicates(frame.where("false")).count() == 0
+    named = frame.where("vec_id is not null").selectExpr("vec_id", "embedding", "if(label is null, null, concat('label ', label)) label")
+    assert Counter(map(tuple, near_duplicates(named).collect())) == Counter(r for r in brute_links(rows) if r[0] is not None)
+
+
+def test_one_vec_id_for_several_vectors(spark):
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    frame = spark.createDataFrame([(1, v, 1), (2, v, 1), (3, w, 1), (2, w, 1), (4, [1.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert Counter(map(tuple, near_duplicates(frame).collect())) == Counter([(1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)])
 
 
 def test_empty_tables(empty):

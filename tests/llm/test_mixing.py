@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pytest
@@ -66,3 +67,21 @@ def test_copies_follow_the_decisions(docs, empty):
 def test_unequal_probabilities(docs):
     liked = docs.withColumn("liked", docs.doc_id % 2 * 3.0 + 0.1)
     assert mix(liked, **OPTIONS).count() == docs.count()
+
+
+def test_inclusion_follows_the_preference(spark):
+    """Of documents of one size and source, those with three times the preference are taken three times as often."""
+    rows = [(i, "one two three four", "a", float(1 + 2 * (i % 2)), 0) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, liking double, _liking int")
+    found = copies(frame, weights=(1,), share=0.4, cap=2.0, preference="liking").select("doc_id").collect()
+    taken = Counter(r.doc_id % 2 for r in found)
+    assert abs(sum(taken.values()) - 2400) <= 2  # certain copies are none at this share
+    assert abs(taken[1] / 3000 - 0.6) < 0.04 and abs(taken[0] / 3000 - 0.2) < 0.04
+
+
+def test_longer_documents_are_likelier_by_default(spark):
+    rows = [(i, "word " * (4 if i % 2 else 400), "a") for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mix(frame, weights=(1,), share=0.5, cap=2.0).where("taken > 0").collect()
+    long, short = (sum(r.doc_id % 2 == k for r in found) for k in (0, 1))
+    assert abs(long / short - math.log(402) / math.log(6)) < 0.6

@@ -54,3 +54,13 @@ def test_clashing_names_and_edges(spark, docs, empty, sf_dir, tmp_path):
             assert out.columns == rows.columns
             rows = out
         corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count()
+
+
+def test_near_copies_keep_unlinked_texts_of_one_doc_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "x"), (1, text.upper(), "x"), (1, "another text of the same id", "x"), (2, text, "y"), (3, "", "z"), (3, "", "z"), (3, " ", "z"), (None, text, "n"), (None, None, "n"), (4, "alone here", "p")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, class string")
+    kept = corpus_pipeline.near_copies(spark, frame, "")
+    assert kept.columns == frame.columns
+    want = [(1, text.upper(), "x"), (1, "another text of the same id", "x"), (3, "", "z"), (3, " ", "z"), (None, text, "n"), (None, None, "n"), (4, "alone here", "p")]
+    assert Counter(map(tuple, kept.collect())) == Counter(want)

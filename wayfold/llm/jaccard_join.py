@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.llm.common import dropped, sized_broadcast, small_batches, text_chunks, written
 from wayfold.llm.components import components
@@ -383,7 +384,8 @@ def _bits(shingles: float) -> int:
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row per row of docs."""
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row per row of docs; then text_class, the same for
+    equal sets, and group_id, the same for the classes of a component (null without shingles)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -409,8 +411,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     more = written(residual_links(lists, classes, links, percent), "more-links")
     comps = written(components(links.unionByName(more)), "components")
     rows = sigs.join(sized_broadcast(comps), sigs["class"] == comps["node"], "left").withColumn("comp", F.coalesce("root", "class"))
-    rows = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
+    rows = rows.select("doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
     smallest = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"))
     smallest = written(smallest.where("n > 1").select(F.col("comp").alias("of"), "smallest"), "smallest")
     joined = rows.join(sized_broadcast(smallest), rows["comp"] == smallest["of"], "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"), F.col("class").alias("text_class"), F.col("comp").alias("group_id"))
+
+
+def text_classes(docs: DataFrame, name: str, size: int = 5) -> DataFrame:
+    """docs with the class of each row's text as column name, which docs must not have."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column(at), 1 << 20):
+                cls = np.array([set_class(s) if len(s) else 0 for s in shingle_sets(data, offsets, size)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(cls)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

@@ -56,30 +56,30 @@ def _uniform(*of: Column) -> Column:
     return (F.pmod(F.xxhash64(*of), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
 
 
-def decisions(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, bins: int = 4096, preference: str | None = None) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+def decisions(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, per_bin: int = 2000, preference: str | None = None) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
     """The narrow table of sizes and draws of docs, the same columns before docs' own, and the function that
     adds _source_size, _target and _copies (0 to cap) to either."""
     u = _uniform(F.lit(seed), F.col("doc_id"), F.col("text"))
     sized = docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_u": u})
-    narrow = sized.select("doc_id", "source", "_size", "_u", *([preference] if preference else []))
-    narrow = written(narrow, "sizes")
-    sources = narrow.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n"))
-    goal = written(targets(sources.select("source", "source_size"), weights, share, cap), "targets")
-    due = goal.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    liking = F.greatest(F.coalesce(F.col(preference).cast("double"), F.lit(0.0)), F.lit(0.0)) if preference else F.log(F.col("_size") + 2.0)
+    sized = sized.withColumn("_liking", liking)
+    narrow = written(sized.select("doc_id", "source", "_size", "_u", "_liking"), "sizes")
+    sources = narrow.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n"), F.sum(F.col("_liking") * F.col("_size")).alias("liked"))
+    sources = written(sources, "sources")
+    goal = targets(sources.select("source", "source_size"), weights, share, cap).withColumnRenamed("source", "_of")
+    goal = written(sources.join(goal.select("_of", "target"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of"), "targets")
+    due = goal.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.ceil(F.col("n") / per_bin + 16).alias("_bins"), "liked")
     due = due.withColumn("_whole", F.when(F.col("_source_size") > 0, F.least(F.floor(F.col("_target") / F.col("_source_size")), F.lit(int(cap)))).otherwise(0).cast("long"))
     due = due.withColumn("_rest", F.col("_target") - F.col("_whole") * F.col("_source_size"))
-    due = due.withColumn("_p", F.when(F.col("_source_size") > 0, F.col("_rest") / F.col("_source_size")).otherwise(0.0))
+    due = due.withColumn("_p", F.when(F.col("liked") > 0, F.col("_rest") / F.col("liked")).otherwise(0.0)).drop("liked")
     due = sized_broadcast(due)
 
     def ranked(df: DataFrame) -> DataFrame:
         df = df.join(due, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        p = F.col("_p")
-        if preference:
-            p = F.least(p * F.coalesce(F.col(preference), F.lit(1.0)), F.lit(1 - 1e-9))
-        p = F.greatest(p, F.lit(1e-12))
+        p = F.greatest(F.least(F.col("_p") * F.col("_liking"), F.lit(1 - 1e-9)), F.lit(1e-12))
         df = df.withColumn("_rank", (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p)))
         # rank / (1 + rank) is monotone in the rank and lies in (0, 1)
-        return df.withColumn("_bin", F.least(F.floor(F.col("_rank") / (1 + F.col("_rank")) * bins), F.lit(bins - 1)).cast("int"))
+        return df.withColumn("_bin", F.least(F.floor(F.col("_rank") / (1 + F.col("_rank")) * F.col("_bins")), F.col("_bins") - 1).cast("int"))
 
     rows = ranked(narrow)
     per_bin = rows.groupBy("source", "_bin", "_rest").agg(F.sum("_size").alias("_words"))
