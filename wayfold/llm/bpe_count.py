@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import small_batches
+from wayfold.llm.common import held, small_batches
 
 MARK = "▁"
 #: Word counts kept per worker process.
 MEMO_LIMIT = 500_000
-_loaded: dict[str, "BpeCounter"] = {}
 
 
 class BpeCounter:
@@ -84,9 +83,7 @@ class BpeCounter:
 
 
 def counter(path: str) -> BpeCounter:
-    if path not in _loaded:
-        _loaded[path] = BpeCounter(path)
-    return _loaded[path]
+    return held(f"pieces {path}", lambda: BpeCounter(path))
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:

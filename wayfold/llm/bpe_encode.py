@@ -11,7 +11,8 @@ import re
 
 import numpy as np
 
-_memo: dict[str, "ByteBpe"] = {}
+from wayfold.llm.common import held
+
 #: Pre-tokens kept per worker process: at about 200 bytes each, some 40 MB.
 MEMO_LIMIT = 200_000
 #: All letters up to U+024F.
@@ -67,6 +68,4 @@ class ByteBpe:
 
 def encoder(path: str) -> ByteBpe:
     """One encoder per worker process and file."""
-    if path not in _memo:
-        _memo[path] = ByteBpe(path)
-    return _memo[path]
+    return held(f"bytes {path}", lambda: ByteBpe(path))

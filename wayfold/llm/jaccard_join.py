@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import dropped, sized_broadcast, small_batches, text_chunks, written
+from wayfold.llm.common import dropped, release, sized_broadcast, small_batches, text_chunks, written
 from wayfold.llm.components import components
 from wayfold.llm.words import mix, word_bounds, word_hashes
 
@@ -144,6 +144,7 @@ def blocks(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Sets]], bi
     """BLOCKS: the postings of a block by bucket, and one row with bucket -1 that lists its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[Sets] = []
         turn, tail = 0, _tail(bits)
 
@@ -211,6 +212,7 @@ def in_company(posted: DataFrame, percent: int, bits: int) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("kept", pa.int32()), ("keys", pa.binary()), ("codes", pa.binary())])
 
     def run(own: pa.Table, lengths: pa.Table) -> pa.Table:
+        release()
         if not own.num_rows or not lengths.num_rows:
             return schema.empty_table()
         codes = dict(zip(lengths["bucket"].to_pylist(), lengths["codes"].to_pylist()))

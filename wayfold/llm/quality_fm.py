@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import small_batches, text_chunks
+from wayfold.llm.common import release, small_batches, text_chunks
 from wayfold.llm.words import word_bounds, word_hashes
 
 WORDS, BINS, FACTORS = 1 << 15, 16, 8
@@ -161,6 +161,7 @@ def scores(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(at), 1 << 20):
                 z, _ = shared.value.logits(*text_features(data, offsets))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import small_batches
+from wayfold.llm.common import release, small_batches
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -284,6 +284,7 @@ def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 rows = batch.slice(lo, 512)
@@ -307,6 +308,7 @@ def redacted(docs: DataFrame, net: Network | None = None, mask: str = "[secret]"
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         at = columns.index("text")
         for batch in batches:
             texts = batch.column(at).to_pylist()
