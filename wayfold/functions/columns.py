@@ -113,17 +113,67 @@ def dow_type(ts: Column) -> Column:
 
 def minutes_of(clock: Column) -> Column:
     """Minutes after midnight of H:MM or HH:MM up to 24:00, else null."""
-    ok = F.regexp_extract(clock, r"^([0-9]{1,2}):([0-9]{2})$", 0) != ""
-    h, m = F.regexp_extract(clock, r"^([0-9]{1,2}):", 1).try_cast("int"), F.regexp_extract(clock, r":([0-9]{2})$", 1).try_cast("int")
-    return F.when(ok & ((h < 24) & (m < 60) | (h == 24) & (m == 0)), h * 60 + m)
+    h, m = F.substring_index(clock, ":", 1).try_cast("int"), F.substring_index(clock, ":", -1).try_cast("int")
+    return F.when(F.rlike(clock, F.lit("^[0-9]{1,2}:[0-9]{2}$")) & ((h < 24) & (m < 60) | (h == 24) & (m == 0)), h * 60 + m)
 
 
-def is_open(opens: Column, closes: Column, minute: Column) -> Column:
-    """Half-open hours; a close at or before the open runs overnight; unknown or malformed counts as open."""
-    o, c = minutes_of(opens), minutes_of(closes)
+def within_hours(o: Column, c: Column, minute: Column) -> Column:
+    """Half-open hours in minutes; a close at or before the open runs overnight; unknown or malformed counts as open."""
     return F.when(o.isNull() | c.isNull(), True).when(c <= o, (minute >= o) | (minute < c)).otherwise((minute >= o) & (minute < c))
 
 
+#: Keys of the opening hours, Sunday first.
+DAYS = ("sun", "mon", "tue", "wed", "thu", "fri", "sat")
+
+
+def day_key(local: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, DAYS)), F.dayofweek(local))
+
+
+def week_of(hours: Column) -> Column:
+    """Opening and closing minutes by weekday of a JSON object of [open, close]; an entry that is no list of two, or
+    a malformed time, has nulls."""
+
+    def entry(text: Column) -> Column:
+        times = F.when(F.startswith(text, F.lit("[")), F.split(F.translate(text, '[]"', ""), ","))
+        return F.struct(minutes_of(F.get(times, F.lit(0))).alias("o"), minutes_of(F.get(times, F.lit(1))).alias("c"))
+
+    return F.transform_values(F.from_json(hours, "map<string,string>"), lambda _, v: entry(v))
+
+
+def is_open_on(week: Column, day: Column, minute: Column) -> Column:
+    """Whether a parsed week has that minute of the day open. No hours and no entry count as open."""
+    entry = F.try_element_at(week, day)
+    return within_hours(entry["o"], entry["c"], minute)
+
+
+def is_open_at(hours: Column, at: Column, zone: str = "Asia/Seoul") -> Column:
+    """is_open_on at a UTC instant, read in the local time of zone."""
+    local = F.from_utc_timestamp(at, zone)
+    return is_open_on(week_of(hours), day_key(local), F.hour(local) * 60 + F.minute(local))
+
+
+def iso_time(text: Column, now: Column, zone: str = "Asia/Seoul") -> Column:
+    """An instant from ISO text; without an offset it is local time of zone; what cannot be read is now."""
+    offset = F.rlike(text, F.lit("(Z|[+-][0-9]{2}:?[0-9]{2})$"))
+    read = F.try_to_timestamp(text)
+    return F.coalesce(F.when(offset, read).otherwise(F.to_utc_timestamp(read, zone)), now)
+
+
+def poll_time(text: Column, now: Column, zone: str = "Asia/Seoul") -> Column:
+    """An instant from local 'yyyy-MM-dd HH:mm'; empty or unreadable text is now."""
+    return F.coalesce(F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")), zone), now)
+
+
+def merged(*objects: Column) -> Column:
+    """Maps merged key by key; the later one wins; a null map changes nothing."""
+    empty = F.create_map().cast("map<string,string>")
+    out = empty
+    for x in objects:
+        out = F.map_zip_with(out, F.coalesce(x, empty), lambda _, a, b: F.coalesce(b, a))
+    return out
+
+
 def publish_slot(ts: Column) -> Column:
     """Latest forecast issue (02, 05, ..., 23 h) that has been out for 15 minutes."""
     t = ts - F.expr("interval 15 minutes")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold import constants as K
-from wayfold.functions.columns import haversine, is_open
+from wayfold.functions.columns import haversine, is_open_on, week_of
+from wayfold.sources.work import written
 
 
 def cells(lat: Column, lng: Column, metres: float, at_lat: float = 37.5) -> tuple[Column, Column]:
@@ -21,21 +22,28 @@ def cells(lat: Column, lng: Column, metres: float, at_lat: float = 37.5) -> tupl
 def within(points: DataFrame, places: DataFrame, metres: float) -> DataFrame:
     """points (u_lat, u_lng) with every place (lat, lng) at most metres away, and dist.
 
-    Each point is sent to its cell and the eight around it, so that the join is an equi-join on cells with the exact
-    distance left as a filter."""
-    y, x = cells(F.col("u_lat"), F.col("u_lng"), metres)
-    around = F.sequence(F.lit(-1), F.lit(1))
+    Each point is sent to its cell and those around it that a quarter of the distance a side can reach, so that the
+    join is an equi-join on cells, a dense area is many keys, and few pairs are left for the exact distance. Both sides
+    are dealt by cell (a merge join), however few files hold them."""
+    y, x = cells(F.col("u_lat"), F.col("u_lng"), metres / 4)
+    around = F.sequence(F.lit(-5), F.lit(5))
     points = points.withColumn("_y", F.explode(F.transform(around, lambda d: y + d))).withColumn("_x", F.explode(F.transform(around, lambda d: x + d)))
-    y, x = cells(F.col("lat"), F.col("lng"), metres)
-    near = points.join(places.withColumn("_y", y).withColumn("_x", x), ["_y", "_x"]).drop("_y", "_x")
+    y, x = cells(F.col("lat"), F.col("lng"), metres / 4)
+    near = points.hint("merge").join(places.withColumn("_y", y).withColumn("_x", x), ["_y", "_x"]).drop("_y", "_x")
     return near.withColumn("dist", haversine(F.col("u_lat"), F.col("u_lng"), F.col("lat"), F.col("lng"))).where(F.col("dist") <= metres)
 
 
+def with_week(places: DataFrame) -> DataFrame:
+    """places with their hours parsed, once a place and not once a pair."""
+    return places.withColumn("week", week_of(F.col("hours"))).drop("hours")
+
+
 def passes() -> Column:
-    """Hard filter of a place for a request, but for radius and confidence. Unknown capacity, price and hours pass."""
+    """Hard filter of a place (with its parsed week) for a request, but for radius and confidence. Unknown capacity, price
+    and hours pass."""
     e = F.coalesce("exposure", F.lit(0.0))
     return (
-        is_open(F.col("opens"), F.col("closes"), F.col("hour") * 60)
+        is_open_on(F.col("week"), F.col("day"), F.col("hour") * 60)
         & (F.col("capacity").isNull() | (F.col("capacity") >= F.col("party")))
         & ((F.col("rain") < 0.6) | (e <= 0.7))
         & ((F.col("pm") < 4) | (e <= 0.5))
@@ -78,17 +86,20 @@ def nearest(points: DataFrame, places: DataFrame, key: str, k: int, order: list[
 
 
 def candidates(requests: DataFrame, places: DataFrame) -> DataFrame:
-    """Places of each request after the ladder: at most CANDIDATE_LIMIT nearest, or the nearest few if hardly any pass."""
-    near = within(requests, places, K.RADII[-1]).where(passes())
-    stages = ladder(requests, near)
-    chosen = near.join(stages.select("request_id", "stage", "radius", "confidence_min", "n"), "request_id")
-    chosen = chosen.where((F.col("dist") <= F.col("radius")) & (F.col("confidence") >= F.col("confidence_min")))
+    """Places of each request after the ladder: at most CANDIDATE_LIMIT nearest, or the nearest few if hardly any pass.
+
+    The range join runs once: what passes is written narrow, and counts, choice and fallback read that table."""
+    near = within(requests, with_week(places), K.RADII[-1]).where(passes()).select("request_id", "poi_id", "dist", "confidence")
+    near = written(near, "near")
+    stages = written(ladder(requests, near).select("request_id", "stage", "radius", "confidence_min", "n"), "stages")
+    chosen = near.join(stages, "request_id").where((F.col("dist") <= F.col("radius")) & (F.col("confidence") >= F.col("confidence_min")))
     w = Window.partitionBy("request_id").orderBy("dist", "poi_id")
-    chosen = chosen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= K.CANDIDATE_LIMIT).drop("_r")
-    starved = requests.join(stages.where(F.col("n") < K.RELAX_BELOW).select("request_id", "radius", "confidence_min", "n"), "request_id")
-    fallback = nearest(starved, places, "request_id", K.NEAREST, [F.col("dist"), F.col("poi_id")])
+    chosen = chosen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= K.CANDIDATE_LIMIT)
+    columns = ["request_id", "poi_id", "dist", "stage", "radius", "confidence_min", "n"]
+    starved = requests.select("request_id", "u_lat", "u_lng").join(stages.where(F.col("n") < K.RELAX_BELOW).drop("stage"), "request_id")
+    fallback = nearest(starved, places.select("poi_id", "lat", "lng"), "request_id", K.NEAREST, [F.col("dist"), F.col("poi_id")])
     # the fallback holds only if it gives more places than the ladder did
     sized = fallback.withColumn("_m", F.count("*").over(Window.partitionBy("request_id"))).where(F.col("_m") > F.col("n"))
-    fallback = sized.withColumn("stage", F.lit(len(K.RADII) + 1)).drop("_m", "rank")
-    replaced = fallback.select("request_id").distinct()
-    return chosen.join(replaced, "request_id", "left_anti").unionByName(fallback.select(*chosen.columns))
+    fallback = written(sized.withColumn("stage", F.lit(len(K.RADII) + 1)).select(*columns), "fallback")
+    found = chosen.join(fallback.select("request_id").distinct(), "request_id", "left_anti").select(*columns).unionByName(fallback)
+    return written(found, "candidates").join(requests, "request_id").join(places, "poi_id")

@@ -14,6 +14,7 @@ from wayfold.sources import views as V
 
 _NORM = lambda x: f"regexp_replace(lower(coalesce({x}, '')), '[^0-9a-z가-힣]', '', 'g')"
 _ENT = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_CLEAN = lambda x: f"trim(regexp_replace(regexp_replace({_ENT(f'coalesce({x}, {chr(39) * 2})')}, '<[^>]+>', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))"
 
 
 def t(name):
@@ -62,7 +63,13 @@ def _(spark, sf):
 _TITLE = "concat('<b>', substr(text, 1, 60), '</b>')"
 
 
-@query("str05_relevance", None)
+_BOUND = "concat('(^|[^0-9a-z가-힣])', array_to_string(string_split(" + _NORM("name") + r", ''), '[\s\p{P}_]*'), '($|[^0-9a-z가-힣])')"
+_STANDS = lambda x: f"regexp_matches(lower({_CLEAN(x)}), {_BOUND})"
+_CLOSE = lambda x: f"(contains({_NORM(x)}, {_NORM('place')}) OR contains({_NORM(x)}, 'the'))"
+
+
+@query("str05_relevance", f"""SELECT doc_id, CASE WHEN {_NORM('name')} = '' OR NOT ({_STANDS('title')} OR {_STANDS('body')}) THEN 0 ELSE CASE WHEN {_STANDS('title')} THEN 3 ELSE 1 END + CASE WHEN {_CLOSE('title')} THEN 2 WHEN {_CLOSE('body')} THEN 1 ELSE 0 END END AS score
+ FROM (SELECT doc_id, {_TITLE} AS title, text AS body, coalesce(string_split(trim(text), ' ')[2], '') AS name, coalesce(string_split(trim(text), ' ')[3], '') AS place FROM documents)""")
 def _(spark, sf):
     rows = t("documents")(spark, sf).selectExpr("doc_id", f"{_TITLE} AS title", "text AS body", "coalesce(get(split(trim(text), ' '), 1), '') AS name", "array(coalesce(get(split(trim(text), ' '), 2), ''), 'the') AS places")
     return rows.select("doc_id", curation.relevance(F.col("name"), F.col("title"), F.col("body"), F.col("places")).alias("score"))

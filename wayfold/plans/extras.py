@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions import fuzzy
-from wayfold.llm.common import work_path
 from wayfold.operators import polygons
 from wayfold.operators.merges import last_wins
 from wayfold.plans.registry import query
 from wayfold.sources import views as V
+from wayfold.sources.work import work_path
 from wayfold.streaming import snapshots as st
 
 #: Overlapping rectangles over the places: code n covers [x0, x1) x [y0, y1).

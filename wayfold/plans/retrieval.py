@@ -12,7 +12,8 @@ from wayfold.plans.registry import HAVERSINE, query
 from wayfold.sources import views as V
 
 _minutes = lambda x: f"CASE WHEN regexp_matches({x}, '^[0-9]{{1,2}}:[0-9]{{2}}$') AND (CAST(split_part({x}, ':', 1) AS INT) < 24 OR {x} = '24:00') AND CAST(split_part({x}, ':', 2) AS INT) < 60 THEN CAST(split_part({x}, ':', 1) AS INT) * 60 + CAST(split_part({x}, ':', 2) AS INT) END"
-OPEN = lambda m: f"CASE WHEN ({_minutes('opens')}) IS NULL OR ({_minutes('closes')}) IS NULL THEN TRUE WHEN ({_minutes('closes')}) <= ({_minutes('opens')}) THEN {m} >= ({_minutes('opens')}) OR {m} < ({_minutes('closes')}) ELSE {m} >= ({_minutes('opens')}) AND {m} < ({_minutes('closes')}) END"
+_of = lambda i: _minutes(f"json_extract_string(hours, concat('$.', day, '[{i}]'))")
+OPEN = lambda m: f"CASE WHEN hours IS NULL OR json_type(hours, concat('$.', day)) IS DISTINCT FROM 'ARRAY' OR json_array_length(hours, concat('$.', day)) < 2 OR ({_of(0)}) IS NULL OR ({_of(1)}) IS NULL THEN TRUE WHEN ({_of(1)}) <= ({_of(0)}) THEN {m} >= ({_of(0)}) OR {m} < ({_of(1)}) ELSE {m} >= ({_of(0)}) AND {m} < ({_of(1)}) END"
 PASSES = f"({OPEN('hour * 60')}) AND (capacity IS NULL OR capacity >= party) AND (rain < 0.6 OR coalesce(exposure, 0) <= 0.7) AND (pm < 4 OR coalesce(exposure, 0) <= 0.5) AND (price IS NULL OR price <= budget)"
 FIT = """least(greatest((CASE WHEN rain > 0.3 THEN 1 - (CASE sensitivity WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 WHEN 3 THEN 0.9 ELSE 0.7 END) * coalesce(exposure, 0) * least(rain, 1) ELSE 1 END)
  * (CASE WHEN pm >= 3 THEN 1 - 0.5 * coalesce(exposure, 0) ELSE 1 END) * (CASE WHEN feels > 31 OR feels < -5 THEN 1 - 0.6 * coalesce(exposure, 0) ELSE 1 END)
@@ -31,18 +32,19 @@ R3 = lambda x, n: F.round(x, 3).alias(n)
 
 
 def near(spark, sf):
-    return search.within(V.requests(spark), V.poi(spark, sf), K.RADII[2])
+    return search.within(V.requests(spark), search.with_week(V.poi(spark, sf)), K.RADII[2])
 
 
-@query("geo01_haversine", f"SELECT request_id, poi_id, round({HAVERSINE}, 3) AS dist FROM v_request, v_poi WHERE k % 50 = 0")
+@query("geo01_haversine", f"SELECT request_id, poi_id, round({HAVERSINE}, 3) AS dist FROM v_request, v_poi")
 def _(spark, sf):
-    pairs = V.poi(spark, sf).where("k % 50 = 0").crossJoin(F.broadcast(V.requests(spark)))
+    # the requests are a fixed query set; each place meets it once
+    pairs = V.poi(spark, sf).crossJoin(F.broadcast(V.requests(spark)))
     return pairs.select("request_id", "poi_id", R3(C.haversine(F.col("u_lat"), F.col("u_lng"), F.col("lat"), F.col("lng")), "dist"))
 
 
 @query("geo02_within_radius", "SELECT request_id, poi_id, round(dist, 3) AS dist FROM v_near WHERE dist <= 1200")
 def _(spark, sf):
-    return search.within(V.requests(spark), V.poi(spark, sf), 1200.0).select("request_id", "poi_id", R3(F.col("dist"), "dist"))
+    return search.within(V.requests(spark), search.with_week(V.poi(spark, sf)), 1200.0).select("request_id", "poi_id", R3(F.col("dist"), "dist"))
 
 
 @query("jon13_range_join_counts", "SELECT request_id, count(*) AS n, count(DISTINCT area) AS areas FROM v_near GROUP BY request_id")
@@ -116,18 +118,18 @@ def _(spark, sf):
     return V.poi(spark, sf).select("poi_id", F.floor(F.col("lat") * 1000 + 0.5).cast("double").alias("lat_m"), F.floor(F.col("lng") * 1000 + 0.5).cast("double").alias("lng_m"))
 
 
-@query("geo14_near_duplicates", "SELECT a.poi_id, arg_min(b.poi_id, (d, b.poi_id)) AS other, round(min(d), 3) AS d, min(d) <= 20 AS close_review, bool_or(d <= 100 AND a.category = b.category) AS same_category_near FROM (SELECT * FROM v_poi WHERE k % 5 = 1) a, (SELECT * FROM v_poi WHERE k % 5 <> 1) b, LATERAL (SELECT 2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))) AS d) WHERE d <= 150 GROUP BY a.poi_id")
+@query("geo14_near_duplicates", "SELECT a.poi_id, arg_min(b.poi_id, (d, b.poi_id)) AS other, round(min(d), 3) AS d, min(d) <= 20 AS close_review, bool_or(d <= 100 AND a.category = b.category) AS same_category_near FROM v_poi a, v_poi b, LATERAL (SELECT 2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))) AS d) WHERE d <= 150 AND a.poi_id <> b.poi_id GROUP BY a.poi_id")
 def _(spark, sf):
-    a = V.poi(spark, sf).where("k % 5 = 1").select("poi_id", F.col("category").alias("own"), F.col("lat").alias("u_lat"), F.col("lng").alias("u_lng"))
-    b = V.poi(spark, sf).where("k % 5 <> 1").select(F.col("poi_id").alias("other"), "category", "lat", "lng")
-    pairs = search.within(a, b, 150.0)
+    a = V.poi(spark, sf).select("poi_id", F.col("category").alias("own"), F.col("lat").alias("u_lat"), F.col("lng").alias("u_lng"))
+    b = V.poi(spark, sf).select(F.col("poi_id").alias("other"), "category", "lat", "lng")
+    pairs = search.within(a, b, 150.0).where("poi_id <> other")
     best = F.min_by("other", F.struct("dist", "other")).alias("other")
     return pairs.groupBy("poi_id").agg(best, R3(F.min("dist"), "d"), (F.min("dist") <= 20).alias("close_review"), F.bool_or((F.col("dist") <= 100) & (F.col("own") == F.col("category"))).alias("same_category_near"))
 
 
 @query("flt01_candidates", f"SELECT request_id, poi_id, round(dist, 3) AS dist FROM v_near WHERE dist <= 1200 AND confidence >= 0.3 AND {PASSES}")
 def _(spark, sf):
-    found = search.within(V.requests(spark), V.poi(spark, sf), 1200.0).where(search.passes()).where(F.col("confidence") >= K.CONFIDENCE)
+    found = search.within(V.requests(spark), search.with_week(V.poi(spark, sf)), 1200.0).where(search.passes()).where(F.col("confidence") >= K.CONFIDENCE)
     return found.select("request_id", "poi_id", R3(F.col("dist"), "dist"))
 
 
@@ -156,8 +158,8 @@ def _(spark, sf):
 @query("flt03_lenient_filter", f"SELECT request_id, count(*) AS n FROM v_near WHERE dist <= 1200 AND ({OPEN('hour * 60')}) AND coalesce(price, 2) <= budget AND coalesce(capacity, 99) >= party GROUP BY request_id HAVING count(*) >= 5")
 def _(spark, sf):
     c = F.col
-    ok = C.is_open(c("opens"), c("closes"), c("hour") * 60) & (F.coalesce("price", F.lit(2)) <= c("budget")) & (F.coalesce("capacity", F.lit(99)) >= c("party"))
-    return search.within(V.requests(spark), V.poi(spark, sf), 1200.0).where(ok).groupBy("request_id").agg(F.count("*").alias("n")).where("n >= 5")
+    ok = C.is_open_on(c("week"), c("day"), c("hour") * 60) & (F.coalesce("price", F.lit(2)) <= c("budget")) & (F.coalesce("capacity", F.lit(99)) >= c("party"))
+    return search.within(V.requests(spark), search.with_week(V.poi(spark, sf)), 1200.0).where(ok).groupBy("request_id").agg(F.count("*").alias("n")).where("n >= 5")
 
 
 @query("sco01_context_fit", f"SELECT request_id, poi_id, round({FIT}, 12) AS fit FROM v_near WHERE dist <= 900")
@@ -190,7 +192,8 @@ COS = "list_cosine_similarity(uv.embedding::DOUBLE[], pv.embedding::DOUBLE[])"
 
 @query("sco04_cosine", f"SELECT request_id, poi_id, round({COS}, 6) AS similarity FROM v_near c LEFT JOIN embeddings uv ON c.user_vec = uv.vec_id LEFT JOIN embeddings pv ON c.vec_id = pv.vec_id WHERE dist <= 500")
 def _(spark, sf):
-    rows = near(spark, sf).where("dist <= 500").join(embeddings(spark, sf), "vec_id", "left").join(F.broadcast(embeddings(spark, sf, "user_vec", "u")), "user_vec", "left")
+    rows = near(spark, sf).where("dist <= 500").join(embeddings(spark, sf), "vec_id", "left")
+    rows = rows.join(embeddings(spark, sf, "user_vec", "u").join(V.requests(spark).select("user_vec").distinct(), "user_vec", "left_semi"), "user_vec", "left")
     return rows.select("request_id", "poi_id", R6(C.cosine(F.col("u"), F.col("v")), "similarity"))
 
 
@@ -239,13 +242,16 @@ def scored(spark, sf):
     found = search.candidates(V.requests(spark), V.poi(spark, sf))
     names = lambda t, c, n: V.table(spark, sf, t).select(F.col(c).alias(n)).distinct()
     link = segments.paired(names("customer", "c_mktsegment", "segment"), "segment", names("part", "p_type", "type"), "type")
-    found = found.join(F.broadcast(link), found["category"] == link["segment"], "left").drop("segment")
-    affinity = segments.affinity(V.sales(spark, sf)).select(F.col("area").alias("_a"), F.col("category").alias("_c"), F.col("gender").alias("_g"), F.col("age_band").alias("_b"), F.col("weekend").alias("_w"), F.col("band").alias("_h"), "affinity")
+    found = found.join(link, found["category"] == link["segment"], "left").drop("segment")
+    # only the groups that some candidate asks for are built
+    wanted = found.select("area", F.col("type").alias("category")).distinct()
+    affinity = segments.affinity(V.sales(spark, sf).join(wanted, ["area", "category"], "left_semi")).select(F.col("area").alias("_a"), F.col("category").alias("_c"), F.col("gender").alias("_g"), F.col("age_band").alias("_b"), F.col("weekend").alias("_w"), F.col("band").alias("_h"), "affinity")
     c = F.col
     found = found.join(affinity, (c("area") == c("_a")) & (c("type") == c("_c")) & (c("gender") == c("_g")) & (c("age_band") == c("_b")) & (c("dow") == c("_w")) & (C.hour_band(c("hour")) == c("_h")), "left").drop("_a", "_c", "_g", "_b", "_w", "_h")
-    found = found.join(embeddings(spark, sf), "vec_id", "left").join(F.broadcast(embeddings(spark, sf, "user_vec", "u")), "user_vec", "left")
+    users = embeddings(spark, sf, "user_vec", "u").join(V.requests(spark).select("user_vec").distinct(), "user_vec", "left_semi")
+    found = found.join(embeddings(spark, sf), "vec_id", "left").join(users, "user_vec", "left")
     found = found.withColumn("similarity", C.cosine(c("u"), c("v"))).drop("u", "v")
-    found = found.join(F.broadcast(latest(spark, sf)), "code", "left")
+    found = found.join(latest(spark, sf), "code", "left")
     return ranking.scored(ranking.with_reference(found))
 
 

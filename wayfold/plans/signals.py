@@ -10,7 +10,7 @@ from wayfold.functions import columns as C
 from wayfold.functions import scoring as S
 from wayfold.operators import segments, signals
 from wayfold.plans.registry import query
-from wayfold.plans.retrieval import AFFINITY, COS, R6, embeddings
+from wayfold.plans.retrieval import AFFINITY, COS, OPEN, R6, embeddings
 from wayfold.sources import views as V
 
 
@@ -62,15 +62,16 @@ def _(spark, sf):
     return last.join(F.broadcast(V.hotspots(spark, sf)), "code").select("code", "hotspot", "ts")
 
 
-_SLOT = "(SELECT code, ts, event_id, level, to_timestamp((epoch(ts) // 3600) * 3600)::TIMESTAMP AS slot FROM v_snapshot WHERE event_id % 5 = 0)"
+_SLOTS = "(SELECT code, epoch(date_trunc('hour', ts))::BIGINT AS s, min(level) AS level FROM v_snapshot GROUP BY ALL)"
 
 
-@query("jon14_asof_forecast", """SELECT a.event_id, arg_min(s.level, (abs(epoch(s.ts) - epoch(a.ts)), epoch(s.ts), s.event_id)) AS level FROM (SELECT * FROM v_snapshot WHERE event_id % 40 = 1) a LEFT JOIN (SELECT * FROM v_snapshot WHERE event_id % 5 = 0) s
- ON a.code = s.code AND abs(floor(epoch(s.ts)) - floor(epoch(a.ts))) <= 5400 GROUP BY a.event_id""".replace("abs(epoch(s.ts) - epoch(a.ts)), epoch(s.ts), s.event_id", "abs(floor(epoch(s.ts)) - floor(epoch(a.ts))), floor(epoch(s.ts)), s.level"))
+@query("jon14_asof_forecast", f"""SELECT a.event_id, arg_min(s.level, (abs(s.s - floor(epoch(a.ts))), s.s)) AS level FROM v_snapshot a LEFT JOIN {_SLOTS} s
+ ON a.code = s.code AND s.s BETWEEN floor(epoch(a.ts)) - 5400 AND floor(epoch(a.ts)) + 5400 GROUP BY a.event_id""")
 def _(spark, sf):
+    """Every snapshot with the hourly slot of its place that is nearest in time, at most 90 minutes off."""
     rows = V.snapshots(spark, sf)
-    slots = rows.where("event_id % 5 = 0").groupBy("code", F.date_trunc("second", "ts").alias("slot")).agg(F.min("level").alias("level"))
-    return signals.as_of(rows.where("event_id % 40 = 1").select("event_id", "code", "ts"), slots, "code", "ts", "slot", 5400, ["level"]).select("event_id", "level")
+    slots = rows.groupBy("code", F.date_trunc("hour", "ts").alias("slot")).agg(F.min("level").alias("level"))
+    return signals.as_of(rows.select("event_id", "code", "ts"), slots, "code", "ts", "slot", 5400, ["level"]).select("event_id", "level")
 
 
 @query("stm04_freshness", "SELECT code, count(DISTINCT floor(epoch(ts) / 900)) AS buckets, max(ts) AS last_at FROM v_snapshot GROUP BY code")
@@ -98,9 +99,9 @@ def _(spark, sf):
 _DUAL = "CASE WHEN event_id % 2 = 0 THEN concat('{\"population\":[{\"FCST_TIME\":\"t', event_id % 24, '\",\"FCST_CONGEST_LVL\":\"x\",\"FCST_PPLTN_MIN\":\"', event_id, '\",\"FCST_PPLTN_MAX\":\"9\"}]}') ELSE concat('[{\"FCST_TIME\":\"t', event_id % 24, '\",\"FCST_CONGEST_LVL\":\"x\",\"FCST_PPLTN_MIN\":\"', event_id, '\",\"FCST_PPLTN_MAX\":\"9\"}]') END"
 
 
-@query("jsn03_dual_shape", "SELECT event_id, concat('t', event_id % 24) AS slot, CAST(event_id AS DOUBLE) AS people FROM events WHERE event_id % 10 < 4")
+@query("jsn03_dual_shape", "SELECT event_id, concat('t', event_id % 24) AS slot, CAST(event_id AS DOUBLE) AS people FROM events")
 def _(spark, sf):
-    rows = V.table(spark, sf, "events").where("event_id % 10 < 4").selectExpr("event_id", f"{_DUAL} AS fcst".replace('\\"', '"'))
+    rows = V.table(spark, sf, "events").selectExpr("event_id", f"{_DUAL} AS fcst".replace('\\"', '"'))
     first = F.get(signals.people_forecast(F.col("fcst")), F.lit(0))
     return rows.select("event_id", first["FCST_TIME"].alias("slot"), first["FCST_PPLTN_MIN"].try_cast("double").alias("people"))
 
@@ -108,15 +109,15 @@ def _(spark, sf):
 _WEATHER = "concat('{\"', CASE WHEN event_id % 2 = 0 THEN 'TEMP' ELSE 'temp' END, '\":\"', CASE WHEN event_id % 7 = 0 THEN '-' ELSE concat(event_id % 40, '.5') END, '\",\"PRECIPITATION\":\"', CASE WHEN event_id % 3 = 0 THEN '1.5mm' ELSE '-' END, '\",\"PM25\":\"', event_id % 100, '\"}')"
 
 
-@query("jsn01_snapshot_parse", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, event_type FROM events WHERE event_id % 3 = 0")
+@query("jsn01_snapshot_parse", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, event_type FROM events")
 def _(spark, sf):
     parsed = F.from_json("props", "k long")
-    return V.table(spark, sf, "events").where("event_id % 3 = 0").select("event_id", parsed["k"].alias("k"), "event_type")
+    return V.table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), "event_type")
 
 
-@query("jsn02_weather_parse", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id % 40) + 0.5 END::DOUBLE AS t, CASE WHEN event_id % 3 = 0 THEN 1.5 END::DOUBLE AS rain_mm, (CASE WHEN event_id % 100 <= 15 THEN 1 WHEN event_id % 100 <= 35 THEN 2 WHEN event_id % 100 <= 75 THEN 3 ELSE 4 END) AS pm FROM events WHERE event_id % 5 = 0")
+@query("jsn02_weather_parse", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id % 40) + 0.5 END::DOUBLE AS t, CASE WHEN event_id % 3 = 0 THEN 1.5 END::DOUBLE AS rain_mm, (CASE WHEN event_id % 100 <= 15 THEN 1 WHEN event_id % 100 <= 35 THEN 2 WHEN event_id % 100 <= 75 THEN 3 ELSE 4 END) AS pm FROM events")
 def _(spark, sf):
-    rows = V.table(spark, sf, "events").where("event_id % 5 = 0").selectExpr("event_id", f"{_WEATHER} AS w")
+    rows = V.table(spark, sf, "events").selectExpr("event_id", f"{_WEATHER} AS w")
     w = signals.weather_fields(F.col("w"))
     return rows.select("event_id", C.first_number(w["temp"]).alias("t"), C.first_number(w["precipitation"]).alias("rain_mm"), C.pm_grade(C.first_number(w["pm25"])).alias("pm"))
 
@@ -157,12 +158,12 @@ def _(spark, sf):
     return rows.select("event_id", F.concat(top["k"], F.lit("대 "), -top["v"], F.lit("%")).alias("label"))
 
 
-_KNOWN = "(SELECT chunk_id, poi_id, sponsored, written, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM v_review r LEFT JOIN embeddings e ON r.vec_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 11) q WHERE CAST(substr(poi_id, 2) AS INT) % 3 = 0)"
+_KNOWN = "(SELECT chunk_id, poi_id, sponsored, written, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM v_review r LEFT JOIN embeddings e ON r.vec_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 11) q)"
 
 
 def known(spark, sf):
-    """Reviews of the wanted places (filtered before any vector is read) with their similarity to the query vector."""
-    rows = V.reviews(spark, sf).where("CAST(substr(poi_id, 2) AS INT) % 3 = 0").join(embeddings(spark, sf), "vec_id", "left")
+    """Reviews with their similarity to the query vector (null without a vector)."""
+    rows = V.reviews(spark, sf).join(embeddings(spark, sf), "vec_id", "left")
     q = V.table(spark, sf, "embeddings").where("vec_id = 11").select(F.col("embedding").alias("q"))
     return rows.crossJoin(F.broadcast(q)).withColumn("sim", C.cosine(F.col("v"), F.col("q"))).drop("v", "q")
 
@@ -188,10 +189,10 @@ def _(spark, sf):
     return evidence(V.reviews(spark, sf), RECENT()).select("poi_id", "chunk_id", "n")
 
 
-@query("win04_evidence_hybrid", f"SELECT poi_id, chunk_id, n, source FROM (SELECT *, 'vector' AS source, row_number() OVER (PARTITION BY poi_id ORDER BY {_VECTOR}) AS n FROM {_KNOWN} WHERE sim IS NOT NULL AND chunk_id % 2 = 0 UNION ALL SELECT *, 'recent' AS source, row_number() OVER (PARTITION BY poi_id ORDER BY {_RECENT}) AS n FROM {_KNOWN} WHERE poi_id NOT IN (SELECT poi_id FROM {_KNOWN} WHERE sim IS NOT NULL AND chunk_id % 2 = 0)) WHERE n <= 3")
+@query("win04_evidence_hybrid", f"SELECT poi_id, chunk_id, n, source FROM (SELECT *, 'vector' AS source, row_number() OVER (PARTITION BY poi_id ORDER BY {_VECTOR}) AS n FROM {_KNOWN} WHERE sim IS NOT NULL UNION ALL SELECT *, 'recent' AS source, row_number() OVER (PARTITION BY poi_id ORDER BY {_RECENT}) AS n FROM {_KNOWN} WHERE poi_id NOT IN (SELECT poi_id FROM {_KNOWN} WHERE sim IS NOT NULL)) WHERE n <= 3")
 def _(spark, sf):
     rows = known(spark, sf)
-    vector = evidence(rows.where("sim IS NOT NULL AND chunk_id % 2 = 0"), VECTOR()).withColumn("source", F.lit("vector"))
+    vector = evidence(rows.where("sim IS NOT NULL"), VECTOR()).withColumn("source", F.lit("vector"))
     rest = rows.join(vector.select("poi_id").distinct(), "poi_id", "left_anti")
     recent = evidence(rest, RECENT()).withColumn("source", F.lit("recent"))
     return vector.unionByName(recent).select("poi_id", "chunk_id", "n", "source")
@@ -239,10 +240,19 @@ def _(spark, sf):
     return V.snapshots(spark, sf).where("rate20 IS NOT NULL").groupBy("code").agg(F.round(F.sum(F.col("rate20") * F.col("people")) / F.sum("people"), 6).alias("rate"))
 
 
-@query("tim02_is_open_at", "SELECT poi_id, minute, CASE WHEN opens IS NULL OR opens = 'soon' THEN TRUE WHEN closes = '2:00' THEN minute >= 1080 OR minute < 120 WHEN closes = '24:00' THEN minute >= 570 ELSE minute >= 570 AND minute < 1260 END AS is_open FROM v_poi, (SELECT unnest([60, 569, 570, 1080, 1259, 1260, 1439]) AS minute)")
+_INSTANTS = ("2024-01-05 00:29:00", "2024-01-05 00:30:00", "2024-01-05 17:15:00", "2024-01-06 01:00:00", "2024-01-06 13:00:00", "2024-01-06 21:30:00", "2024-01-07 02:30:00", "2024-01-07 23:59:00", "2024-01-09 09:00:00", "2024-01-10 12:00:00")
+_LOCAL = f"(SELECT instant, {C.DAYS}[dayofweek(instant + INTERVAL 9 HOUR) + 1] AS day, hour(instant + INTERVAL 9 HOUR) * 60 + minute(instant + INTERVAL 9 HOUR) AS m FROM (SELECT unnest({list(_INSTANTS)})::TIMESTAMP AS instant))".replace("('sun'", "['sun'").replace("'sat')", "'sat']")
+
+
+@query("tim02_is_open_at", f"SELECT poi_id, CAST(instant AS VARCHAR) AS instant, {OPEN('m')} AS is_open FROM v_poi, {_LOCAL}")
+def _(spark, sf):
+    rows = V.poi(spark, sf).withColumn("instant", F.explode(F.array(*map(F.lit, _INSTANTS))))
+    return rows.select("poi_id", "instant", C.is_open_at(F.col("hours"), F.col("instant").cast("timestamp")).alias("is_open"))
+
+
+@query("tim03_day_key", f"SELECT event_id, {C.DAYS}[dayofweek(ts + INTERVAL 9 HOUR) + 1] AS day FROM events".replace("('sun'", "['sun'").replace("'sat')", "'sat']"))
 def _(spark, sf):
-    rows = V.poi(spark, sf).withColumn("minute", F.explode(F.array(*map(F.lit, (60, 569, 570, 1080, 1259, 1260, 1439)))))
-    return rows.select("poi_id", "minute", C.is_open(F.col("opens"), F.col("closes"), F.col("minute")).alias("is_open"))
+    return V.table(spark, sf, "events").select("event_id", C.day_key(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Seoul")).alias("day"))
 
 
 @query("tim04_hour_band", "SELECT event_id, CASE WHEN hour(ts) >= 21 THEN 5 WHEN hour(ts) >= 17 THEN 4 WHEN hour(ts) >= 14 THEN 3 WHEN hour(ts) >= 11 THEN 2 WHEN hour(ts) >= 6 THEN 1 ELSE 0 END AS band FROM events")
@@ -266,12 +276,12 @@ def _(spark, sf):
     return V.table(spark, sf, "events").select("event_id", (lead >= 10800 * 1_000_000).alias("use_forecast"))
 
 
-@query("tim06_forecast_time", "SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS at FROM events WHERE event_id % 4 = 0")
+@query("tim06_forecast_time", "SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS at FROM events")
 def _(spark, sf):
     # the three formats of forecast times; seconds are cut
     text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyyMMddHHmm")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
     t = F.coalesce(F.try_to_timestamp(text, F.lit("yyyyMMddHHmm")), F.try_to_timestamp(F.substring(text, 1, 16), F.lit("yyyy-MM-dd HH:mm")), F.try_to_timestamp(F.substring(text, 1, 16), F.lit("yyyy-MM-dd'T'HH:mm")))
-    return V.table(spark, sf, "events").where("event_id % 4 = 0").select("event_id", F.date_format(t, "yyyy-MM-dd HH:mm").alias("at"))
+    return V.table(spark, sf, "events").select("event_id", F.date_format(t, "yyyy-MM-dd HH:mm").alias("at"))
 
 
 @query("tim11_next_occurrence", "SELECT event_id, CAST(CAST(CASE WHEN c > ts THEN c ELSE c + INTERVAL 7 DAY END AS DATE) AS VARCHAR) AS day FROM (SELECT event_id, ts, date_trunc('day', ts) + to_days(CAST((event_id % 7 - (isodow(ts) - 1) + 7) % 7 AS INT)) + INTERVAL 12 HOUR AS c FROM events)")

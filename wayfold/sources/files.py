@@ -45,8 +45,10 @@ def write_keyed(rows: DataFrame, path: str, partition: list[str]) -> None:
     rows.repartition(*partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV with a header; mark puts a byte order mark in front of each file, as part of the first column's name."""
+    names = ["\ufeff" + rows.columns[0], *rows.columns[1:]] if mark else rows.columns
+    rows.toDF(*names).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

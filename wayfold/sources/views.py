@@ -17,6 +17,12 @@ def choice(of: str, values: tuple) -> str:
     return "CASE " + of + " " + " ".join(f"WHEN {i} THEN '{v}'" if isinstance(v, str) else f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
+_OPENS = "CASE WHEN c_custkey % 17 = 0 THEN 'soon' WHEN c_custkey % 4 = 1 THEN '18:00' ELSE '9:30' END"
+_CLOSES = "CASE WHEN c_custkey % 4 = 1 THEN '2:00' WHEN c_custkey % 4 = 2 THEN '24:00' ELSE '21:00' END"
+_WEEK = ", ".join(f"'\"{d}\":[\"', {_OPENS}, '\",\"', {_CLOSES}, '\"],'" for d in ("mon", "tue", "wed", "thu", "fri"))
+_WEEKEND = "CASE c_custkey % 3 WHEN 0 THEN '\"sat\":[\"10:00\",\"15:30\"],\"sun\":\"closed\"' WHEN 1 THEN '\"sat\":[\"22:00\",\"6:00\"],\"sun\":[\"11:00\"]' ELSE '\"sun\":[\"8:00\",\"25:00\"]' END"
+#: Opening hours by weekday as JSON: overnight, to midnight, malformed, missing days, entries that are no pair.
+HOURS = f"CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 8 = 0 THEN '{{}}' END ELSE concat('{{', {_WEEK}, {_WEEKEND}, '}}') END"
 POI = {
     "k": "c_custkey",
     "poi_id": "concat('p', c_custkey)",
@@ -37,6 +43,7 @@ POI = {
     "tag2": f"CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE {choice('(c_custkey + 1 + c_custkey % 3) % 6', K.PURPOSES)} END",
     "opens": "CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN 'soon' WHEN c_custkey % 4 = 1 THEN '18:00' ELSE '9:30' END",
     "closes": "CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '2:00' WHEN c_custkey % 4 = 2 THEN '24:00' ELSE '21:00' END",
+    "hours": HOURS,
     "vec_id": "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 500 END",
 }
 HOTSPOT = {
@@ -105,7 +112,7 @@ SALES = {
     "amount": "l_extendedprice",
 }
 
-REQUEST_COLUMNS = "request_id purpose party budget u_lat u_lng u_zone gender age_band sensitivity rain pm feels hour sunset dow code user_vec".split()
+REQUEST_COLUMNS = "request_id purpose party budget u_lat u_lng u_zone gender age_band sensitivity rain pm feels hour sunset dow code user_vec day".split()
 
 
 def request_rows() -> list[tuple]:
@@ -115,12 +122,12 @@ def request_rows() -> list[tuple]:
     for i in range(20):
         zone = K.ZONES[i % 5]
         lat, lng = K.ANCHORS[zone]
-        out.append((i, K.PURPOSES[i % 6], (2, 4, 1, 6, 3)[(i * 3) % 5], 1 + i % 4, lat, lng, zone, "FM"[i % 2], K.AGE_BANDS[(i * 5) % 6], 1 + i % 3, (0.0, 0.1, 0.4, 0.7)[i % 4], 1 + i % 4, (20.0, 33.0, -7.0, 10.0)[(i // 2) % 4], (12, 14, 19, 22, 9)[i % 5], 19, int(i % 7 >= 5), f"H{i % 11}", i * 7))
-    out.append((20, K.PURPOSES[0], 2, 2, 37.60, 127.10, None, "F", 20, 2, 0.0, 1, 20.0, 12, 19, 0, None, None))
-    out.append((21, K.PURPOSES[1], 99, 1, 37.5445, 126.9675, "cheongpa", "M", 30, 3, 0.9, 4, 33.0, 20, 19, 1, "H1", 3))
+        out.append((i, K.PURPOSES[i % 6], (2, 4, 1, 6, 3)[(i * 3) % 5], 1 + i % 4, lat, lng, zone, "FM"[i % 2], K.AGE_BANDS[(i * 5) % 6], 1 + i % 3, (0.0, 0.1, 0.4, 0.7)[i % 4], 1 + i % 4, (20.0, 33.0, -7.0, 10.0)[(i // 2) % 4], (12, 14, 19, 22, 9)[i % 5], 19, int(i % 7 >= 5), f"H{i % 11}", i * 7, ("mon", "tue", "wed", "thu", "fri", "sat", "sun")[i % 7]))
+    out.append((20, K.PURPOSES[0], 2, 2, 37.60, 127.10, None, "F", 20, 2, 0.0, 1, 20.0, 12, 19, 0, None, None, "mon"))
+    out.append((21, K.PURPOSES[1], 99, 1, 37.5445, 126.9675, "cheongpa", "M", 30, 3, 0.9, 4, 33.0, 20, 19, 1, "H1", 3, "sat"))
     return out
 
 
 def requests(spark: SparkSession) -> DataFrame:
-    types = "request_id int, purpose string, party int, budget int, u_lat double, u_lng double, u_zone string, gender string, age_band int, sensitivity int, rain double, pm int, feels double, hour int, sunset int, dow int, code string, user_vec int"
+    types = "request_id int, purpose string, party int, budget int, u_lat double, u_lng double, u_zone string, gender string, age_band int, sensitivity int, rain double, pm int, feels double, hour int, sunset int, dow int, code string, user_vec int, day string"
     return spark.createDataFrame(request_rows(), types).coalesce(1)
