@@ -17,8 +17,11 @@ that also starts in a document of smaller doc_id; windows are judged on the inpu
    repeats.
 4. Remove. Repeats go back to their documents, and the words they cover go.
 
-All buckets are by hash, so a passage of a third of all documents spreads over them; texts are grouped by a
-hash of their doc_id into groups of bounded size.
+Names need no dictionary, so the rounds run where the words are, and what is global is the naming: the shuffles join
+equal names, not rounds. A symbol or window of a third of all documents does not gather in one task: what a chunk of
+text (symbols) or a group of documents (windows) shows by itself to repeat is settled there, and only its
+smallest document's entry goes to the bucket. Texts are grouped by a hash of their doc_id into groups of about 6 MB, as
+many as the table needs.
 
 Nulls and edges: a null or wordless text has no words and the hash of the empty string; a null doc_id
 neither loses words nor takes them; repeated rows and equal doc_ids do not take from each other (a smaller
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,16 +106,17 @@ def _unzip(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel())
 
 
-def _by(bucket: np.ndarray, n: int, arrays: list[np.ndarray], raw: int, names: list[str]) -> pa.RecordBatch:
+def _by(bucket: np.ndarray, arrays: list[np.ndarray], raw: int, names: list[str]) -> pa.RecordBatch:
     """One row per bucket: the first raw arrays as they are (hashes), the others delta-coded."""
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    some = np.flatnonzero(np.diff(cuts)).tolist()
-    columns = [pa.array(some, pa.int32())]
+    order = np.argsort(bucket, kind="stable")
+    own = bucket[order]
+    at = np.append(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), len(own)) if len(own) else np.zeros(1, np.int64)
+    spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
+    columns = [pa.array(own[at[:-1]].astype(np.int32))]
     for i, x in enumerate(arrays):
         x = x[order]
         code = (lambda y: y.tobytes()) if i < raw else _zip
-        columns.append(pa.array([code(x[cuts[b] : cuts[b + 1]]) for b in some], pa.binary()))
+        columns.append(pa.array([code(x[a:b]) for a, b in spans], pa.binary()))
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -148,8 +153,17 @@ def reveal(docs: DataFrame, size: int, buckets: int, groups: int) -> DataFrame:
                 use = hi >= lo
                 if use.any():
                     own = ids.slice(lo_row, hi_row - lo_row).to_numpy()[d]
-                    key = name[pick]
-                    yield _by((key >> np.uint64(40)).astype(np.int64)[use] % buckets, buckets, [key[use], own[use], lo[use], hi[use]], 1, ["bucket", "name", "doc", "lo", "hi"])
+                    key, own, lo, hi = name[pick][use], own[use], lo[use], hi[use]
+                    order = np.lexsort((own, key))
+                    key, own, lo, hi = key[order], own[order], lo[order], hi[order]
+                    low, high = _ends(key, own)
+                    # what this chunk alone shows to be shared is marked here; one document a symbol goes to its bucket
+                    told = low < high
+                    names = ["bucket", "name", "doc", "lo", "hi"]
+                    sent = ~told | (own == low)
+                    yield _by((key >> np.uint64(40)).astype(np.int64)[sent] % buckets, [key[sent], own[sent], lo[sent], hi[sent]], 1, names)
+                    if told.any():
+                        yield _by(-1 - _group(own[told], groups), [key[told], own[told], lo[told], hi[told]], 1, names)
 
     def shared(table: pa.Table) -> pa.Table:
         name = np.frombuffer(b"".join(table["name"].to_pylist()), np.uint64)
@@ -164,10 +178,19 @@ def reveal(docs: DataFrame, size: int, buckets: int, groups: int) -> DataFrame:
         doc, lo, hi = doc[order], lo[order], hi[order]
         if not len(doc):
             return pa.table({"grp": pa.array([], pa.int32()), "doc": pa.array([], pa.binary()), "lo": pa.array([], pa.binary()), "hi": pa.array([], pa.binary())})
-        return pa.Table.from_batches([_by(_group(doc, groups), groups, [doc, lo, hi], 0, ["grp", "doc", "lo", "hi"])])
+        return pa.Table.from_batches([_by(_group(doc, groups), [doc, lo, hi], 0, ["grp", "doc", "lo", "hi"])])
 
     rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(posted, "bucket int, name binary, doc binary, lo binary, hi binary")
-    return rows.groupBy("bucket").applyInArrow(shared, "grp int, doc binary, lo binary, hi binary")
+    rows = written(rows, "symbols")
+    found = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(shared, "grp int, doc binary, lo binary, hi binary")
+    return found.unionByName(rows.where("bucket < 0").select((-1 - F.col("bucket")).alias("grp"), "doc", "lo", "hi"))
+
+
+def _ends(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by (key, doc) the smallest and the largest document of each row's key."""
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(at, len(key)))
+    return np.repeat(doc[at], n), np.repeat(doc[at + n - 1], n)
 
 
 def _group(doc: np.ndarray, groups: int) -> np.ndarray:
@@ -175,11 +198,11 @@ def _group(doc: np.ndarray, groups: int) -> np.ndarray:
 
 
 def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """docs with grp, the numpy group of doc_id (null ids by text length)."""
+    """docs with grp, the numpy group of doc_id; null ids, which nothing looks for, by text length and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy()
+            ids = np.where(batch.column(0).is_valid().to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy(), pc.binary_length(batch.column(1)).fill_null(0).to_numpy() * 1000 + np.arange(batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_group(ids, groups).astype(np.int32))], names=["doc_id", "text", "grp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, grp int")
@@ -220,7 +243,14 @@ def verify(docs: DataFrame, marks: DataFrame, size: int, buckets: int, groups: i
                 held[3].append(s - first[which])
             if held[0]:
                 h, *rest = (np.concatenate(x) for x in held)
-                out.append(_by((h >> np.uint64(40)).astype(np.int64) % buckets, buckets, [h, *rest], 1, names))
+                order = np.lexsort((rest[0], h))
+                h, *rest = (x[order] for x in (h, *rest))
+                low, _ = _ends(h, rest[0])
+                # a smaller document of this group settles a window here; those of the smallest go to their bucket
+                told = rest[0] > low
+                out.append(_by((h >> np.uint64(40)).astype(np.int64)[~told] % buckets, [x[~told] for x in (h, *rest)], 1, names))
+                if told.any():
+                    out.append(_by(-1 - _group(rest[0][told], groups), [x[told] for x in (h, *rest)], 1, names))
         empty = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in names[1:])])
         return pa.Table.from_batches(out, schema=empty)
 
@@ -236,10 +266,12 @@ def verify(docs: DataFrame, marks: DataFrame, size: int, buckets: int, groups: i
             return pa.table({"grp": pa.array([], pa.int32()), "doc": pa.array([], pa.binary()), "key": pa.array([], pa.binary()), "start": pa.array([], pa.binary())})
         order = np.lexsort((start, key, doc))
         doc, key, start = doc[order], key[order], start[order]
-        return pa.Table.from_batches([_by(_group(doc, groups), groups, [doc, key, start], 0, ["grp", "doc", "key", "start"])])
+        return pa.Table.from_batches([_by(_group(doc, groups), [doc, key, start], 0, ["grp", "doc", "key", "start"])])
 
     rows = grouped(docs, groups).groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(windows, "bucket int, hash binary, doc binary, key binary, start binary")
-    return rows.groupBy("bucket").applyInArrow(repeats, "grp int, doc binary, key binary, start binary")
+    rows = written(rows, "windows")
+    found = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(repeats, "grp int, doc binary, key binary, start binary")
+    return found.unionByName(rows.where("bucket < 0").select((-1 - F.col("bucket")).alias("grp"), "doc", "key", "start"))
 
 
 def removed(docs: DataFrame, found: DataFrame, size: int, groups: int, with_text: bool) -> DataFrame:
@@ -288,7 +320,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, with_text: bool = False) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession)
     size_of = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    pieces = max(64, min(1 << 16, int(size_of / (6 << 20))))  # about 6 MB of text a group
+    pieces = max(64, int(size_of / (6 << 20)))  # about 6 MB of text a group
     marks = written(reveal(docs, size, pieces, pieces), "marks")
     found = written(verify(docs, marks, size, pieces, pieces), "repeats")
     return removed(docs, found, size, pieces, with_text)
