@@ -166,6 +166,8 @@ def reveal(docs: DataFrame, size: int, buckets: int, groups: int) -> DataFrame:
                         yield _by(-1 - _group(own[told], groups), [key[told], own[told], lo[told], hi[told]], 1, names)
 
     def shared(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return _settled(table, ["doc", "lo", "hi"])
         name = np.frombuffer(b"".join(table["name"].to_pylist()), np.uint64)
         doc, lo, hi = (np.concatenate([_unzip(x) for x in table[c].to_pylist()]) for c in ("doc", "lo", "hi"))
         order = np.argsort(name, kind="stable")
@@ -181,9 +183,12 @@ def reveal(docs: DataFrame, size: int, buckets: int, groups: int) -> DataFrame:
         return pa.Table.from_batches([_by(_group(doc, groups), [doc, lo, hi], 0, ["grp", "doc", "lo", "hi"])])
 
     rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(posted, "bucket int, name binary, doc binary, lo binary, hi binary")
-    rows = written(rows, "symbols")
-    found = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(shared, "grp int, doc binary, lo binary, hi binary")
-    return found.unionByName(rows.where("bucket < 0").select((-1 - F.col("bucket")).alias("grp"), "doc", "lo", "hi"))
+    return rows.groupBy("bucket").applyInArrow(shared, "grp int, doc binary, lo binary, hi binary")
+
+
+def _settled(table: pa.Table, columns: list[str]) -> pa.Table:
+    """Rows that need no bucket: -1 less the bucket is the group of their documents."""
+    return table.select(columns).add_column(0, "grp", pc.subtract(pa.scalar(-1, pa.int32()), table["bucket"]))
 
 
 def _ends(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,6 +260,8 @@ def verify(docs: DataFrame, marks: DataFrame, size: int, buckets: int, groups: i
         return pa.Table.from_batches(out, schema=empty)
 
     def repeats(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return _settled(table, ["doc", "key", "start"])
         h = np.frombuffer(b"".join(table["hash"].to_pylist()), np.uint64)
         doc, key, start = (np.concatenate([_unzip(x) for x in table[c].to_pylist()]) for c in ("doc", "key", "start"))
         order = np.argsort(h, kind="stable")
@@ -269,9 +276,7 @@ def verify(docs: DataFrame, marks: DataFrame, size: int, buckets: int, groups: i
         return pa.Table.from_batches([_by(_group(doc, groups), [doc, key, start], 0, ["grp", "doc", "key", "start"])])
 
     rows = grouped(docs, groups).groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(windows, "bucket int, hash binary, doc binary, key binary, start binary")
-    rows = written(rows, "windows")
-    found = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(repeats, "grp int, doc binary, key binary, start binary")
-    return found.unionByName(rows.where("bucket < 0").select((-1 - F.col("bucket")).alias("grp"), "doc", "key", "start"))
+    return rows.groupBy("bucket").applyInArrow(repeats, "grp int, doc binary, key binary, start binary")
 
 
 def removed(docs: DataFrame, found: DataFrame, size: int, groups: int, with_text: bool) -> DataFrame:
