@@ -154,8 +154,6 @@ def reveal(docs: DataFrame, size: int, buckets: int, groups: int) -> DataFrame:
                 if use.any():
                     own = ids.slice(lo_row, hi_row - lo_row).to_numpy()[d]
                     key, own, lo, hi = name[pick][use], own[use], lo[use], hi[use]
-                    order = np.lexsort((own, key))
-                    key, own, lo, hi = key[order], own[order], lo[order], hi[order]
                     low, high = _ends(key, own)
                     # what this chunk alone shows to be shared is marked here; one document a symbol goes to its bucket
                     told = low < high
@@ -163,7 +161,7 @@ def reveal(docs: DataFrame, size: int, buckets: int, groups: int) -> DataFrame:
                     sent = ~told | (own == low)
                     yield _by((key >> np.uint64(40)).astype(np.int64)[sent] % buckets, [key[sent], own[sent], lo[sent], hi[sent]], 1, names)
                     if told.any():
-                        yield _by(-1 - _group(own[told], groups), [key[told], own[told], lo[told], hi[told]], 1, names)
+                        yield _by(-1 - _group(own[told], groups), [key[told] * np.uint64(0), own[told], lo[told], hi[told]], 1, names)
 
     def shared(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
@@ -192,10 +190,15 @@ def _settled(table: pa.Table, columns: list[str]) -> pa.Table:
 
 
 def _ends(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by (key, doc) the smallest and the largest document of each row's key."""
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    """The smallest and the largest document of each row's key. Rows keep their order, in which neighbours are alike and
+    code short."""
+    order = np.argsort(key, kind="stable")
+    own = key[order]
+    at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     n = np.diff(np.append(at, len(key)))
-    return np.repeat(doc[at], n), np.repeat(doc[at + n - 1], n)
+    low, high = np.empty_like(doc), np.empty_like(doc)
+    low[order], high[order] = np.repeat(np.minimum.reduceat(doc[order], at), n), np.repeat(np.maximum.reduceat(doc[order], at), n)
+    return low, high
 
 
 def _group(doc: np.ndarray, groups: int) -> np.ndarray:
@@ -248,14 +251,12 @@ def verify(docs: DataFrame, marks: DataFrame, size: int, buckets: int, groups: i
                 held[3].append(s - first[which])
             if held[0]:
                 h, *rest = (np.concatenate(x) for x in held)
-                order = np.lexsort((rest[0], h))
-                h, *rest = (x[order] for x in (h, *rest))
                 low, _ = _ends(h, rest[0])
                 # a smaller document of this group settles a window here; those of the smallest go to their bucket
                 told = rest[0] > low
                 out.append(_by((h >> np.uint64(40)).astype(np.int64)[~told] % buckets, [x[~told] for x in (h, *rest)], 1, names))
                 if told.any():
-                    out.append(_by(-1 - _group(rest[0][told], groups), [x[told] for x in (h, *rest)], 1, names))
+                    out.append(_by(-1 - _group(rest[0][told], groups), [h[told] * np.uint64(0), *(x[told] for x in rest)], 1, names))
         empty = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in names[1:])])
         return pa.Table.from_batches(out, schema=empty)
 
