@@ -51,12 +51,17 @@ def check(d: Column) -> Column:
     return F.xxhash64(d, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def cell(n: Column, k: Column, c: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), k.cast("long").alias("k"), c.cast("long").alias("c"))
+def cell(i: Column, n: Column, k: Column, c: Column) -> Column:
+    """A cell: its number in the sketch and its three sums."""
+    return F.struct(i.cast("int").alias("i"), n.cast("int").alias("n"), k.cast("long").alias("k"), c.cast("long").alias("c"))
 
 
 def combined(x: Column, n: Column, k: Column, c: Column) -> Column:
-    return cell(x["n"] + n, x["k"].bitwiseXOR(k), x["c"].bitwiseXOR(c))
+    return cell(x["i"], x["n"] + n, x["k"].bitwiseXOR(k), x["c"].bitwiseXOR(c))
+
+
+def used(cells: Column) -> Column:
+    return F.filter(cells, lambda x: (x["n"] != 0) | (x["k"] != 0))
 
 
 def places(d: Column, bits: int) -> Column:
@@ -66,35 +71,43 @@ def places(d: Column, bits: int) -> Column:
 
 
 def sketch(of: Column, bits: int) -> Column:
-    """Cells of an array of digests."""
-    cells = F.array_repeat(cell(F.lit(0), F.lit(0), F.lit(0)), 3 << bits)
+    """All cells of an array of digests."""
+    cells = F.array(*(cell(F.lit(i), F.lit(0), F.lit(0), F.lit(0)) for i in range(3 << bits)))
     keyed = F.transform(of, lambda d: F.struct(d.alias("k"), check(d).alias("c"), places(d, bits).alias("p")))
     return F.aggregate(keyed, cells, lambda acc, d: F.transform(acc, lambda x, i: F.when(F.get(d["p"], F.shiftright(i, bits)) == i, combined(x, F.lit(1), d["k"], d["c"])).otherwise(x)))
 
 
-def peel(a: Column, b: Column, bits: int) -> Column:
-    """(found, left): digests recovered from the difference of two sketches, and whether cells were left."""
-    difference = F.zip_with(a, b, lambda x, y: combined(x, -y["n"], y["k"], y["c"]))
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("go"))
+def difference(a: Column, b: Column, bits: int) -> Column:
+    """The used cells of the sketch of a less that of b, from their digests: both are linear, so cells are summed once."""
+
+    def entries(of: Column, sign: int) -> Column:
+        return F.flatten(F.transform(of, lambda d: let(check(d), lambda c: F.transform(places(d, bits), lambda i: cell(i, F.lit(sign), d, c)))))
+
+    def total(cells: Column) -> Column:
+        return F.aggregate(F.slice(cells, 2, 1 << 30), F.get(cells, F.lit(0)), lambda x, y: combined(x, y["n"], y["k"], y["c"]))
+
+    every = F.sort_array(F.concat(entries(a, 1), entries(b, -1)))
+    return used(F.transform(F.filter(sliced(every, lambda x: x["i"]), lambda cells: F.size(cells) > 0), total))
+
+
+def peel(cells: Column, bits: int) -> Column:
+    """(found, left): digests recovered from the used cells of a difference, and whether cells were left."""
+    start = let(cells, lambda x: F.struct(x.alias("cells"), F.lit(0).alias("found"), (F.size(x) > 0).alias("go")))
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (check(x["k"]) == x["c"])))
+        pure = F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (check(x["k"]) == x["c"]))
+        ones = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
 
         def remove(ones: Column) -> Column:
-            keyed = F.transform(ones, lambda d: F.struct(d["n"].alias("n"), d["k"].alias("k"), d["c"].alias("c"), places(d["k"], bits).alias("p")))
-            cells = let(
-                keyed,
-                lambda ds: F.transform(
-                    state["cells"], lambda x, i: F.aggregate(ds, x, lambda y, d: F.when(F.get(d["p"], F.shiftright(i, bits)) == i, combined(y, -d["n"], d["k"], d["c"])).otherwise(y))
-                ),
-            )
-            return F.when(F.size(ones) > 0, F.struct(cells.alias("cells"), (state["found"] + F.size(ones)).alias("found"), F.lit(True).alias("go"))).otherwise(
-                F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("go"))
+            keyed = F.transform(ones, lambda d: F.struct((-d["n"]).alias("n"), d["k"].alias("k"), check(d["k"]).alias("c"), places(d["k"], bits).alias("p")))
+            less = lambda ds: F.transform(
+                state["cells"], lambda x: F.aggregate(ds, x, lambda y, d: F.when(F.array_contains(d["p"], x["i"]), combined(y, d["n"], d["k"], d["c"])).otherwise(y))
             )
+            return let(used(let(keyed, less)), lambda cells: F.struct(cells.alias("cells"), (state["found"] + F.size(ones)).alias("found"), ((F.size(ones) > 0) & (F.size(cells) > 0)).alias("go")))
 
-        return F.when(state["go"], let(pure, remove)).otherwise(state)
+        return F.when(state["go"], let(ones, remove)).otherwise(state)
 
-    done = lambda s: F.struct(s["found"].alias("found"), F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0)).alias("left"))
+    done = lambda s: F.struct(s["found"].alias("found"), (F.size(s["cells"]) > 0).alias("left"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, done)
 
 
@@ -107,7 +120,7 @@ def again(a: Column, b: Column, sizes: tuple[int, ...]) -> Column:
     if not sizes:
         return exactly(a, b)
     bits, *rest = sizes
-    return let(peel(sketch(a, bits), sketch(b, bits), bits), lambda r: F.when(r["left"], again(a, b, tuple(rest))).otherwise(r["found"]))
+    return let(peel(difference(a, b, bits), bits), lambda r: F.when(r["left"], again(a, b, tuple(rest))).otherwise(r["found"]))
 
 
 def sliced(items: Column, key: Callable[[Column], Column]) -> Column:
@@ -125,7 +138,7 @@ def shards(of: Column) -> Column:
     number = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.size(of) / F.lit(5.0))), F.lit(0))).cast("int")
 
     def build(n: Column) -> Column:
-        placed = F.array_sort(F.transform(of, lambda d: F.struct(F.shiftright(d, 40).bitwiseAND((n - 1).cast("long")).alias("s"), d.alias("d"))))
+        placed = F.sort_array(F.transform(of, lambda d: F.struct(F.shiftright(d, 40).bitwiseAND((n - 1).cast("long")).alias("s"), d.alias("d"))))
         parts = F.transform(sliced(placed, lambda x: x["s"]), lambda part: let(F.transform(part, lambda x: x["d"]), lambda ds: F.struct(F.get(part, F.lit(0))["s"].alias("s"), sketch(ds, SIZES[0]).alias("cells"), ds.alias("of"))))
         return F.struct(n.alias("n"), F.filter(parts, lambda p: p["s"].isNotNull()).alias("parts"))
 
@@ -137,24 +150,24 @@ def likeness(a: Column, b: Column) -> Column:
     size = lambda x: F.aggregate(x["parts"], F.lit(0), lambda n, p: n + F.size(p["of"]))
     total = size(a) + size(b)
     side = lambda x, n, sign: F.transform(x["parts"], lambda p: F.struct(p["s"].bitwiseAND((n - 1).cast("long")).alias("s"), F.lit(sign).alias("sign"), p["cells"].alias("cells"), p["of"].alias("of")))
-    empty = F.array_repeat(cell(F.lit(0), F.lit(0), F.lit(0)), 3 << SIZES[0])
 
     def shard(parts: Column) -> Column:
-        added = F.aggregate(parts, empty, lambda acc, p: F.zip_with(acc, p["cells"], lambda x, y: combined(x, y["n"] * p["sign"], y["k"], y["c"])))
+        first = F.get(parts, F.lit(0))  # the sign of a whole difference does not matter: others are added to the first
+        added = F.aggregate(F.slice(parts, 2, 1 << 30), first["cells"], lambda acc, p: F.zip_with(acc, p["cells"], lambda x, y: combined(x, y["n"] * p["sign"] * first["sign"], y["k"], y["c"])))
         digests_of = lambda sign: F.flatten(F.transform(F.filter(parts, lambda p: p["sign"] == sign), lambda p: p["of"]))
-        return let(peel(added, empty, SIZES[0]), lambda r: F.when(r["left"], let(F.struct(digests_of(1).alias("a"), digests_of(-1).alias("b")), lambda x: again(x["a"], x["b"], SIZES[1:]))).otherwise(r["found"]))
+        return let(peel(used(added), SIZES[0]), lambda r: F.when(r["left"], let(F.struct(digests_of(1).alias("a"), digests_of(-1).alias("b")), lambda x: again(x["a"], x["b"], SIZES[1:]))).otherwise(r["found"]))
 
     def compare(n: Column) -> Column:
-        both = F.array_sort(F.concat(side(a, n, 1), side(b, n, -1)), lambda x, y: (x["s"] - y["s"]).cast("int"))
-        return F.aggregate(sliced(both, lambda x: x["s"]), F.lit(0), lambda acc, parts: acc + shard(parts))
+        both = F.sort_array(F.concat(side(a, n, 1), side(b, n, -1)))
+        return F.aggregate(sliced(both, lambda x: x["s"]), F.lit(0), lambda acc, parts: acc + F.when(F.size(parts) > 0, shard(parts)).otherwise(0))
 
     return F.when(total == 0, 1.0).otherwise(1.0 - let(F.least(a["n"], b["n"]), compare) / total)
 
 
 def printed(x: Column) -> Column:
     """The number of shards, then each shard in use with its used cells: number:cell.n.digests.checks,..."""
-    used = lambda cells: F.filter(F.transform(cells, lambda c, i: F.when(c["n"] != 0, F.concat_ws(".", i.cast("string"), c["n"].cast("string"), F.hex(c["k"]), F.hex(c["c"])))), lambda t: t.isNotNull())
-    return F.concat_ws(";", x["n"].cast("string"), F.transform(x["parts"], lambda p: F.concat(p["s"].cast("string"), F.lit(":"), F.concat_ws(",", used(p["cells"])))))
+    shown = lambda cells: F.transform(used(cells), lambda c: F.concat_ws(".", c["i"].cast("string"), c["n"].cast("string"), F.hex(c["k"]), F.hex(c["c"])))
+    return F.concat_ws(";", x["n"].cast("string"), F.transform(x["parts"], lambda p: F.concat(p["s"].cast("string"), F.lit(":"), F.concat_ws(",", shown(p["cells"])))))
 
 
 def in_ranges(docs: DataFrame, bounds: list[int]) -> DataFrame:
