@@ -211,7 +211,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2)
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half.cast("int")))
     rows = rows.withColumn("edited", edited).withColumn("own", shards(F.col("digests"))).withColumn("next", shards(F.col("next_digests")))
-    rows = rows.withColumn("other", shards(digests(F.col("edited"))))
+    rows = rows.withColumn("edited_digests", digests(F.col("edited"))).withColumn("other", shards(F.col("edited_digests")))
     return rows.select(
         "doc_id",
         "n_chars",
