@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,11 +89,15 @@ def resistance(a: Column, b: Column) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it (inside a lambda nothing is shared)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; null if either is missing, zero, or of another length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
+    return F.when(F.size(a) == F.size(b), once(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), lambda norm: F.when(norm > 0, dot(a, b) / norm)))
 
 
 def hour_band(hour: Column) -> Column:
@@ -136,7 +141,7 @@ def week_of(hours: Column) -> Column:
 
     def entry(text: Column) -> Column:
         times = F.when(F.startswith(text, F.lit("[")), F.split(F.translate(text, '[]"', ""), ","))
-        return F.struct(minutes_of(F.get(times, F.lit(0))).alias("o"), minutes_of(F.get(times, F.lit(1))).alias("c"))
+        return once(times, lambda t: F.struct(minutes_of(F.get(t, F.lit(0))).alias("o"), minutes_of(F.get(t, F.lit(1))).alias("c")))
 
     return F.transform_values(F.from_json(hours, "map<string,string>"), lambda _, v: entry(v))
 

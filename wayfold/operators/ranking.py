@@ -11,9 +11,9 @@ from wayfold.functions.columns import resistance
 
 
 def with_reference(candidates: DataFrame) -> DataFrame:
-    """affinity_ref: median of the positive affinities of a request's candidate rows (null if there is none)."""
-    ref = candidates.where("affinity > 0").groupBy("request_id").agg(F.median("affinity").alias("affinity_ref"))
-    return candidates.join(ref, "request_id", "left")
+    """affinity_ref: median of the positive affinities of a request's candidate rows (null if there is none). A window
+    over the request's few candidates, so that they are built once and share their shuffle with the ranking."""
+    return candidates.withColumn("affinity_ref", F.median(F.when(F.col("affinity") > 0, F.col("affinity"))).over(Window.partitionBy("request_id")))
 
 
 def scored(candidates: DataFrame) -> DataFrame:
