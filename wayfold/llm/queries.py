@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.llm.importance_sql import resampled_sql
+from wayfold.llm.turn_repair_sql import repair_sql
+
 #: Names of the public tokenizer files; tokenizer_path turns them into paths.
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
+RANK_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,6 +85,24 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.turn_repair import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.importance import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, percent=25, least_words=20, seed=7)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.rank_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(RANK_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,8 +116,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_fingerprints,
         op10_embedding_dedup,
+        op11_turn_repair,
+        op12_importance_resampling,
+        op13_byte_bpe,
     )
 }
 
-#: No operator's full result can be said in SQL; tests/llm compares them with brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The full results of the others cannot be said in SQL; tests/llm compares them with brute force.
+ORACLE_SQL: dict[str, str] = {"op11_turn_repair": repair_sql(), "op12_importance_resampling": resampled_sql()}
