@@ -36,7 +36,7 @@ from wayfold.llm.words import word_bounds, word_hashes
 _AS = np.arange(256, dtype=np.uint8)
 _AS[65:91] += 32
 _AS[[c for c in range(128) if not chr(c).isalnum()]] = 32
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,8 +74,8 @@ def dictionary(texts: DataFrame) -> DataFrame:
             for _, _, data, offsets in text_chunks(column.column(0), CHUNK):
                 strings, feature, _, _ = features(data, offsets)
                 n = np.bincount(feature, minlength=len(strings))
-                for lo in range(0, len(strings), 50_000):
-                    yield pa.RecordBatch.from_arrays([strings.slice(lo, 50_000).cast(pa.string()), pa.array(n[lo : lo + 50_000])], names=["feature", "n"])
+                for lo in range(0, len(strings), 20_000):
+                    yield pa.RecordBatch.from_arrays([strings.slice(lo, 20_000).cast(pa.string()), pa.array(n[lo : lo + 20_000])], names=["feature", "n"])
 
     small_batches(texts.sparkSession)
     some = texts.select(F.col("text").cast("string")).mapInArrow(run, "feature string, n long")
