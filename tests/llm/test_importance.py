@@ -78,8 +78,9 @@ def test_dictionary_counts_every_occurrence_whatever_the_chunk(docs, chunk, monk
     total: Counter = Counter()
     column = pa.array([r.text for r in docs.select("text").collect()], pa.string())
     for _, _, data, offsets in importance.text_chunks(column, chunk):
-        strings, feature, first, words = importance.features(data, offsets)
-        total.update(dict(zip([x.decode() for x in strings.to_pylist()], np.bincount(feature, minlength=len(strings)).tolist())))
+        words, key, text, n_words = importance.features(data, offsets)
+        distinct, n = np.unique(key, return_counts=True)
+        total.update(dict(zip([x.decode() for x in importance.strings(words, distinct).to_pylist()], n.tolist())))
     want: Counter = Counter()
     for t in column.to_pylist():
         want.update(counted(t)[1])
@@ -88,6 +89,15 @@ def test_dictionary_counts_every_occurrence_whatever_the_chunk(docs, chunk, monk
         assert {r.feature: r.n for r in dictionary(docs).collect()} == want
 
 
+def test_side_by_side_crc32():
+    import pyarrow as pa
+
+    values = [b"", b"a", b"two words", "é 漢".encode(), b"x" * 64, b"x" * 65, b"y" * 100_000, bytes(range(200, 256)), b"a"]
+    assert importance.crc32s(pa.array(values, pa.binary())).tolist() == [zlib.crc32(v) for v in values]
+    assert importance.crc32s(pa.array(values, pa.binary()).slice(3, 4)).tolist() == [zlib.crc32(v) for v in values[3:7]]
+    assert importance.crc32s(pa.array([], pa.binary())).tolist() == []
+
+
 def test_one_doc_id_in_most_rows(spark):
     text = " ".join(f"word{i}" for i in range(30))
     rows = [(1, text)] * 300 + [(i, text) for i in range(2, 50)] + [(None, text)] * 50

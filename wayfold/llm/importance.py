@@ -40,8 +40,8 @@ CHUNK = 2 << 20
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct features of texts (bytes, offsets) as sorted strings; then, for each occurrence, its feature; how many occurrences
-    each text has before it (n + 1); and each text's words."""
+    """Features of texts (bytes, offsets): the distinct words, sorted; the key of each occurrence (a word's place times
+    their number plus one, and for two words the place of the second plus one); its text; and each text's words."""
     data = _AS[data]
     begin, end, first = word_bounds(data, offsets)
     _, place, word = np.unique(word_hashes(data, begin, end, lower=False), return_index=True, return_inverse=True)
@@ -57,13 +57,45 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     second = np.flatnonzero(follows)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     key = np.concatenate([word * size, word[second - 1] * size + word[second] + 1])
-    owner = np.concatenate([text, text[second]])
-    distinct, feature = np.unique(key, return_inverse=True)
-    left, right = words.take(pa.array(distinct // size)), words.take(pa.array(np.maximum(distinct % size - 1, 0)))
-    strings = pc.if_else(pa.array(distinct % size == 0), left, pc.binary_join_element_wise(left, right, pa.scalar(b" ")))
-    by_text = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(offsets) - 1)
-    return strings, feature[by_text], np.concatenate([[0], np.cumsum(counts)]), np.diff(first)
+    return words, key, np.concatenate([text, text[second]]), np.diff(first)
+
+
+def strings(words: pa.Array, key: np.ndarray) -> pa.Array:
+    """The features of keys as UTF-8 strings."""
+    first, second = np.divmod(key, len(words) + 1)
+    left, right = words.take(pa.array(first)), words.take(pa.array(np.maximum(second - 1, 0)))
+    return pc.if_else(pa.array(second == 0), left, pc.binary_join_element_wise(left, right, pa.scalar(b" ")))
+
+
+def _remainders() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, np.uint32(0xEDB88320), np.uint32(0)) ^ c >> 1
+    return c
+
+
+_CRC = _remainders()
+
+
+def crc32s(values: pa.Array) -> np.ndarray:
+    """crc32 of each value of a binary array: byte by byte for all values side by side, long ones by the library."""
+    _, ends, raw = values.cast(pa.large_binary()).buffers()
+    at, raw = np.frombuffer(ends, np.int64)[: len(values) + 1], np.frombuffer(raw or b"", np.uint8)
+    length = np.diff(at)
+    order = np.argsort(-np.minimum(length, 65), kind="stable")
+    begin, left, c = at[:-1][order], length[order], np.full(len(order), 0xFFFFFFFF, np.uint32)
+    long, alive = np.count_nonzero(left > 64), np.count_nonzero(left > 0)
+    for j in range(64):
+        alive = np.count_nonzero(left[:alive] > j)
+        if alive <= long:
+            break
+        some = c[long:alive]
+        c[long:alive] = _CRC[(some ^ raw[begin[long:alive] + j]) & 255] ^ some >> 8
+    out = np.empty(len(order), np.uint32)
+    out[order] = ~c
+    for k in order[:long]:
+        out[k] = crc32(raw[at[k] : at[k + 1]])
+    return out
 
 
 def dictionary(texts: DataFrame) -> DataFrame:
@@ -72,10 +104,10 @@ def dictionary(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for column in _gathered(batches):
             for _, _, data, offsets in text_chunks(column.column(0), CHUNK):
-                strings, feature, _, _ = features(data, offsets)
-                n = np.bincount(feature, minlength=len(strings))
-                for lo in range(0, len(strings), 20_000):
-                    yield pa.RecordBatch.from_arrays([strings.slice(lo, 20_000).cast(pa.string()), pa.array(n[lo : lo + 20_000])], names=["feature", "n"])
+                words, key, _, _ = features(data, offsets)
+                distinct, n = np.unique(key, return_counts=True)
+                for lo in range(0, len(distinct), 20_000):
+                    yield pa.RecordBatch.from_arrays([strings(words, distinct[lo : lo + 20_000]).cast(pa.string()), pa.array(n[lo : lo + 20_000])], names=["feature", "n"])
 
     small_batches(texts.sparkSession)
     some = texts.select(F.col("text").cast("string")).mapInArrow(run, "feature string, n long")
@@ -118,12 +150,12 @@ def weights(docs: DataFrame, gain: np.ndarray) -> DataFrame:
         for table in _gathered(batches):
             ids = table.column(0).combine_chunks()
             for lo, hi, data, offsets in text_chunks(table.column(1), CHUNK):
-                strings, feature, first, words = features(data, offsets)
-                own = gain[np.fromiter((crc32(x) for x in strings.to_pylist()), np.int64, len(strings)) % len(gain)]
-                total = np.concatenate([[0], np.cumsum(own[feature])])
-                n = np.diff(first)
-                weight = (total[first[1:]] - total[first[:-1]]) // np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(words), pa.array(n), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
+                words, key, text, n_words = features(data, offsets)
+                distinct, feature = np.unique(key, return_inverse=True)
+                own = gain[crc32s(strings(words, distinct)) % len(gain)]
+                total, n = np.zeros(hi - lo, np.int64), np.bincount(text, minlength=hi - lo)
+                np.add.at(total, text, own[feature])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n_words), pa.array(n), pa.array(total // np.maximum(n, 1))], names=["doc_id", "n_words", "n_features", "weight"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
