@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.quantiles import quantiles
+
 
 def observed(rows: DataFrame, checks: dict[str, Column], fatal: tuple[str, ...] = (), low: float = 0.5) -> DataFrame:
     """One row per check: name, n, total, rate, status (FAIL if fatal and empty, WARN below low, else OK)."""
@@ -35,8 +37,7 @@ def sweep(rows: DataFrame, value: Column, limits: list[float], at_least: bool) -
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
     """Percentiles by nearest rank ceil(p n): values that occur."""
-    aggs = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in at]
-    return rows.groupBy(*keys).agg(*aggs)
+    return quantiles(rows, keys, F.col(value), {f"p{round(p * 100)}": p for p in at}, discrete=True)
 
 
 def spread(rows: DataFrame, group: str, terms: list[str]) -> DataFrame:

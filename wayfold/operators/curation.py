@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold import constants as K
 from wayfold.functions.columns import bounded_name, clean_html, normalised
+from wayfold.operators.quantiles import quantiles
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -64,9 +65,9 @@ def round_robin(rows: DataFrame, key: str, lane: str, rank: str, item: str, cap:
 
 def quality(places: DataFrame, prior: float = K.QUALITY_PRIOR) -> DataFrame:
     """places (poi_id, sentiment, mentions, clean) -> quality: prior-weighted sentiment times capped, logged mentions.
-    The mean and the 95th percentile are one aggregate row."""
+    The mean and the 95th percentile are one row each."""
     m = F.coalesce("mentions", F.lit(0))
-    whole = places.agg(F.avg("sentiment").alias("m"), F.percentile(m, F.lit(0.95)).alias("p95"))
+    whole = places.agg(F.avg("sentiment").alias("m")).crossJoin(quantiles(places, [], m, {"p95": 0.95}))
     mean = (prior * F.col("m") + F.coalesce("sentiment", "m") * F.col("clean")) / (prior + F.col("clean"))
     heard = F.log1p(F.least(m, F.col("p95"))) / F.log1p("p95")
     return places.crossJoin(F.broadcast(whole)).withColumn("quality", F.least(F.greatest(mean * heard, F.lit(0.0)), F.lit(1.0))).drop("m", "p95")

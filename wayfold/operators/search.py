@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from wayfold import constants as K
 from wayfold.functions.columns import haversine, is_open_on, week_of
+from wayfold.operators.nearest import nearest, nearest_of_few
 from wayfold.sources.work import written
 
+#: So many requests or fewer look for their nearest places in one pass over all of them.
+FEW = 32
+
 
 def cells(lat: Column, lng: Column, metres: float, at_lat: float = 37.5) -> tuple[Column, Column]:
     """Grid cell at least metres wide in both directions up to latitude at_lat + 10."""
@@ -76,15 +80,6 @@ def ladder(requests: DataFrame, near: DataFrame, radii: tuple[float, ...] = K.RA
     return out.select("request_id", "stage", radius.alias("radius"), F.when(F.col("stage") > last, K.CONFIDENCE_RELAXED).otherwise(K.CONFIDENCE).alias("confidence_min"), n.alias("n"), (n < low).alias("low_confidence"))
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str, k: int, order: list[Column]) -> DataFrame:
-    """The k nearest places of each point. points is a query set: it is broadcast if it is small, and each place
-    meets it once; per-task heads are cut before the shuffle (WindowGroupLimit)."""
-    pairs = places.crossJoin(F.broadcast(points)) if points.count() <= 10_000 else places.crossJoin(points)
-    pairs = pairs.withColumn("dist", haversine(F.col("u_lat"), F.col("u_lng"), F.col("lat"), F.col("lng")))
-    w = Window.partitionBy(key).orderBy(*order)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def candidates(requests: DataFrame, places: DataFrame) -> DataFrame:
     """Places of each request after the ladder: at most CANDIDATE_LIMIT nearest, or the nearest few if hardly any pass.
 
@@ -97,7 +92,8 @@ def candidates(requests: DataFrame, places: DataFrame) -> DataFrame:
     chosen = chosen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= K.CANDIDATE_LIMIT)
     columns = ["request_id", "poi_id", "dist", "stage", "radius", "confidence_min", "n"]
     starved = requests.select("request_id", "u_lat", "u_lng").join(stages.where(F.col("n") < K.RELAX_BELOW).drop("stage"), "request_id")
-    fallback = nearest(starved, places.select("poi_id", "lat", "lng"), "request_id", K.NEAREST, [F.col("dist"), F.col("poi_id")])
+    closest = nearest_of_few if starved.count() <= FEW else nearest
+    fallback = closest(starved, places, "request_id", K.NEAREST, "poi_id").join(starved.drop("u_lat", "u_lng"), "request_id")
     # the fallback holds only if it gives more places than the ladder did
     sized = fallback.withColumn("_m", F.count("*").over(Window.partitionBy("request_id"))).where(F.col("_m") > F.col("n"))
     fallback = written(sized.withColumn("stage", F.lit(len(K.RADII) + 1)).select(*columns), "fallback")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold import constants as K
 from wayfold.functions import columns as C
 from wayfold.operators import audits, curation, merges
+from wayfold.operators.quantiles import quantiles
 from wayfold.plans.registry import query
 from wayfold.plans.retrieval import R6
 from wayfold.sources import views as V
@@ -44,7 +45,7 @@ def _(spark, sf):
 @query("str09_selection_score", "SELECT poi_id, round(ln(1 + least(coalesce(mentions, 0), p)) * 1.0, 6) AS score FROM v_poi, (SELECT quantile_cont(coalesce(mentions, 0), 0.95) AS p FROM v_poi)")
 def _(spark, sf):
     rows = V.poi(spark, sf)
-    cap = rows.agg(F.percentile(F.coalesce("mentions", F.lit(0)), F.lit(0.95)).alias("p"))
+    cap = quantiles(rows, [], F.coalesce("mentions", F.lit(0)), {"p": 0.95})
     score = F.log1p(F.least(F.coalesce("mentions", F.lit(0)), F.col("p"))) * C.specificity(F.col("name"))
     return rows.crossJoin(F.broadcast(cap)).select("poi_id", R6(score, "score"))
 
@@ -239,7 +240,9 @@ def _(spark, sf):
 
 @query("agg05_global_stats", "SELECT round(avg(sentiment), 6) AS mean, round(quantile_cont(coalesce(mentions, 0), 0.95), 6) AS p95 FROM v_poi")
 def _(spark, sf):
-    return V.poi(spark, sf).agg(R6(F.avg("sentiment"), "mean"), R6(F.percentile(F.coalesce("mentions", F.lit(0)), F.lit(0.95)), "p95"))
+    rows = V.poi(spark, sf)
+    p95 = quantiles(rows, [], F.coalesce("mentions", F.lit(0)), {"p95": 0.95}).select(R6(F.col("p95"), "p95"))
+    return rows.agg(R6(F.avg("sentiment"), "mean")).crossJoin(p95)
 
 
 _CLEAN = "(SELECT p.*, coalesce(c, 0) AS clean FROM v_poi p LEFT JOIN (SELECT poi_id, count(*) FILTER (WHERE NOT sponsored) AS c FROM v_review GROUP BY poi_id) USING (poi_id))"
@@ -288,7 +291,9 @@ def _(spark, sf):
 
 @query("agg09_percentile_cont", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(avg(value), 6) AS mean, count(*) FILTER (WHERE value = 0) AS zeros FROM events GROUP BY event_type")
 def _(spark, sf):
-    return t("events")(spark, sf).groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), R6(F.avg("value"), "mean"), F.count_if(F.col("value") == 0).alias("zeros"))
+    rows = t("events")(spark, sf)
+    medians = quantiles(rows, ["event_type"], F.col("value"), {"median": 0.5}).withColumn("median", F.round("median", 6))
+    return rows.groupBy("event_type").agg(R6(F.avg("value"), "mean"), F.count_if(F.col("value") == 0).alias("zeros")).join(medians, "event_type")
 
 
 @query("agg10_summary", "SELECT l_returnflag, min(l_quantity) AS low, max(l_quantity) AS high, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY l_returnflag")
@@ -313,9 +318,9 @@ def _(spark, sf):
 
 @query("agg15_quantiles", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS q50, round(quantile_cont(o_totalprice, 0.9), 4) AS q90, round(stddev_samp(o_totalprice), 4) AS sd FROM orders GROUP BY o_orderstatus")
 def _(spark, sf):
-    q = F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)))
-    rows = t("orders")(spark, sf).groupBy("o_orderstatus").agg(q.alias("q"), F.round(F.stddev_samp("o_totalprice"), 4).alias("sd"))
-    return rows.select("o_orderstatus", *(F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("q25", "q50", "q90"))), "sd")
+    rows, at = t("orders")(spark, sf), {"q25": 0.25, "q50": 0.5, "q90": 0.9}
+    found = quantiles(rows, ["o_orderstatus"], F.col("o_totalprice"), at).select("o_orderstatus", *(F.round(n, 4).alias(n) for n in at))
+    return found.join(rows.groupBy("o_orderstatus").agg(F.round(F.stddev_samp("o_totalprice"), 4).alias("sd")), "o_orderstatus")
 
 
 @query("agg16_histogram", "SELECT CASE WHEN p_retailprice <= 950 THEN 0 WHEN p_retailprice <= 1000 THEN 1 WHEN p_retailprice <= 1200 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM part GROUP BY 1")

@@ -8,6 +8,7 @@ from wayfold import constants as K
 from wayfold.functions import columns as C
 from wayfold.functions import scoring as S
 from wayfold.operators import ranking, search
+from wayfold.operators.nearest import nearest
 from wayfold.plans.registry import HAVERSINE, query
 from wayfold.sources import views as V
 
@@ -54,7 +55,18 @@ def _(spark, sf):
 
 @query("geo03_nearest_k", f"SELECT request_id, poi_id, round(dist, 3) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY dist, poi_id) AS rank FROM (SELECT *, {HAVERSINE} AS dist FROM v_request, v_poi)) WHERE rank <= 5")
 def _(spark, sf):
-    return search.nearest(V.requests(spark), V.poi(spark, sf), "request_id", 5, [F.col("dist"), F.col("poi_id")]).select("request_id", "poi_id", R3(F.col("dist"), "dist"), F.col("rank").cast("long").alias("rank"))
+    return nearest(V.requests(spark), V.poi(spark, sf), "request_id", 5, "poi_id").select("request_id", "poi_id", R3(F.col("dist"), "dist"), F.col("rank").cast("long").alias("rank"))
+
+
+_EACH = "2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))"
+
+
+@query("geo04_nearest_places", f"SELECT id, poi_id, round(dist, 3) AS dist, rank FROM (SELECT a.poi_id AS id, b.poi_id, {_EACH} AS dist, row_number() OVER (PARTITION BY a.poi_id ORDER BY {_EACH}, b.poi_id) AS rank FROM v_poi a, v_poi b) WHERE rank <= 3")
+def _(spark, sf):
+    """The three nearest places of every place, itself included: as many points as places."""
+    places = V.poi(spark, sf)
+    points = places.select(F.col("poi_id").alias("id"), F.col("lat").alias("u_lat"), F.col("lng").alias("u_lng"))
+    return nearest(points, places, "id", 3, "poi_id").select("id", "poi_id", R3(F.col("dist"), "dist"), F.col("rank").cast("long").alias("rank"))
 
 
 _H = "(SELECT * FROM (SELECT *, 2 * 6371000 * asin(sqrt(pow(sin(radians(h_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(h_lat)) * pow(sin(radians(h_lng - lng) / 2), 2))) AS d FROM v_poi, v_hotspot) WHERE d <= 1000)"
