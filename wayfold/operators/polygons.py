@@ -1,10 +1,7 @@
-"""Polygons as rings of points (array<struct<x, y>>, first = last): containment, distance, area, clipping."""
+"""Polygons as rings of points (array<struct<x, y>>, first = last): containment, distance, area."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,32 +55,3 @@ def assign(points: DataFrame, shapes: DataFrame, tolerance: float, cell: float)
     out = points.join(best, "id", "left")
     method = F.when(F.col("best").isNull(), "unmapped").when(F.col("best.d") > 0, "nearest").otherwise("polygon")
     return out.select(*points.columns, F.col("best.code").alias("code"), method.alias("method"))
-
-
-def clipped(shapes: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """shapes (code, ring) with the area of each within a box and its share of the whole (Sutherland-Hodgman, by batch)."""
-    x0, y0, x1, y1 = box
-
-    def cut(points: list, inside, meet) -> list:
-        out = []
-        for p, q in zip(points, points[1:] + points[:1]):
-            if inside(p) != inside(q):
-                out += [p, meet(p, q)] if inside(p) else [meet(p, q)]
-            elif inside(p):
-                out.append(p)
-        return out
-
-    def one(ring) -> float:
-        points = [(p["x"], p["y"]) for p in ring][:-1]
-        at_x = lambda v: lambda p, q: (v, p[1] + (q[1] - p[1]) * (v - p[0]) / (q[0] - p[0]))
-        at_y = lambda v: lambda p, q: (p[0] + (q[0] - p[0]) * (v - p[1]) / (q[1] - p[1]), v)
-        for inside, meet in ((lambda p: p[0] >= x0, at_x(x0)), (lambda p: p[0] <= x1, at_x(x1)), (lambda p: p[1] >= y0, at_y(y0)), (lambda p: p[1] <= y1, at_y(y1))):
-            points = cut(points, inside, meet) if points else points
-        return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1]))) / 2
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"code": b["code"], "inside": [one(r) for r in b["ring"]]})
-
-    whole = shapes.select("code", area(F.col("ring")).alias("whole"))
-    return whole.join(shapes.select("code", "ring").mapInPandas(run, "code string, inside double"), "code").withColumn("share", F.try_divide("inside", "whole"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions import fuzzy
-from wayfold.operators import polygons
+from wayfold.operators import overlay, polygons
 from wayfold.operators.merges import last_wins
 from wayfold.plans.registry import query
 from wayfold.sources import views as V
-from wayfold.sources.work import work_path
+from wayfold.sources.work import work_path, written
 from wayfold.streaming import snapshots as st
 
 #: Overlapping rectangles over the places: code n covers [x0, x1) x [y0, y1).
@@ -30,21 +30,28 @@ _IN = f"(SELECT poi_id AS id, code, (x1 - x0) * (y1 - y0) AS size FROM v_poi JOI
 _NEAR = f"(SELECT poi_id AS id, code, sqrt(pow(greatest(x0 - lng, lng - x1, 0), 2) + pow(greatest(y0 - lat, lat - y1, 0), 2)) AS d FROM v_poi, (VALUES {_VALUES}) b(code, x0, x1, y0, y1))"
 
 
-@query("geo08_point_in_polygon", f"SELECT id, code FROM {_IN}")
+#: Cells of a cover, in degrees.
+CELL = 0.001
+_INSIDE = lambda x, y: f"(({x} >= ax0 AND {x} < ax1 AND {y} >= ay0 AND {y} < ay1 AND NOT ({x} >= hx0 AND {x} < hx1 AND {y} >= hy0 AND {y} < hy1)) OR ({x} >= bx0 AND {x} < bx1 AND {y} >= by0 AND {y} < by1))"
+_SIZE = "((ax1 - ax0) * (ay1 - ay0) - (hx1 - hx0) * (hy1 - hy0) + (bx1 - bx0) * (by1 - by0))"
+
+
+@query("geo08_point_in_polygon", f"SELECT poi_id AS id, code FROM v_poi JOIN v_shape ON {_INSIDE('lng', 'lat')}")
 def _(spark, sf):
-    return points(spark, sf).join(F.broadcast(boxes(spark)), polygons.contains(F.col("ring"), F.col("x"), F.col("y"))).select("id", "code")
+    return overlay.located(points(spark, sf), overlay.cover(V.shapes(spark, sf), CELL), CELL).select("id", "code")
 
 
-@query("geo07_user_zone", f"SELECT request_id, min(b.code) AS code FROM v_request LEFT JOIN (VALUES {_VALUES}) b(code, x0, x1, y0, y1) ON u_lng >= x0 AND u_lng < x1 AND u_lat >= y0 AND u_lat < y1 GROUP BY request_id")
+@query("geo07_user_zone", f"SELECT user_id, min(code) AS code FROM v_user LEFT JOIN v_shape ON {_INSIDE('u_lng', 'u_lat')} GROUP BY user_id")
 def _(spark, sf):
-    inside = polygons.contains(F.col("ring"), F.col("u_lng"), F.col("u_lat"))
-    return V.requests(spark).drop("code").join(F.broadcast(boxes(spark)), inside, "left").groupBy("request_id").agg(F.min("code").alias("code"))
+    users = V.users(spark, sf)
+    found = overlay.located(users.selectExpr("user_id AS id", "u_lng AS x", "u_lat AS y"), overlay.cover(V.shapes(spark, sf), CELL), CELL)
+    zone = found.groupBy(F.col("id").alias("user_id")).agg(F.min("code").alias("code"))
+    return users.select("user_id").join(zone, "user_id", "left")
 
 
-@query("geo10_smallest_area", f"SELECT id, arg_min(code, (round(size, 12), code)) AS code FROM {_IN} GROUP BY id")
+@query("geo10_smallest_area", f"SELECT poi_id AS id, arg_min(code, (round({_SIZE}, 12), code)) AS code FROM v_poi JOIN v_shape ON {_INSIDE('lng', 'lat')} GROUP BY poi_id")
 def _(spark, sf):
-    out = polygons.assign(points(spark, sf), boxes(spark), 0.0, 0.005)
-    return out.where("method = 'polygon'").select("id", "code")
+    return overlay.smallest(points(spark, sf), overlay.cover(V.shapes(spark, sf), CELL), CELL)
 
 
 @query("geo09_geo11_nearest_polygon", f"SELECT p.poi_id AS id, coalesce(i.code, n.code) AS code, CASE WHEN i.code IS NOT NULL THEN 'polygon' WHEN n.code IS NOT NULL THEN 'nearest' ELSE 'unmapped' END AS method FROM v_poi p LEFT JOIN (SELECT id, arg_min(code, (round(size, 12), code)) AS code FROM {_IN} GROUP BY id) i ON p.poi_id = i.id LEFT JOIN (SELECT id, arg_min(code, (d, code)) AS code FROM {_NEAR} WHERE d <= 0.0006 GROUP BY id) n ON p.poi_id = n.id")
@@ -52,9 +59,19 @@ def _(spark, sf):
     return polygons.assign(points(spark, sf), boxes(spark), 0.0006, 0.005).select("id", "code", "method")
 
 
-@query("geo12_overlap_share", f"SELECT code, round(greatest(least(x1, 126.985) - greatest(x0, 126.96), 0) * greatest(least(y1, 37.54) - greatest(y0, 37.52), 0) / ((x1 - x0) * (y1 - y0)), 6) AS share FROM (VALUES {_VALUES}) b(code, x0, x1, y0, y1)")
+_AXIS = lambda a: f"(SELECT a AS lo, lead(a) OVER (ORDER BY a) AS hi FROM (SELECT DISTINCT unnest([a{a}0, a{a}1, h{a}0, h{a}1, b{a}0, b{a}1]) AS a FROM v_shape UNION SELECT unnest([a{a}0, a{a}1]) FROM v_district))"
+_TILES = f"(SELECT s.code, {_SIZE} AS size, (x.hi - x.lo) * (y.hi - y.lo) AS piece FROM v_shape s JOIN {_AXIS('x')} x ON x.lo >= least(ax0, bx0) AND x.hi <= greatest(ax1, bx1) JOIN {_AXIS('y')} y ON y.lo >= least(ay0, by0) AND y.hi <= greatest(ay1, by1) WHERE {_INSIDE('(x.lo + x.hi) / 2', '(y.lo + y.hi) / 2')} AND EXISTS (SELECT 1 FROM v_district d WHERE x.lo >= d.ax0 AND x.hi <= d.ax1 AND y.lo >= d.ay0 AND y.hi <= d.ay1))"
+
+
+@query("geo12_overlap_share", f"SELECT s.code, round(coalesce(sum(piece), 0) / any_value({_SIZE}), 6) AS share, coalesce(sum(piece), 0) / any_value({_SIZE}) >= 0.1 AS kept, coalesce(sum(piece), 0) > 0 AS point_inside FROM v_shape s LEFT JOIN {_TILES} t ON s.code = t.code GROUP BY s.code")
 def _(spark, sf):
-    return polygons.clipped(boxes(spark), (126.96, 37.52, 126.985, 37.54)).select("code", F.round("share", 6).alias("share"))
+    """Each area's share in the union of the districts, and whether the overlay's point is in the area and a district."""
+    shapes, districts = V.shapes(spark, sf), V.districts(spark, sf)
+    rows = written(overlay.overlaid(shapes, districts, CELL), "overlaid")
+    spots = rows.selectExpr("code AS id", "x", "y").where("x is not null")
+    own = overlay.located(spots, overlay.cover(shapes, CELL), CELL).where("id = code").select(F.col("id"))
+    within = overlay.located(spots, overlay.cover(districts, CELL), CELL).select("id").distinct().join(own, "id").select(F.col("id").alias("code"), F.lit(True).alias("hit"))
+    return rows.join(within, "code", "left").select("code", F.round("share", 6).alias("share"), (F.col("share") >= 0.1).alias("kept"), F.coalesce("hit", F.lit(False)).alias("point_inside"))
 
 
 @query("geo13_local_metres", "SELECT poi_id, round((lng - 126.98) * 111194.92664455873 * cos(radians(37.53)), 3) AS x, round((lat - 37.53) * 111194.92664455873, 3) AS y FROM v_poi")

@@ -26,6 +26,9 @@ HAVERSINE = f"2 * {K.EARTH_RADIUS_M} * asin(sqrt(pow(sin(radians(lat - u_lat) /
 VIEWS = {
     "v_poi": _select(V.POI, "customer"),
     "v_hotspot": _select(V.HOTSPOT, "nation WHERE n_nationkey < 11"),
+    "v_shape": _select(V.SHAPE, "nation"),
+    "v_district": _select(V.DISTRICT, "region"),
+    "v_user": _select(V.USER, "supplier"),
     "v_snapshot": _select(V.SNAPSHOT, "events"),
     "v_review": _select(V.REVIEW, "documents d LEFT JOIN labels l USING (doc_id)"),
     "v_sales": _select(V.SALES, "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"),

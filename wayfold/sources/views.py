@@ -52,6 +52,24 @@ HOTSPOT = {
     "h_lat": "37.515 + ((n_nationkey * 7919 + 1700) % 4000) / 1e5",
     "h_lng": "126.955 + ((n_nationkey * 104729 + 2300) % 5000) / 1e5",
 }
+_X, _Y = "(126.955e0 + 0.01e0 * (n_nationkey % 5))", "(37.519e0 + 0.008e0 * ((n_nationkey - n_nationkey % 5) / 5e0))"
+#: An area of each nation: a rectangle a with a rectangular hole h, and a second part b.
+SHAPE = {
+    "code": "concat('Z', n_nationkey)",
+    "ax0": _X, "ax1": f"{_X} + 0.012e0 + 0.0005e0 * (n_nationkey % 3)", "ay0": _Y, "ay1": f"{_Y} + 0.0095e0",
+    "hx0": f"{_X} + 0.003e0", "hx1": f"{_X} + 0.006e0", "hy0": f"{_Y} + 0.002e0", "hy1": f"{_Y} + 0.005e0",
+    "bx0": f"{_X} + 0.02e0", "bx1": f"{_X} + 0.023e0", "by0": f"{_Y} - 0.004e0", "by1": f"{_Y} - 0.001e0",
+}
+#: A rectangle of each region; neighbours overlap.
+DISTRICT = {
+    "code": "concat('D', r_regionkey)",
+    "ax0": "126.953e0 + 0.011e0 * r_regionkey", "ax1": "126.967e0 + 0.011e0 * r_regionkey", "ay0": "37.514e0 + 0.002e0 * r_regionkey", "ay1": "37.535e0 + 0.003e0 * r_regionkey",
+}
+USER = {
+    "user_id": "s_suppkey",
+    "u_lat": "37.51 + ((s_suppkey * 7907) % 5000) / 1e5",
+    "u_lng": "126.95 + ((s_suppkey * 104723) % 6500) / 1e5",
+}
 SNAPSHOT = {
     "event_id": "event_id",
     "code": "concat('H', user_id % 11)",
@@ -87,6 +105,25 @@ def hotspots(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").where("n_nationkey < 11").selectExpr(*aliased(HOTSPOT))
 
 
+def _ring(k: str) -> str:
+    corners = [f"{k}{a}, {k}{b}" for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))]
+    return "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in (c.split(", ") for c in corners)) + ")"
+
+
+def shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """code, parts: areas of two parts, one with a hole."""
+    rows = table(spark, sf, "nation").selectExpr(*aliased(SHAPE))
+    return rows.selectExpr("code", f"array(array({_ring('a')}, {_ring('h')}), array({_ring('b')})) AS parts")
+
+
+def districts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "region").selectExpr(*aliased(DISTRICT)).selectExpr("code", f"array(array({_ring('a')})) AS parts")
+
+
+def users(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").selectExpr(*aliased(USER))
+
+
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr(*aliased(SNAPSHOT))
 
