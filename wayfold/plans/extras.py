@@ -88,54 +88,98 @@ def _(spark, sf):
     return chunks.select("conv_id", fuzzy.repaired(quote, F.col("chunks")).alias("quote"))
 
 
-def run_stream(spark, sf, shape, keys=(), files=1):
-    """The events table as a stream through shape, written below the work folder and read again: appended rows, or with
-    keys the updates of each batch, of which the last of a key counts. files: how many make a trigger (None: all)."""
-    out, schema = work_path(spark, "stream"), V.table(spark, sf, "events").schema
-    # as a pattern: a stream takes the plain path of a folder only, and a table may be a single file
-    rows = st.stream(spark, f"{sf}/events.parque[t]", schema, files).withColumn("ts", F.col("ts").cast("timestamp"))
-    shaped = shape(rows)
-    sink = shaped.writeStream.option("checkpointLocation", work_path(spark, "stream-state")).trigger(availableNow=True)
-    if not keys:
-        sink.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
-        return spark.read.schema(shaped.schema).parquet(out)
-    none = spark.createDataFrame([], shaped.schema).withColumn("batch", F.lit(0).cast("long"))
-    none.write.parquet(f"{out}/none")
-
-    def write(batch, epoch):
-        batch.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/{epoch}")
-
-    sink.foreachBatch(write).outputMode("update").start().awaitTermination()
-    updates = spark.read.schema(none.schema).option("recursiveFileLookup", "true").parquet(out)
-    return last_wins(updates, list(keys), ["batch"]).drop("batch")
-
-
-def span(spark, sf):
-    """A watermark delay that no event of the table is behind: from the first to the last, and a second."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    micros = V.table(spark, sf, "events").agg((F.max(at) - F.min(at)).alias("n")).first().n
-    return f"{(micros or 0) // 1_000_000 + 1} seconds"
-
-
-@query("stm02_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+#: Polls that a table lands in, and the watermark of streams in seconds.
+POLLS, DELAY = 4, 7200
+
+
+def run_stream(spark, sf, start, read=None, polls: int = POLLS):
+    """The events table as it would arrive: it lands in order of time in as many polls, each of which starts the stream anew on
+    what is new, with the same checkpoint. start: (stream, checkpoint) -> a stream writer. Gives the streams' progress."""
+    rows = (read or (lambda: V.table(spark, sf, "events")))().withColumn("ts", F.col("ts").cast("timestamp"))
+    landed, checkpoint = work_path(spark, "landed"), work_path(spark, "stream-state")
+    at = F.unix_micros("ts")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    poll = F.least(F.floor((at - (low or 0)) * polls / ((high or 0) - (low or 0) + 1)), F.lit(polls - 1))
+    done = []
+    for k in range(polls):
+        rows.where(F.coalesce(poll, F.lit(0)) == k).write.mode("append").parquet(landed)
+        query = start(spark.readStream.schema(rows.schema).parquet(landed), checkpoint).start()
+        query.awaitTermination()
+        done += query.recentProgress
+    return done
+
+
+def appended(spark, sf, shape):
+    """Rows that a shaped stream appends, read again."""
+    out, kinds = work_path(spark, "stream"), []
+
+    def start(rows, checkpoint):
+        shaped = shape(rows)
+        kinds.append(shaped.schema)
+        return shaped.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append")
+
+    run_stream(spark, sf, start)
+    return spark.read.schema(kinds[0]).parquet(out)
+
+
+@query("stm02_stream_dedup", "SELECT user_id, count(DISTINCT ts) AS n FROM events GROUP BY user_id")
 def _(spark, sf):
-    rows = run_stream(spark, sf, lambda r: st.deduplicated(r, ["user_id", "event_type"], "ts", span(spark, sf)))
-    return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    """Every event comes twice; each key and time counts once, with two hours of state."""
+    twice = lambda r: st.deduplicated(r.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))), ["user_id"], "ts", f"{DELAY} seconds")
+    return appended(spark, sf, twice).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("stm03_stream_latest", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS seen FROM events GROUP BY user_id")
 def _(spark, sf):
-    rows = run_stream(spark, sf, lambda r: st.latest(r.withColumn("at", F.struct("ts", "event_id")), "user_id", "at", ["event_id"]), ["user_id"])
+    """Updates of each batch are written below its number, of which the last of a key counts."""
+    out, kinds = work_path(spark, "updates"), []
+
+    def start(rows, checkpoint):
+        shaped = st.latest(rows.withColumn("at", F.struct("ts", "event_id")), "user_id", "at", ["event_id"])
+        kinds.append(shaped.schema)
+        write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        return shaped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update")
+
+    run_stream(spark, sf, start)
+    rows = last_wins(spark.read.schema(kinds[0]).parquet(out), ["user_id"], ["batch"])
     return rows.select("user_id", F.col("last.event_id").alias("event_id"), "seen")
 
 
-@query("stm01_stream_windows", "SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+_CLOSED = f"(SELECT epoch_us(max(ts)) // 1000 - {DELAY * 1000} FROM events)"
+
+
+@query("stm01_stream_windows", f"SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n FROM events WHERE epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) // 1000 <= {_CLOSED} GROUP BY ALL")
 def _(spark, sf):
-    return run_stream(spark, sf, lambda r: st.windowed(r, "user_id", "ts", "1 day", delay=span(spark, sf)), ["user_id", "start"]).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    """Days that the watermark has closed."""
+    rows = appended(spark, sf, lambda r: st.windowed(r, "user_id", "ts", "1 day", delay=f"{DELAY} seconds"))
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+_POLLS = f"(SELECT *, least((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {POLLS} // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1), {POLLS - 1}) AS poll, event_type = 'error' AND value < 2 AS bad FROM events)"
+
+
+@query("stm01_ingest", f"SELECT user_id, max(event_id) FILTER (NOT failed AND last) AS event_id, count(DISTINCT poll) FILTER (failed) AS failures FROM (SELECT *, row_number() OVER (PARTITION BY user_id, failed ORDER BY ts DESC, event_id DESC) = 1 AS last FROM (SELECT *, bool_or(coalesce(bad, TRUE)) OVER (PARTITION BY user_id, poll) AS failed FROM {_POLLS})) GROUP BY user_id")
+def _(spark, sf):
+    """Latest event of each user over the polls in which none of the user's rows was bad, and in how many one was."""
+    out = work_path(spark, "ingest")
+    bad = (F.col("event_type") == "error") & (F.col("value") < 2)
+    columns = ["user_id", "event_id", "ts", "event_type", "value"]
+    run_stream(spark, sf, lambda rows, checkpoint: st.ingested(rows.select(*columns), out, ["user_id"], "ts", bad, DELAY, checkpoint))
+    schema = V.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(*columns).schema
+    failed = st.ingested_table(spark, out, "failed", "user_id long, bad_rows long").groupBy("user_id").agg(F.count("*").alias("failures"))
+    rows = st.ingested_table(spark, out, "table", schema).select("user_id", "event_id").join(failed, "user_id", "full_outer")
+    return rows.select("user_id", "event_id", F.coalesce("failures", F.lit(0)).alias("failures"))
+
+
+_HITS = f"(SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE epoch_us(ts) // 1000 <= {_CLOSED})"
+_WINDOW = 86_400_000_000
 
 
-@query("stm05_stream_rate_limit")
+@query("stm05_stream_rate_limit", f"""WITH RECURSIVE hits AS {_HITS}, fold AS (SELECT user_id, 0 AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS first, NULL::BIGINT AS second, TRUE AS allowed, 0::BIGINT AS retry_after FROM (SELECT DISTINCT user_id FROM hits)
+UNION ALL SELECT user_id, i, event_id, CASE WHEN ok THEN second ELSE first END, CASE WHEN ok THEN us ELSE second END, ok, CASE WHEN ok THEN 0 ELSE greatest(1, ({_WINDOW} - (us - first)) // 1000000 + 1) END
+FROM (SELECT h.user_id, h.i, h.event_id, h.us, f.first, f.second, f.first IS NULL OR f.first <= h.us - {_WINDOW} AS ok FROM fold f JOIN hits h ON h.user_id = f.user_id AND h.i = f.i + 1))
+SELECT user_id, event_id, allowed, retry_after FROM fold WHERE i > 0""")
 def _(spark, sf):
-    # files need not follow time, and a hit's verdict hangs on all earlier ones: one trigger takes them all
-    rows = run_stream(spark, sf, lambda r: st.limited(r, "user_id", "ts", 86400, 2), files=None)
-    return rows.groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("hits"))
+    """Two hits a day for each user, as far as the watermark has come."""
+    rows = appended(spark, sf, lambda r: st.limited(r, "user_id", "event_id", "ts", 86_400, 2, f"{DELAY} seconds"))
+    return rows.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "allowed", "retry_after")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from wayfold.operators.merges import last_wins, upsert
+from wayfold.operators.merges import last_wins
+from wayfold.sources.work import written
 
 
 def stream(spark: SparkSession, path: str, schema, files: int | None = 1) -> DataFrame:
@@ -19,8 +21,8 @@ def stream(spark: SparkSession, path: str, schema, files: int | None = 1) -> Dat
 
 
 def deduplicated(rows: DataFrame, keys: list[str], at: str, delay: str = "2 hours") -> DataFrame:
-    """First arrival of each key; state is dropped behind the watermark."""
-    return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    """One row of each key and time; as the time is part of the key, state is dropped behind the watermark."""
+    return rows.withWatermark(at, delay).dropDuplicates([*keys, at])
 
 
 def latest(rows: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
@@ -34,39 +36,103 @@ def windowed(rows: DataFrame, key: str, at: str, length: str, slide: str | None
     return rows.withWatermark(at, delay).groupBy(w.alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def merge_batches(rows: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str):
-    """Sink that merges each micro-batch into a Parquet table by key. A batch that is run again after a failure finds its
-    number in the table's folder and changes nothing."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/v={epoch}"
-        new = last_wins(batch, keys, order)
-        try:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}") if epoch else None
-        except Exception as e:
-            raise RuntimeError(f"the table of batch {epoch - 1} is missing") from e
-        (upsert(old, new, keys) if old is not None else new).write.mode("overwrite").parquet(target)
-
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
-def limited(rows: DataFrame, key: str, at: str, seconds: int, most: int) -> DataFrame:
-    """Sliding-window rate limit: (key, at, allowed). Rejected hits do not count, so each key's kept times are state.
-    Within a trigger hits are taken in order of time, over all Arrow batches of the key; triggers must follow time."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        out = []
-        for t in pd.concat([b[at] for b in batches]).sort_values():
-            now = t.timestamp()
-            kept = [x for x in kept if x > now - seconds]
-            allowed = len(kept) < most
+def ingest_batch(batch: DataFrame, epoch: int, path: str, keys: list[str], at: str, bad: Column, delay: int) -> None:
+    """One micro-batch of keyed snapshots, its number `e` from 0. Written below path:
+      table/v=e     the latest row of each key, by time, after this batch;
+      failed/v=e    keys with a bad row in this batch, with how many: all of the key's rows of the batch are left out, and other keys
+                    go on, as if each key were committed alone (a test that is null is bad);
+      late/v=e      rows more than `delay` seconds older than the newest row of all earlier batches, kept out of the table;
+      mark/v=e      the newest time seen, one row.
+    All four are overwritten by number and come from numbers before it, so that a batch that is run again changes nothing."""
+    spark, schema = batch.sparkSession, batch.schema
+    before = lambda name, kind: spark.read.schema(kind).parquet(f"{path}/{name}/v={epoch - 1}") if epoch else spark.createDataFrame([], kind)
+    time = f"newest {schema[at].dataType.simpleString()}"
+    mark = before("mark", time).first()
+    late = F.lit(False) if mark is None or mark.newest is None else F.col(at) < F.lit(mark.newest) - F.expr(f"INTERVAL {delay} SECONDS")
+    marked = written(batch.select("*", F.coalesce(bad, F.lit(True)).alias("_bad"), F.coalesce(late, F.lit(False)).alias("_late")), "batch")
+    failed = marked.where("_bad").groupBy(*keys).agg(F.count("*").alias("bad_rows"))
+    failed.write.mode("overwrite").parquet(f"{path}/failed/v={epoch}")
+    names = failed.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    good = marked.join(names, same, "left_anti")
+    good.where("_late").drop("_bad", "_late").write.mode("overwrite").parquet(f"{path}/late/v={epoch}")
+    order = [at, *(c for c in schema.names if c not in keys and c != at)]
+    rows = before("table", schema).unionByName(good.where("not _late").drop("_bad", "_late"))
+    last_wins(rows, keys, order).write.mode("overwrite").parquet(f"{path}/table/v={epoch}")
+    newest = marked.select(F.col(at).alias("newest")).unionByName(before("mark", time)).agg(F.max("newest").alias("newest"))
+    newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/mark/v={epoch}")
+
+
+def ingested(rows: DataFrame, path: str, keys: list[str], at: str, bad: Column, delay: int, checkpoint: str) -> DataStreamWriter:
+    """Sink that takes a stream through ingest_batch, all that is new at each start."""
+    return rows.writeStream.foreachBatch(lambda batch, epoch: ingest_batch(batch, epoch, path, keys, at, bad, delay)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def ingested_table(spark: SparkSession, path: str, name: str, schema) -> DataFrame:
+    """What `ingested` has written: of table the newest version, of failed and late all batches."""
+    if name != "table":
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+    files = spark.read.schema(schema).parquet(f"{path}/table")
+    last = files.agg(F.max("v")).first()[0]
+    return files.where(F.col("v") == last).drop("v") if last is not None else files.drop("v")
+
+
+class _Limiter(StatefulProcessor):
+    """State of a key: hits that the watermark has not passed, and the allowed hits of the last window. Times are microseconds."""
+
+    def __init__(self, seconds: int, most: int):
+        self.window, self.most = seconds * 1_000_000, most
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, id bigint")
+        self.kept = handle.getListState("kept", "at bigint")
+
+    def _decide(self, key: tuple, waiting: list, timers) -> Iterator[pd.DataFrame]:
+        mark = timers.getCurrentWatermarkInMs()
+        waiting.sort()
+        due = [x for x in waiting if x[0] // 1000 <= mark]
+        rest = waiting[len(due) :]
+        kept, out = [x[0] for x in self.kept.get()] if self.kept.exists() else [], []
+        for at, hit in due:
+            kept = [x for x in kept if x > at - self.window]
+            allowed = len(kept) < self.most
+            wait = 0 if allowed else max(1, (self.window - (at - kept[0])) // 1_000_000 + 1)
             if allowed:
-                kept.append(now)
-            out.append((k[0], t, allowed))
-        yield pd.DataFrame(out, columns=[key, at, "allowed"])
-        state.update((kept,))
-
+                kept.append(at)
+            out.append((key[0], hit, at, allowed, wait))
+        kept = [x for x in kept if (x + self.window) // 1000 >= mark]  # what a later hit can still meet
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        for state, values in ((self.waiting, rest), (self.kept, [(x,) for x in kept])):
+            state.put(values) if values else state.clear()
+        if rest or kept:
+            wake = rest[0][0] // 1000 if rest else (kept[-1] + self.window) // 1000 + 1
+            self.handle.registerTimer(max(wake, mark + 1))
+        yield pd.DataFrame(out, columns=["key", "id", "at", "allowed", "retry_after"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        for part in rows:
+            waiting += list(zip(part["at"].tolist(), part["id"].tolist()))
+        yield from self._decide(key, waiting, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._decide(key, [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else [], timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+def limited(rows: DataFrame, key: str, hit: str, at: str, seconds: int, most: int, delay: str = "2 hours") -> DataFrame:
+    """Sliding-window rate limit of a stream by event time: key, id, at (microseconds), allowed, retry_after (seconds until the oldest
+    allowed hit leaves the window; 0 if allowed). Rejected hits do not count. A hit is decided once the watermark has
+    passed it, in order of time and then id, whatever order and trigger it came in; hits behind the watermark are dropped.
+    An event-time timer wakes a key, and a key whose window has passed holds no state. Of a hot key a trigger's hits are held by one task."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, at).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    hits = rows.withWatermark(at, delay).select(F.col(key).alias("key"), F.col(hit).cast("long").alias("id"), F.unix_micros(at).alias("at"), F.col(at))
+    return hits.groupBy("key").transformWithStateInPandas(_Limiter(seconds, most), f"key {kind}, id bigint, at bigint, allowed boolean, retry_after bigint", "append", "eventTime")
