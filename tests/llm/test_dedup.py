@@ -158,3 +158,14 @@ def test_one_vec_id_for_several_vectors(spark):
 def test_empty_tables(empty):
     assert jaccard_components(empty).count() == 0
     assert remove_repeats(empty).count() == 0
+
+
+def test_a_doc_id_of_several_texts_is_one_node(spark):
+    from wayfold.llm.jaccard_join import jaccard_components
+
+    words = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(2, words("a")), (2, words("b")), (1, words("a")), (3, words("b")), (3, words("c")), (9, words("c")), (None, words("c")), (4, words("d")), (5, None), (5, words("e")), (6, words("e"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame).collect())
+    assert found == Counter(brute_components(rows))
+    assert {r.doc_id: r.component_id for r in jaccard_components(frame).collect() if r.doc_id} == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 5, 6: 5}

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import held, small_batches
 
 MARK = "▁"
-#: Word counts kept per worker process.
-MEMO_LIMIT = 500_000
+#: Word counts kept per worker process and their longest, in characters: some 60 MB.
+MEMO_LIMIT, LONGEST = 500_000, 64
 
 
 class BpeCounter:
@@ -69,7 +69,7 @@ class BpeCounter:
 
     def _new(self, word: str) -> int:
         n = self.merges(word)
-        if len(self.memo) < MEMO_LIMIT:
+        if len(word) <= LONGEST and len(self.memo) < MEMO_LIMIT:
             self.memo[word] = n
         return n
 

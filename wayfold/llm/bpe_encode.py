@@ -13,8 +13,8 @@ import numpy as np
 
 from wayfold.llm.common import held
 
-#: Pre-tokens kept per worker process: at about 200 bytes each, some 40 MB.
-MEMO_LIMIT = 200_000
+#: Pre-tokens kept per worker process and their longest, in characters: at some 200 bytes each, rarely up to 700, some 40 MB.
+MEMO_LIMIT, LONGEST = 200_000, 64
 #: All letters up to U+024F.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 
@@ -35,7 +35,7 @@ class Memo(dict):
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(self) < MEMO_LIMIT:
+        if len(key) <= LONGEST and len(self) < MEMO_LIMIT:
             self[key] = value
         return value
 

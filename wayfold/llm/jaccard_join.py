@@ -417,7 +417,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     smallest = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"))
     smallest = written(smallest.where("n > 1").select(F.col("comp").alias("of"), "smallest"), "smallest")
     joined = rows.join(sized_broadcast(smallest), rows["comp"] == smallest["of"], "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"), F.col("class").alias("text_class"), F.col("comp").alias("group_id"))
+    joined = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("group_smallest"), F.col("class").alias("text_class"), F.col("comp").alias("group_id"))
+    return tied(joined).select("doc_id", "n_shingles", "component_id", "text_class", "group_id", "group_smallest")
+
+
+def tied(rows: DataFrame) -> DataFrame:
+    """rows with component_id: group_smallest, but groups of texts that share a doc_id are one component, as a doc_id is one node."""
+    shared = rows.where("doc_id is not null and group_id is not null").groupBy("doc_id").agg(F.min("group_id").alias("a"), F.max("group_id").alias("last"))
+    shared = written(shared.where("a <> last").select("doc_id", "a"), "shared-ids")
+    if shared.isEmpty():
+        return rows.withColumn("component_id", F.col("group_smallest"))
+    ties = rows.where("group_id is not null").join(shared, "doc_id").select("a", F.col("group_id").alias("b")).distinct()
+    root = written(components(written(ties, "ties")), "tied").select("node", "root")
+    rows = written(rows.join(sized_broadcast(root), rows["group_id"] == root["node"], "left").withColumn("root", F.coalesce("root", "group_id")).drop("node"), "tied-rows")
+    least = written(rows.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least")), "least")
+    found = rows.join(least, rows["root"] == least["of"], "left")
+    return found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "group_smallest")))
 
 
 def text_classes(docs: DataFrame, name: str, size: int = 5) -> DataFrame:

@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +57,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """All runs but those within one base span."""
     found = [m.span() for m in CANDIDATE.finditer(text)]
-    return [(a, b) for a, b in found if not any(s <= a and b <= e for s, _, e in base)] if base else found
+    if not base:
+        return found
+    starts, ends = [s for s, _, _ in base], [*accumulate((e for _, _, e in base), max)]  # the farthest end so far
+    inside = lambda a, b: (k := bisect_right(starts, a)) > 0 and ends[k - 1] >= b
+    return [(a, b) for a, b in found if not inside(a, b)]
 
 
 def window(text: str, a: int, b: int) -> bytes:
