@@ -27,13 +27,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, of several rows with that doc_id the
     first by text. Rows with a null doc_id and wordless texts stay, as do unlinked texts that share a doc_id."""
     found = written(jaccard_components(docs), "near-copies")
-    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    gone = written(found.where("group_smallest <> doc_id").select("doc_id").distinct(), "gone")
     shared = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared-ids")
     if shared.isEmpty():
         return docs.join(sized_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
     once = docs.join(sized_broadcast(gone.unionByName(shared).distinct()), "doc_id", "left_anti").select(*docs.columns)
     rows = docs.join(sized_broadcast(shared), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
-    kept = found.where("component_id = doc_id").select("doc_id", F.col("text_class").alias("class"), "group_id").distinct()
+    kept = found.where("group_smallest = doc_id").select("doc_id", F.col("text_class").alias("class"), "group_id").distinct()
     rows = text_classes(rows, "class").join(kept, ["doc_id", "class"])
     first = F.row_number().over(Window.partitionBy("doc_id", F.coalesce("group_id", F.xxhash64("text"))).orderBy("text"))
     return once.unionByName(rows.withColumn("place", first).where("place = 1").select("row.*"))
