@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from wayfold.operators.merges import last_wins
+from wayfold.operators.merges import last_wins, upsert
 from wayfold.sources.work import written
 
 
@@ -36,6 +36,23 @@ def windowed(rows: DataFrame, key: str, at: str, length: str, slide: str | None
     return rows.withWatermark(at, delay).groupBy(w.alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
+def merge_batches(rows: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> DataStreamWriter:
+    """Sink that merges each micro-batch into a Parquet table by key. A batch that is run again after a failure finds its
+    number in the table's folder and changes nothing."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        target = f"{path}/v={epoch}"
+        new = last_wins(batch, keys, order)
+        try:
+            old = spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}") if epoch else None
+        except Exception as e:
+            raise RuntimeError(f"the table of batch {epoch - 1} is missing") from e
+        (upsert(old, new, keys) if old is not None else new).write.mode("overwrite").parquet(target)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def ingest_batch(batch: DataFrame, epoch: int, path: str, keys: list[str], at: str, bad: Column, delay: int) -> None:
     """One micro-batch of keyed snapshots, its number `e` from 0. Written below path:
       table/v=e     the latest row of each key, by time, after this batch;
