@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from wayfold.functions.fuzzy import repaired
 from wayfold.sources import files
 from wayfold.streaming import snapshots
@@ -16,6 +18,35 @@ def test_csv_in_two_encodings(spark, tmp_path):
         assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / f"{name}.csv"), "name string, lng double", encoding).collect()] == [("후암동 카페", 126.9)]
 
 
+def test_a_folder_of_mixed_encodings_and_an_unreadable_file(spark, tmp_path):
+    schema = "name string, lng double"
+    (tmp_path / "a.csv").write_bytes("\ufeff상호명,경도\n후암동 é,1.0\n".encode())
+    (tmp_path / "b.csv").write_bytes("상호명,경도\n후암동 카페,2.0\n".encode("cp949"))
+    (tmp_path / "c.csv").write_bytes(b"name,lng\nplain,3.0\n")
+    (tmp_path / "d.csv").write_bytes(b"")
+    found = files.read_csv_detected(spark, str(tmp_path), schema)
+    assert sorted(map(tuple, found.collect())) == [("plain", 3.0), ("후암동 é", 1.0), ("후암동 카페", 2.0)]
+    (tmp_path / "bad.csv").write_bytes(b"name,lng\n\xff\xfe\x80,4.0\n")
+    with pytest.raises(ValueError, match="bad.csv"):
+        files.read_csv_detected(spark, str(tmp_path), schema)
+
+
+def test_pages_are_complete_or_an_error(spark, tmp_path):
+    def landed(name, pages):
+        (tmp_path / name).mkdir()
+        for k, (page, total, items) in enumerate(pages):
+            (tmp_path / name / f"{k}.json").write_text(json.dumps({"page": page, "total": total, "items": items}, indent=1))
+        return files.complete_pages(spark, str(tmp_path / name), "id string")
+
+    two = [{"id": "a"}, {"id": "b"}]
+    good = landed("good", [(1, 3, two), (2, 3, {"id": "c"}), (1, 3, two)])
+    assert sorted(map(tuple, good.collect())) == [(1, "a"), (1, "b"), (2, "c")]
+    assert landed("none", [(1, 0, "")]).collect() == []
+    for name, pages in {"short": [(1, 4, two), (2, 4, {"id": "c"})], "gap": [(1, 3, two), (3, 3, {"id": "c"})], "drift": [(1, 3, two), (2, 4, {"id": "c"})]}.items():
+        with pytest.raises(Exception, match="incomplete pages"):
+            landed(name, pages).collect()
+
+
 def test_json_arrays_and_lines(spark, tmp_path):
     rows = [{"id": "a", "n": 1}, {"id": "b", "n": 2}]
     (tmp_path / "plain.json").write_text(json.dumps(rows))

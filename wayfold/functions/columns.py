@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wayfold import constants as K
+from wayfold.functions.entities import WHITE, stripped, unescaped
 
 
 def clip01(x: Column) -> Column:
@@ -28,21 +29,15 @@ def normalised(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^0-9a-z가-힣]", "")
 
 
-def unescaped(text: Column) -> Column:
-    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(code), F.lit(char))
-    return text
-
-
 def clean_html(text: Column) -> Column:
     """Entities, then tags, then white space."""
     tagless = F.regexp_replace(unescaped(F.coalesce(text, F.lit(""))), "<[^>]+>", "")
-    return F.trim(F.regexp_replace(tagless, r"[ \t\n\r\f\x0b]+", " "))
+    return stripped(F.regexp_replace(tagless, f"{WHITE}+", " "))
 
 
 def clean_html_tags_first(text: Column) -> Column:
     """Tags, then entities: an escaped tag survives."""
-    return F.trim(unescaped(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")))
+    return stripped(unescaped(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")))
 
 
 def first_number(text: Column) -> Column:

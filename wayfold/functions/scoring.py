@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wayfold import constants as K
+from wayfold.functions.rounding import rounded
 from wayfold.functions.columns import clip01, lookup
 
 
@@ -90,5 +91,21 @@ def weather_state(rain: Column, pm: Column, feels: Column) -> Column:
     return F.when(rain > 0.3, K.WEATHER_STATES[1]).when(pm >= 3, K.WEATHER_STATES[2]).when((feels > 31) | (feels < -5), K.WEATHER_STATES[3]).otherwise(K.WEATHER_STATES[0])
 
 
+#: Fields of a place's attributes, by how they can be without a value.
+ATTRIBUTES = {"outdoor_exposure": "value", "group_capacity": "value", "noise_level": "text", "purpose_tags": "list", "atmosphere_tags": "list", "price_band": "value", "wait_intensity": "text", "business_hours_hint": "object", "sentiment_score": "value"}
+
+
+def without_value(field: Column, kind: str) -> Column:
+    """Null, a blank text, an empty list, or a JSON object of which no member has a value."""
+    empty = {
+        "value": lambda: F.lit(False),
+        "text": lambda: F.trim(field) == "",
+        "list": lambda: F.size(field) == 0,
+        "object": lambda: F.size(F.filter(F.map_values(F.from_json(field, "map<string,string>")), lambda v: F.coalesce(F.trim(v) != "", F.lit(False)))) <= 0,
+    }[kind]()
+    return field.isNull() | F.coalesce(empty, F.lit(False))
+
+
 def attr_confidence(clean_reviews: Column, missing: Column) -> Column:
-    return F.greatest(F.bround(F.least(clean_reviews / 8.0, F.lit(1.0)) - 0.08 * missing, 3), F.lit(0.0))
+    """clean_reviews: relevant and not sponsored; missing: how many of the ATTRIBUTES have no value."""
+    return F.greatest(rounded(F.least(clean_reviews / 8.0, F.lit(1.0)) - missing * F.lit(0.08), 3), F.lit(0.0))

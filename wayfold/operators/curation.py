@@ -16,6 +16,12 @@ def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def same_entities(places: DataFrame) -> DataFrame:
+    """Places (poi_id, name, lat, lng, category) of one normalised name, category and point at six decimals are one: the first
+    poi_id, and how many there were. An aggregate, so that a name of many branches is counted before it is dealt."""
+    return places.groupBy(normalised(F.col("name")).alias("name"), F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"), "category").agg(F.min("poi_id").alias("poi_id"), F.count("*").alias("n"))
+
+
 def duplicate_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their number and how many rows could go."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("removable", F.col("n") - 1)

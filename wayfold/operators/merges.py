@@ -46,8 +46,15 @@ def resume(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def appended(old: DataFrame, new: DataFrame, key: str, values: str) -> DataFrame:
-    """Array union by key, first appearances first."""
-    n = new.groupBy(key).agg(F.array_sort(F.collect_set(values)).alias("_new"))
-    empty = F.array().cast("array<string>")
-    return old.join(n, key, "left").withColumn(values, F.array_distinct(F.concat(F.coalesce(values, empty), F.coalesce("_new", empty)))).drop("_new")
+def appended(old: DataFrame, new: DataFrame, key: str, values: str, order: str, scalars: list[str] | None = None) -> DataFrame:
+    """Array union by key, first appearances first: those of the old array, then new ones by their first order. scalars: columns that
+    the last new value that is not null sets, and that stay where there is none."""
+    first = new.where(F.col(values).isNotNull()).groupBy(key, values).agg(F.min(order).alias("_at"))
+    lists = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", values))), lambda x: x[values]).alias("_new"))
+    scalars = scalars or []
+    set_ = new.groupBy(key).agg(F.count("*").alias("_n"), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{c}") for c in scalars))
+    kind = old.schema[values].dataType.simpleString()
+    empty = F.array().cast(kind)
+    joined = old.join(lists, key, "left").join(set_, key, "left")
+    out = joined.withColumn(values, F.array_distinct(F.concat(F.coalesce(values, empty), F.coalesce("_new", empty))))
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in scalars}).select(*old.columns)

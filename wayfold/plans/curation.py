@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from wayfold import constants as K
 from wayfold.functions import columns as C
+from wayfold.functions import scoring as S
+from wayfold.functions.entities import WHITE, unescaped, unescaped_sql
+from wayfold.functions.rounding import rounded_sql
 from wayfold.operators import audits, curation, merges
 from wayfold.operators.quantiles import quantiles
 from wayfold.plans.registry import query
@@ -14,8 +17,8 @@ from wayfold.plans.retrieval import R6
 from wayfold.sources import views as V
 
 _NORM = lambda x: f"regexp_replace(lower(coalesce({x}, '')), '[^0-9a-z가-힣]', '', 'g')"
-_ENT = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
-_CLEAN = lambda x: f"trim(regexp_replace(regexp_replace({_ENT(f'coalesce({x}, {chr(39) * 2})')}, '<[^>]+>', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))"
+_STRIP = lambda x: f"regexp_replace({x}, '^{WHITE}+|{WHITE}+$', '', 'g')"
+_CLEAN = lambda x: _STRIP(f"regexp_replace(regexp_replace({unescaped_sql('h')}, '<[^>]+>', '', 'g'), '{WHITE}+', ' ', 'g')").join(["(SELECT ", f" FROM (SELECT coalesce({x}, '') AS h))"])
 
 
 def t(name):
@@ -27,16 +30,23 @@ def _(spark, sf):
     return t("part")(spark, sf).select("p_partkey", C.normalised(F.col("p_name")).alias("norm"))
 
 
-@query("str02_html_clean", f"SELECT page_id, md5(trim(regexp_replace(regexp_replace({_ENT('html')}, '<[^>]+>', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS digest FROM pages")
+@query("str02_html_clean", f"SELECT page_id, md5({_CLEAN('html')}) AS digest FROM pages")
 def _(spark, sf):
     return t("pages")(spark, sf).select("page_id", F.md5(C.clean_html(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query("str03_html_clean_v2", f"SELECT page_id, md5(trim({_ENT(chr(114) + 'egexp_replace(html, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')})) AS digest FROM pages")
+@query("str03_html_clean_v2", f"SELECT page_id, md5({_STRIP(unescaped_sql('h'))}) AS digest FROM (SELECT page_id, regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g') AS h FROM pages)")
 def _(spark, sf):
     return t("pages")(spark, sf).select("page_id", F.md5(C.clean_html_tags_first(F.col("html")).cast("binary")).alias("digest"))
 
 
+@query("str02_references", f"SELECT poi_id, {unescaped_sql('h')} AS text FROM (SELECT poi_id, concat(name, ' &', CASE k % 7 WHEN 0 THEN 'middot;' WHEN 1 THEN '#x27;' WHEN 2 THEN 'notit' WHEN 3 THEN '#128;' WHEN 4 THEN 'eacute' WHEN 5 THEN 'amp;lt;' ELSE 'none' END, '&#', 8200 + k % 97, ';') AS h FROM v_poi)")
+def _(spark, sf):
+    """References of all kinds in names: named with and without semicolon, by number, forbidden, nested, none."""
+    kinds = "CASE k % 7 WHEN 0 THEN 'middot;' WHEN 1 THEN '#x27;' WHEN 2 THEN 'notit' WHEN 3 THEN '#128;' WHEN 4 THEN 'eacute' WHEN 5 THEN 'amp;lt;' ELSE 'none' END"
+    return V.poi(spark, sf).selectExpr("poi_id", f"concat(name, ' &', {kinds}, '&#', 8200 + k % 97, ';') AS h").select("poi_id", unescaped(F.col("h")).alias("text"))
+
+
 @query("str08_specificity", f"SELECT p_partkey, CASE WHEN length(n) <= 1 THEN 0.2 WHEN length(n) = 2 THEN 0.4 WHEN length(n) = 3 THEN 0.6 WHEN length(n) = 4 THEN 0.8 ELSE 1 END::DOUBLE AS s FROM (SELECT p_partkey, substr({_NORM('p_name')}, 1, CAST(p_partkey % 7 AS INT)) AS n FROM part)")
 def _(spark, sf):
     return t("part")(spark, sf).select("p_partkey", C.specificity(F.substring(C.normalised(F.col("p_name")), F.lit(1), (F.col("p_partkey") % 7).cast("int"))).alias("s"))
@@ -182,10 +192,16 @@ def _(spark, sf):
     return V.poi(spark, sf).join(names, F.col("area") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
-@query("win07_entity_dedup", "SELECT category, cell, arg_min(poi_id, k) AS poi_id FROM (SELECT *, CAST(floor(lat * 200) AS BIGINT) * 100000 + CAST(floor(lng * 200) AS BIGINT) AS cell FROM v_poi) GROUP BY category, cell")
+_TWICE = "(SELECT poi_id, name, lat, lng, category FROM v_poi UNION ALL SELECT concat(poi_id, 'x'), upper(concat(name, ' (', '!)')), CASE WHEN k % 3 = 0 THEN lat + 1e-5 ELSE lat + 1e-8 END, lng - 1e-8, category FROM v_poi)"
+
+
+@query("win07_entity_dedup", f"SELECT min(poi_id) AS poi_id, count(*) AS n FROM {_TWICE} GROUP BY {_NORM('name')}, round(lng, 6), round(lat, 6), category")
 def _(spark, sf):
-    rows = V.poi(spark, sf).withColumn("cell", F.floor(F.col("lat") * 200) * 100000 + F.floor(F.col("lng") * 200))
-    return curation.first_per(rows, ["category", "cell"], ["k"]).select("category", "cell", "poi_id")
+    """Places and copies of them, of which two in three differ by signs and case of the name and less than a micro-degree alone."""
+    rows = V.poi(spark, sf)
+    copies = rows.selectExpr("concat(poi_id, 'x') AS poi_id", "upper(concat(name, ' (', '!)')) AS name", "CASE WHEN k % 3 = 0 THEN lat + 1e-5 ELSE lat + 1e-8 END AS lat", "lng - 1e-8 AS lng", "category")
+    both = rows.select("poi_id", "name", "lat", "lng", "category").unionByName(copies)
+    return curation.same_entities(both).select("poi_id", "n")
 
 
 @query("win08_duplicate_report", "SELECT o_custkey, o_orderpriority, count(*) AS n, count(*) - 1 AS removable FROM orders GROUP BY ALL HAVING count(*) > 1")
@@ -264,11 +280,22 @@ def _(spark, sf):
     return curation.quality(rows).select("poi_id", R6(F.col("quality"), "quality"))
 
 
-@query("sco16_confidence", f"SELECT poi_id, round(greatest(least(clean / 8, 1) - 0.08 * ((quality IS NULL)::INT + (price IS NULL)::INT + (capacity IS NULL)::INT), 0) + 1e-7, 5) AS confidence FROM {_CLEAN}")
+_FIELDS = {
+    "outdoor_exposure": "exposure", "group_capacity": "capacity", "noise_level": "CASE k % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'quiet' END",
+    "purpose_tags": "tag1", "atmosphere_tags": "CASE WHEN k % 3 = 0 THEN NULL ELSE 'cosy' END", "price_band": "price", "wait_intensity": "CASE WHEN k % 6 = 0 THEN '' ELSE 'short' END",
+    "business_hours_hint": "CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '{}' WHEN 2 THEN '{\"open\":null,\"close\":\" \"}' ELSE '{\"open\":\"9:00\",\"close\":null}' END", "sentiment_score": "sentiment",
+}
+_LACKS = " + ".join([*(f"(({_FIELDS[f]}) IS NULL)::INT" for f in ("outdoor_exposure", "group_capacity", "purpose_tags", "atmosphere_tags", "price_band", "sentiment_score")), "(k % 4 < 2)::INT", "(k % 6 = 0)::INT", "(k % 5 < 3)::INT"])
+
+
+@query("sco16_confidence", f"SELECT poi_id, missing, clean, greatest({rounded_sql('least(clean / 8.0::DOUBLE, 1) - missing * 0.08::DOUBLE', 3)}, 0) AS confidence FROM (SELECT p.poi_id, {_LACKS} AS missing, coalesce(c, 0) AS clean FROM v_poi p LEFT JOIN (SELECT poi_id, count(*) FILTER (WHERE NOT sponsored AND relevant) AS c FROM v_review GROUP BY poi_id) r ON p.poi_id = r.poi_id)")
 def _(spark, sf):
-    missing = sum(F.col(c).isNull().cast("int") for c in ("quality", "price", "capacity"))
-    raw = F.greatest(F.least(F.col("clean") / 8.0, F.lit(1.0)) - 0.08 * missing, F.lit(0.0))
-    return clean_counts(spark, sf).select("poi_id", F.round(raw + 1e-7, 5).alias("confidence"))
+    """Nine fields, of which blank texts, empty lists and objects without values count as missing, and relevant clean reviews."""
+    counts = V.reviews(spark, sf).groupBy("poi_id").agg(F.count_if(~F.col("sponsored") & F.col("relevant")).alias("c"))
+    fields = {n: F.array_compact(F.array(F.expr(e))) if S.ATTRIBUTES[n] == "list" else F.expr(e) for n, e in _FIELDS.items()}
+    missing = sum((S.without_value(f, S.ATTRIBUTES[n]).cast("int") for n, f in fields.items()), F.lit(0))
+    rows = V.poi(spark, sf).select("poi_id", missing.alias("missing")).join(counts, "poi_id", "left").withColumn("clean", F.coalesce("c", F.lit(0)))
+    return rows.select("poi_id", "missing", "clean", S.attr_confidence(F.col("clean"), F.col("missing")).alias("confidence"))
 
 
 @query("jsn10_attr_validation", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE (doc_id % 2 = 0)::INT + 1 END AS clean, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 0.5 END::DOUBLE AS sentiment FROM documents")
@@ -560,11 +587,12 @@ def _(spark, sf):
     return t("events")(spark, sf).join(users, F.col("user_id") == F.col("c_custkey"), "left").select("event_id", F.col("c_custkey").alias("user_id"))
 
 
-@query("snk13_click_union", "SELECT c_custkey AS user_id, array_to_string(list_distinct([c_mktsegment]) || coalesce(n, []), ',') AS clicked FROM customer LEFT JOIN (SELECT user_id, list_sort(list_distinct(list(event_type))) AS n FROM events GROUP BY user_id) ON c_custkey = user_id")
+@query("snk13_click_union", "SELECT c_custkey AS user_id, array_to_string(list_distinct_in_order, ',') AS clicked, CASE WHEN c_custkey % 3 = 0 THEN coalesce(picked, -1) ELSE picked END AS picked FROM (SELECT c_custkey, picked, (SELECT list(x ORDER BY o) FROM (SELECT x, min(o) AS o FROM (SELECT unnest(vals) AS x, unnest(range(len(vals))) AS o) GROUP BY x)) AS list_distinct_in_order FROM (SELECT c_custkey, e.picked, list_concat([c_mktsegment, 'view'], coalesce(e.vals, [])) AS vals FROM customer LEFT JOIN (SELECT user_id, list(event_type ORDER BY ts, event_id) AS vals, arg_max(event_id, (ts, event_id)) AS picked FROM events GROUP BY user_id) e ON c_custkey = e.user_id))")
 def _(spark, sf):
-    old = t("customer")(spark, sf).select(F.col("c_custkey").alias("user_id"), F.array("c_mktsegment").alias("clicked"))
-    new = t("events")(spark, sf).select("user_id", F.col("event_type").alias("clicked"))
-    return merges.appended(old, new, "user_id", "clicked").select("user_id", F.concat_ws(",", "clicked").alias("clicked"))
+    """Clicks in order of their first appearance; the picked item is set where new, and kept where it is not."""
+    old = t("customer")(spark, sf).select(F.col("c_custkey").alias("user_id"), F.array("c_mktsegment", F.lit("view")).alias("clicked"), F.when(F.col("c_custkey") % 3 == 0, F.lit(-1)).cast("long").alias("picked"))
+    new = t("events")(spark, sf).select("user_id", F.col("event_type").alias("clicked"), F.col("event_id").alias("picked"), F.struct("ts", "event_id").alias("at"))
+    return merges.appended(old, new, "user_id", "clicked", "at", ["picked"]).select("user_id", F.concat_ws(",", "clicked").alias("clicked"), "picked")
 
 
 @query("snk14_cache_hits", "SELECT props AS cache_key, count(*) AS hits FROM events GROUP BY props")

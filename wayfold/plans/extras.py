@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.functions import fuzzy
+from wayfold.functions import fuzzy, projection
 from wayfold.operators import overlay, polygons
 from wayfold.operators.merges import last_wins
 from wayfold.plans.registry import query
@@ -80,6 +80,19 @@ def _(spark, sf):
     return V.poi(spark, sf).select("poi_id", F.round((F.col("lng") - 126.98) * m * F.cos(F.radians(F.lit(37.53))), 3).alias("x"), F.round((F.col("lat") - 37.53) * m, 3).alias("y"))
 
 
+_EAST, _NORTH = projection.to_grid_sql("lat", "lng", projection.UNIFIED)
+_EAST2, _NORTH2 = projection.to_grid_sql("lat", "lng", projection.CENTRAL)
+
+
+@query("geo13_projected", f"SELECT poi_id, round({_EAST}, 4) AS east, round({_NORTH}, 4) AS north, round({_EAST2}, 4) AS east2, round({_NORTH2}, 4) AS north2, TRUE AS returns FROM v_poi")
+def _(spark, sf):
+    """Places in two national grids, and whether the way back ends within a tenth of a millimetre."""
+    rows = V.poi(spark, sf).select("poi_id", "lat", "lng", projection.to_grid(F.col("lat"), F.col("lng"), projection.UNIFIED).alias("a"), projection.to_grid(F.col("lat"), F.col("lng"), projection.CENTRAL).alias("b"))
+    rows = rows.withColumn("back", projection.from_grid(F.col("a.east"), F.col("a.north"), projection.UNIFIED))
+    returns = (F.abs(F.col("back.lat") - F.col("lat")) < 1e-9) & (F.abs(F.col("back.lng") - F.col("lng")) < 1e-9)
+    return rows.select("poi_id", F.round("a.east", 4).alias("east"), F.round("a.north", 4).alias("north"), F.round("b.east", 4).alias("east2"), F.round("b.north", 4).alias("north2"), returns.alias("returns"))
+
+
 @query("str13_quote_repair")
 def _(spark, sf):
     turns = V.table(spark, sf, "conversations")

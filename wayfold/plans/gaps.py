@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions import columns as C
+from wayfold.functions.rounding import rounded, rounded_sql
 from wayfold.operators import merges
 from wayfold.plans.registry import query
 from wayfold.plans.retrieval import SCORED, scored
@@ -89,9 +90,21 @@ def _(spark, sf):
     return merges.last_wins(both, ["user_id"], ["late", "ts", "event_id"]).select("user_id", "event_id").join(counted, "user_id")
 
 
-@query("sco20_rounding", f"SELECT request_id, poi_id, round(score, 4) AS score, round(t2, 3)::DOUBLE AS purpose, round(t5, 3) AS quality, CAST(floor(dist + 0.5) AS BIGINT) AS metres FROM ({SCORED})")
+_EXACT = lambda n: {c: rounded_sql(c, d) for c, d in (("score", 4), ("purpose", 3), ("quality", 3), ("metres", 0))}[n]
+
+
+@query("sco20_rounding", f"SELECT request_id, poi_id, {_EXACT('score')} AS score, {_EXACT('purpose')} AS purpose, {_EXACT('quality')} AS quality, ({_EXACT('metres')})::BIGINT AS metres FROM (SELECT request_id, poi_id, round(score, 12) AS score, t2::DOUBLE AS purpose, round(t5, 9) AS quality, round(dist, 6) AS metres FROM ({SCORED}))")
+def _(spark, sf):
+    rows = scored(spark, sf).select("request_id", "poi_id", F.round("score", 12).alias("score"), F.col("purpose_match").cast("double").alias("purpose"), F.round(F.coalesce("quality", F.lit(0.5)), 9).alias("quality"), F.round("dist", 6).alias("metres"))
+    return rows.select("request_id", "poi_id", rounded(F.col("score"), 4).alias("score"), rounded(F.col("purpose"), 3).alias("purpose"), rounded(F.col("quality"), 3).alias("quality"), rounded(F.col("metres")).cast("long").alias("metres"))
+
+
+@query("sco20_half_even", f"SELECT l_orderkey, l_linenumber, {rounded_sql('l_extendedprice / 16', 2)} AS two, {rounded_sql('l_quantity / 8 - 3', 1)} AS one, {rounded_sql('l_quantity / 2')} AS whole FROM lineitem")
 def _(spark, sf):
-    return scored(spark, sf).select("request_id", "poi_id", F.round("score", 4).alias("score"), F.round("purpose_match", 3).cast("double").alias("purpose"), F.round(F.coalesce("quality", F.lit(0.5)), 3).alias("quality"), F.floor(F.col("dist") + 0.5).alias("metres"))
+    """Halves and near halves of every line's price and quantity."""
+    d = lambda c: F.col(c).cast("double")
+    rows = V.table(spark, sf, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", rounded(d("l_extendedprice") / 16, 2).alias("two"), rounded(d("l_quantity") / 8 - 3, 1).alias("one"), rounded(d("l_quantity") / 2).alias("whole"))
 
 
 @query("sco22_hash_terms", "SELECT poi_id, round(('0x' || substr(sha256(concat(poi_id, ':taste')), 1, 8))::BIGINT / 4294967295.0, 9)::DOUBLE AS taste FROM v_poi")
@@ -147,3 +160,29 @@ def _(spark, sf):
     for part in range(3):
         rows.where(F.col("event_id") % 3 == part).withColumn("batch", F.lit(part)).write.mode("append").parquet(path)
     return merges.last_wins(spark.read.schema("user_id long, event_id long, batch int").parquet(path), ["user_id"], ["event_id"]).select("user_id", "event_id")
+
+
+@query("src01_mixed_encodings", "SELECT s_suppkey, concat('가게 ', s_name, CASE WHEN s_suppkey % 2 = 0 THEN ' é' ELSE '' END) AS name FROM supplier")
+def _(spark, sf):
+    """Suppliers landed as CSV files of two encodings in one folder, and read without being told which."""
+    out, schema = work_path(spark, "mixed"), "s_suppkey long, name string"
+    rows = V.table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("가게 "), "s_name", F.when(F.col("s_suppkey") % 2 == 0, " é").otherwise("")).alias("name"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    for rest, encoding in ((0, "UTF-8"), (1, "MS949")):
+        rows.where(F.col("s_suppkey") % 2 == rest).write.mode("append").option("header", True).option("encoding", encoding).csv(out)
+    return files.read_csv_detected(spark, out, schema)
+
+
+@query("src09_paged", "SELECT (s_suppkey // 7 + (SELECT 1 - min(s_suppkey) // 7 FROM supplier))::INT AS page, s_suppkey, s_name FROM supplier")
+def _(spark, sf):
+    """Suppliers landed as pages of up to seven by key, one item as a single object and one page landed twice, and read whole."""
+    out = work_path(spark, "pages")
+    rows = V.table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    first = rows.agg(F.min(F.floor(F.col("s_suppkey") / 7)).alias("first"))
+    pages = rows.crossJoin(F.broadcast(first)).withColumn("page", (F.floor(F.col("s_suppkey") / 7) - F.col("first") + 1).cast("int")).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("rows"))
+    one = F.when(F.size("rows") == 1, F.to_json(F.get("rows", F.lit(0)))).otherwise(F.to_json("rows"))
+    pages = pages.select("page", one.alias("items")).crossJoin(F.broadcast(rows.agg(F.count("*").cast("int").alias("total"))))
+    pages = pages.unionByName(pages.where("page = 2")).select("page", "total", "items")
+    text = F.concat(F.lit('{"page":'), "page", F.lit(',"total":'), "total", F.lit(',"items":'), "items", F.lit("}"))
+    pages.select(text.alias("value")).write.text(out)
+    return files.complete_pages(spark, out, "s_suppkey long, s_name string", lines=True)

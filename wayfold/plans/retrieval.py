@@ -130,13 +130,21 @@ def _(spark, sf):
     return V.poi(spark, sf).select("poi_id", F.floor(F.col("lat") * 1000 + 0.5).cast("double").alias("lat_m"), F.floor(F.col("lng") * 1000 + 0.5).cast("double").alias("lng_m"))
 
 
-@query("geo14_near_duplicates", "SELECT a.poi_id, arg_min(b.poi_id, (d, b.poi_id)) AS other, round(min(d), 3) AS d, min(d) <= 20 AS close_review, bool_or(d <= 100 AND a.category = b.category) AS same_category_near FROM v_poi a, v_poi b, LATERAL (SELECT 2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))) AS d) WHERE d <= 150 AND a.poi_id <> b.poi_id GROUP BY a.poi_id")
+_NAMED = lambda x: f"regexp_replace(lower({x}), '[^0-9a-z가-힣]', '', 'g')"
+
+
+@query("geo14_near_duplicates", f"SELECT a.poi_id, arg_min(b.poi_id, (d, b.poi_id)) AS other, round(min(d), 3) AS d, min(d) <= 20 AS close_review, min(d) <= 100 AND arg_min({_NAMED("concat('Cafe No. ', b.k % 3)")}, (d, b.poi_id)) = {_NAMED("any_value(concat('CAFE-no ', a.k % 3))")} AS likely_duplicate FROM v_poi a, v_poi b, LATERAL (SELECT {_EACH} AS d) WHERE a.poi_id <> b.poi_id GROUP BY a.poi_id")
 def _(spark, sf):
-    a = V.poi(spark, sf).select("poi_id", F.col("category").alias("own"), F.col("lat").alias("u_lat"), F.col("lng").alias("u_lng"))
-    b = V.poi(spark, sf).select(F.col("poi_id").alias("other"), "category", "lat", "lng")
-    pairs = search.within(a, b, 150.0).where("poi_id <> other")
-    best = F.min_by("other", F.struct("dist", "other")).alias("other")
-    return pairs.groupBy("poi_id").agg(best, R3(F.min("dist"), "d"), (F.min("dist") <= 20).alias("close_review"), F.bool_or((F.col("dist") <= 100) & (F.col("own") == F.col("category"))).alias("same_category_near"))
+    """The nearest other place of each, by cells: a likely duplicate if it has the same normalised name and is at most 100 m away, one to
+    look at if it is at most 20 m away."""
+    places = V.poi(spark, sf)
+    points = places.select(F.col("poi_id").alias("id"), F.col("lat").alias("u_lat"), F.col("lng").alias("u_lng"))
+    pairs = nearest(points, places, "id", 2, "poi_id").where("id <> poi_id")
+    best = pairs.groupBy(F.col("id").alias("poi_id")).agg(F.min(F.struct("dist", F.col("poi_id").alias("other"))).alias("best")).select("poi_id", "best.*")
+    own = places.select("poi_id", F.concat(F.lit("CAFE-no "), F.col("k") % 3).alias("name"))
+    other = places.select(F.col("poi_id").alias("other"), F.concat(F.lit("Cafe No. "), F.col("k") % 3).alias("existing"))
+    same = C.normalised(F.col("name")) == C.normalised(F.col("existing"))
+    return best.join(own, "poi_id").join(other, "other").select("poi_id", "other", R3(F.col("dist"), "d"), (F.col("dist") <= 20).alias("close_review"), (same & (F.col("dist") <= 100)).alias("likely_duplicate"))
 
 
 @query("flt01_candidates", f"SELECT request_id, poi_id, round(dist, 3) AS dist FROM v_near WHERE dist <= 1200 AND confidence >= 0.3 AND {PASSES}")
