@@ -181,6 +181,11 @@ def publish_slot(ts: Column) -> Column:
     return F.when(F.hour(t) < 2, F.concat(F.date_format(F.date_sub(t, 1), "yyyyMMdd"), F.lit(" 2300"))).otherwise(F.concat(F.date_format(t, "yyyyMMdd"), F.lit(" "), F.lpad(issue.cast("string"), 2, "0"), F.lit("00")))
 
 
+def air_grade(pm25: Column, pm10: Column, index: Column) -> Column:
+    """Grade by the fine dust, else by the coarse, else by the word of the index."""
+    return F.coalesce(pm_grade(pm25), pm_grade(pm10, K.PM10_BOUNDS), lookup(index, K.AIR_GRADES))
+
+
 def pm_grade(value: Column, bounds: tuple[int, int, int] = K.PM25_BOUNDS) -> Column:
     """Grade 1..4 of a concentration, upper bounds included; negative or unknown gives null."""
     return F.when(value < 0, None).when(value <= bounds[0], 1).when(value <= bounds[1], 2).when(value <= bounds[2], 3).when(value.isNotNull(), 4)

@@ -47,7 +47,40 @@ def quotas(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
 
 def top_by_quota(rows: DataFrame, quota: DataFrame, keys: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.join(F.broadcast(quota.select(*keys, "quota")), keys).withColumn("place", F.row_number().over(w)).where("place <= quota")
+    return rows.join(quota.select(*keys, "quota"), keys).withColumn("place", F.row_number().over(w)).where("place <= quota")
+
+
+def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
+    """n rows of each stratum by a seeded hash of their key; a stratum with fewer is an error."""
+    least = rows.groupBy(stratum).agg(F.count("*").alias("_held"))
+    least = least.select(F.col(stratum), F.when(F.col("_held") >= n, F.col("_held")).otherwise(F.raise_error(F.concat(F.lit(f"fewer than {n} rows in stratum "), F.coalesce(F.col(stratum).cast("string"), F.lit("null")))).cast("bigint")).alias("_held"))
+    w = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(seed), key), 256), key)
+    drawn = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    return drawn.join(least.withColumnRenamed(stratum, "_s"), F.col(stratum).eqNullSafe(F.col("_s"))).where("_held > 0").drop("_s", "_held")
+
+
+RUN = 3
+
+
+def containing(documents: DataFrame, quotes: DataFrame, key: str, item: str) -> DataFrame:
+    """documents (key, text) that contain quotes (item, quote): pairs (key, item).
+
+    The inner words of a quote, all but the first and last, stand in a containing text as whole words between single spaces. So a text that
+    contains it has one of its runs of RUN inner words among its own runs: pairs meet by the hash of the quote's first such run, and only
+    they are searched. Quotes of fewer inner words have no run and are searched for in every text, one pass for all of them."""
+    words = lambda text: F.split(text, " ", -1)
+    inner = quotes.where("quote is not null").withColumn("_w", words(F.col("quote"))).withColumn("_long", F.size("_w") >= RUN + 2)
+    run = F.xxhash64(F.array_join(F.slice("_w", 2, RUN), " "))
+    asked = inner.where("_long").select(item, "quote", run.alias("_run"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, RUN), " ")))
+    texts = documents.where("text is not null").select(key, words(F.col("text")).alias("_w")).select(key, F.explode(F.array_distinct(runs)).alias("_run"))
+    met = texts.join(asked.select(item, "_run"), "_run").select(key, item).distinct()
+    found = met.join(documents.select(key, "text"), key).join(quotes.select(item, "quote"), item).where(F.contains("text", "quote")).select(key, item).distinct()
+    short = inner.where("not _long").select(item, "quote")
+    if short.isEmpty():
+        return found
+    rest = documents.select(key, "text").join(short, F.contains("text", "quote")).select(key, item)
+    return found.unionByName(rest)
 
 
 def relevance(name: Column, title: Column, body: Column, places: Column, boundaries: bool = True) -> Column:

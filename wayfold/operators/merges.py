@@ -58,3 +58,9 @@ def appended(old: DataFrame, new: DataFrame, key: str, values: str, order: str,
     joined = old.join(lists, key, "left").join(set_, key, "left")
     out = joined.withColumn(values, F.array_distinct(F.concat(F.coalesce(values, empty), F.coalesce("_new", empty))))
     return out.withColumns({c: F.coalesce(f"_{c}", c) for c in scalars}).select(*old.columns)
+
+
+def hit(cache: DataFrame, requests: DataFrame, key: str, counter: str) -> DataFrame:
+    """The cache's rows with their counter raised by the requests of their key; requests of unknown keys change nothing."""
+    asked = requests.groupBy(key).agg(F.count("*").alias("_asked"))
+    return cache.join(asked, key, "left").withColumn(counter, F.col(counter) + F.coalesce("_asked", F.lit(0))).select(*cache.columns)

@@ -37,9 +37,13 @@ def weather_fields(weather: Column) -> Column:
     return F.transform_keys(F.from_json(weather, WEATHER), lambda k, _: F.lower(k))
 
 
-def freshness(rows: DataFrame, key: str, at: str, bucket: str = "15 minutes") -> DataFrame:
-    """Distinct buckets and the last time of each key."""
-    return rows.groupBy(key).agg(F.countDistinct(F.window(at, bucket)["start"]).alias("buckets"), F.max(at).alias("last_at"))
+def freshness(rows: DataFrame, now: DataFrame, key: str, at: str, hours: int = 6, slots: int = 12, minutes: int = 90) -> DataFrame:
+    """Each key's distinct times in the last hours before now (one row), its last time, and whether it is fresh: slots times or more,
+    the last no older than minutes."""
+    seen = rows.crossJoin(F.broadcast(now)).where(F.col(at) <= F.col("now"))
+    recent = F.col(at) > F.col("now") - F.expr(f"INTERVAL {hours} HOURS")
+    out = seen.groupBy(key).agg(F.countDistinct(F.when(recent, F.col(at))).alias("slots"), F.max(at).alias("last_at"), F.max("now").alias("now"))
+    return out.select(key, "slots", "last_at", ((F.col("slots") >= slots) & (F.col("last_at") >= F.col("now") - F.expr(f"INTERVAL {minutes} MINUTES"))).alias("fresh"))
 
 
 def sliding_counts(rows: DataFrame, key: str, at: str, seconds: int) -> DataFrame:

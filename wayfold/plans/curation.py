@@ -10,7 +10,7 @@ from wayfold.functions import columns as C
 from wayfold.functions import scoring as S
 from wayfold.functions.entities import WHITE, unescaped, unescaped_sql
 from wayfold.functions.rounding import rounded_sql
-from wayfold.operators import audits, curation, merges
+from wayfold.operators import audits, curation, explanations, merges
 from wayfold.operators.quantiles import quantiles
 from wayfold.plans.registry import query
 from wayfold.plans.retrieval import R6
@@ -106,8 +106,9 @@ def _(spark, sf):
 
 @query("str12_quote_containment", "SELECT b.item_id, count(*) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def _(spark, sf):
-    items = F.broadcast(t("benchmark")(spark, sf).select("item_id", F.col("text").alias("quote")))
-    return t("documents")(spark, sf).join(items, F.contains("text", "quote")).groupBy("item_id").agg(F.count("*").alias("docs"))
+    documents = t("documents")(spark, sf).select("doc_id", "text")
+    quotes = t("benchmark")(spark, sf).select("item_id", F.col("text").alias("quote"))
+    return curation.containing(documents, quotes, "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
 @query("str15_user_id", "SELECT c_custkey, concat('u_', substr(sha256(concat_ws('|', least(c_mktsegment, c_name), greatest(c_mktsegment, c_name))), 1, 6)) AS user_id, ('0x' || substr(sha256(c_name), 1, 8))::BIGINT % 900000 + 100000 AS log_id FROM customer")
@@ -250,8 +251,7 @@ def _(spark, sf):
 
 @query("win17_stratified", "SELECT zone, poi_id FROM (SELECT zone, poi_id, row_number() OVER (PARTITION BY zone ORDER BY sha256(concat('seed', poi_id)), poi_id) AS r FROM v_poi) WHERE r <= 20")
 def _(spark, sf):
-    w = Window.partitionBy("zone").orderBy(F.sha2(F.concat(F.lit("seed"), "poi_id"), 256), "poi_id")
-    return V.poi(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 20").select("zone", "poi_id")
+    return curation.stratified(V.poi(spark, sf), "zone", "poi_id", 20, "seed").select("zone", "poi_id")
 
 
 @query("agg05_global_stats", "SELECT round(avg(sentiment), 6) AS mean, round(quantile_cont(coalesce(mentions, 0), 0.95), 6) AS p95 FROM v_poi")
@@ -406,9 +406,8 @@ def _(spark, sf):
 
 @query("jsn12_picked_passed", "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS picked, count(*) FILTER (WHERE event_type <> 'purchase') AS passed FROM events GROUP BY user_id")
 def _(spark, sf):
-    logs = t("events")(spark, sf).groupBy("user_id").agg(F.collect_list(F.struct("event_id", (F.col("event_type") == "purchase").alias("picked"))).alias("candidates"))
-    rows = logs.select("user_id", F.explode("candidates").alias("c"))
-    return rows.groupBy("user_id").agg(F.count_if("c.picked").alias("picked"), F.count_if(~F.col("c.picked")).alias("passed"))
+    picked = F.col("event_type") == "purchase"
+    return t("events")(spark, sf).groupBy("user_id").agg(F.count_if(picked).alias("picked"), F.count_if(~picked).alias("passed"))
 
 
 @query("jsn13_feedback_report", "SELECT count(*) AS n, round(avg(CASE WHEN r <= 2 THEN 1 ELSE 0 END), 6) AS top2, CASE WHEN count(*) < 200 THEN 'few' WHEN avg(CASE WHEN r <= 2 THEN 1 ELSE 0 END) < 0.7 THEN 'ok' ELSE 'biased' END AS verdict FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE event_type = 'click'")
@@ -519,7 +518,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = V.poi(spark, sf)
     fill = rows.groupBy("zone").agg(F.min("tag1").alias("zone_tag"))
-    return rows.join(F.broadcast(fill), "zone", "left").select("poi_id", F.coalesce("tag1", "zone_tag").alias("tag"))
+    return rows.join(fill, "zone", "left").select("poi_id", F.coalesce("tag1", "zone_tag").alias("tag"))
 
 
 @query("jon10_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
@@ -595,9 +594,27 @@ def _(spark, sf):
     return merges.appended(old, new, "user_id", "clicked", "at", ["picked"]).select("user_id", F.concat_ws(",", "clicked").alias("clicked"), "picked")
 
 
-@query("snk14_cache_hits", "SELECT props AS cache_key, count(*) AS hits FROM events GROUP BY props")
+@query("snk14_cache_hits", "SELECT props AS cache_key, 5 + count(*) AS hits, concat(arg_min(event_type, event_id), ':', min(event_id)) AS payload FROM events GROUP BY props")
 def _(spark, sf):
-    return t("events")(spark, sf).groupBy(F.col("props").alias("cache_key")).agg(F.count("*").alias("hits"))
+    """Each request counts a hit on the cache's row of its key, and the payload comes back."""
+    events = t("events")(spark, sf)
+    first = F.min(F.struct("event_id", "event_type")).alias("f")
+    cache = events.groupBy(F.col("props").alias("cache_key")).agg(first).select("cache_key", F.concat("f.event_type", F.lit(":"), "f.event_id").alias("payload"), F.lit(5).alias("hit_count"))
+    return merges.hit(cache, events.select(F.col("props").alias("cache_key")), "cache_key", "hit_count").select("cache_key", F.col("hit_count").alias("hits"), "payload")
+
+
+@query("exp01_cascade", """WITH allowed AS (SELECT c_custkey AS user_id, concat('p', (c_custkey * 7 + i) % 100) AS poi_id FROM customer, range(4) r(i)),
+ items AS (SELECT user_id, concat('p', event_id % 100) AS poi_id, event_id AS n, event_type, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE concat(event_type, ' ', event_id) END AS reason FROM events),
+ good AS (SELECT i.user_id, i.poi_id, event_type = 'click' AS cached, arg_min(reason, n) AS reason FROM items i SEMI JOIN allowed a ON i.user_id = a.user_id AND i.poi_id = a.poi_id WHERE trim(reason) <> '' AND event_type IN ('click', 'view') GROUP BY ALL)
+ SELECT a.user_id, a.poi_id, coalesce(CASE WHEN m.c THEN c.reason WHEN m.v THEN v.reason END, 'A good match nearby') AS reason, CASE WHEN m.c THEN 'cache' WHEN m.v THEN 'llm' ELSE 'template' END AS mode
+ FROM allowed a LEFT JOIN (SELECT user_id, bool_or(cached) AS c, bool_or(NOT cached) AS v FROM good GROUP BY user_id) m ON a.user_id = m.user_id
+ LEFT JOIN good c ON c.cached AND c.user_id = a.user_id AND c.poi_id = a.poi_id LEFT JOIN good v ON NOT v.cached AND v.user_id = a.user_id AND v.poi_id = a.poi_id""")
+def _(spark, sf):
+    """Four places of each customer, explained by clicks as the cache and views as the model, some with blank reasons."""
+    allowed = t("customer")(spark, sf).select(F.col("c_custkey").alias("user_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    allowed = allowed.selectExpr("user_id", "concat('p', (user_id * 7 + i) % 100) AS poi_id")
+    items = t("events")(spark, sf).selectExpr("user_id", "concat('p', event_id % 100) AS poi_id", "event_id AS at", "event_type", "CASE WHEN event_id % 5 = 0 THEN ' ' ELSE concat(event_type, ' ', event_id) END AS reason")
+    return explanations.cascade(allowed, items.where("event_type = 'click'"), items.where("event_type = 'view'"), "user_id", "A good match nearby")
 
 
 @query("snk16_id_coercion", "SELECT event_id, NULLIF(regexp_replace(trim(raw), '\\.0$', ''), '') AS id FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat(event_id, '.0') WHEN 1 THEN ' ' ELSE concat('tour_', event_id) END AS raw FROM events)")

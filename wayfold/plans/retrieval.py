@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayfold import constants as K
 from wayfold.functions import columns as C
 from wayfold.functions import scoring as S
-from wayfold.operators import ranking, search
+from wayfold.operators import audits, ranking, search
 from wayfold.operators.nearest import nearest
 from wayfold.plans.registry import HAVERSINE, query
 from wayfold.sources import views as V
@@ -98,6 +98,14 @@ def _(spark, sf):
     return mapped.agg(F.count("*").alias("pois"), F.count("code").alias("mapped"), R3(F.avg("d"), "mean_d"), R3(F.max("d"), "max_d"))
 
 
+@query("agg17_distance_sweep", f"SELECT b::DOUBLE AS bound, count(*) FILTER (WHERE d <= b) AS n, count(*) AS total FROM (SELECT p.poi_id, min(d) AS d FROM v_poi p LEFT JOIN {_H} h ON p.poi_id = h.poi_id GROUP BY p.poi_id), (SELECT unnest([30, 50, 60, 75, 100, 300]) AS b) GROUP BY b")
+def _(spark, sf):
+    """Places that a hotspot covers at growing distances."""
+    places = V.poi(spark, sf)
+    mapped = places.select("poi_id").join(hotspot_of(spark, sf, places), "poi_id", "left")
+    return audits.sweep(mapped, F.col("d"), [30, 50, 60, 75, 100, 300], False)
+
+
 @query("jon08_left_count", f"SELECT h.code, count(m.poi_id) AS n FROM v_hotspot h LEFT JOIN (SELECT poi_id, arg_min(code, (d, code)) AS code FROM {_H} GROUP BY poi_id) m ON h.code = m.code GROUP BY h.code")
 def _(spark, sf):
     mapped = hotspot_of(spark, sf, V.poi(spark, sf)).groupBy("code").agg(F.count("*").alias("m"))

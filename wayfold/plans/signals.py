@@ -74,9 +74,11 @@ def _(spark, sf):
     return signals.as_of(rows.select("event_id", "code", "ts"), slots, "code", "ts", "slot", 5400, ["level"]).select("event_id", "level")
 
 
-@query("stm04_freshness", "SELECT code, count(DISTINCT floor(epoch(ts) / 900)) AS buckets, max(ts) AS last_at FROM v_snapshot GROUP BY code")
+@query("stm04_freshness", "SELECT code, count(DISTINCT ts) FILTER (ts > now - INTERVAL 6 HOUR) AS slots, max(ts) AS last_at, count(DISTINCT ts) FILTER (ts > now - INTERVAL 6 HOUR) >= 12 AND max(ts) >= any_value(now) - INTERVAL 90 MINUTE AS fresh FROM v_snapshot, (SELECT max(ts) + INTERVAL 20 MINUTE AS now FROM v_snapshot) WHERE ts <= now GROUP BY code")
 def _(spark, sf):
-    return signals.freshness(V.snapshots(spark, sf), "code", "ts")
+    rows = V.snapshots(spark, sf)
+    now = rows.agg((F.max("ts") + F.expr("INTERVAL 20 MINUTES")).alias("now"))
+    return signals.freshness(rows, now, "code", "ts", hours=6, slots=12, minutes=90)
 
 
 @query("tim10_staleness", "SELECT code, epoch(TIMESTAMP '2024-01-31' - max(ts)) > 5400 AS stale FROM v_snapshot GROUP BY code")
@@ -128,9 +130,14 @@ def _(spark, sf):
     return signals.long_to_slot(items, ["user_id"], {"click": "clicks", "purchase": "spent"})
 
 
-@query("sco14_pm_grade", "SELECT event_id, CASE WHEN v < 0 THEN NULL WHEN v <= 30 THEN 1 WHEN v <= 80 THEN 2 WHEN v <= 150 THEN 3 ELSE 4 END AS grade FROM (SELECT event_id, (event_id % 400) - 20 AS v FROM events)")
+_AIR = "event_id, CASE WHEN event_id % 3 > 0 THEN (event_id * 7) % 120 - 20 END AS pm25, CASE WHEN event_id % 2 = 0 THEN event_id % 400 - 20 END AS pm10, CASE event_id % 5 WHEN 0 THEN '좋음' WHEN 1 THEN '보통' WHEN 2 THEN '나쁨' WHEN 3 THEN '매우나쁨' ELSE '점검중' END AS word"
+_BY = lambda v, a, b, c: f"CASE WHEN {v} < 0 THEN NULL WHEN {v} <= {a} THEN 1 WHEN {v} <= {b} THEN 2 WHEN {v} <= {c} THEN 3 WHEN {v} IS NOT NULL THEN 4 END"
+
+
+@query("sco14_pm_grade", f"SELECT event_id, coalesce({_BY('pm25', *K.PM25_BOUNDS)}, {_BY('pm10', *K.PM10_BOUNDS)}, CASE word WHEN '좋음' THEN 1 WHEN '보통' THEN 2 WHEN '나쁨' THEN 3 WHEN '매우나쁨' THEN 4 END) AS grade FROM (SELECT {_AIR} FROM events)")
 def _(spark, sf):
-    return V.table(spark, sf, "events").select("event_id", C.pm_grade(F.col("event_id") % 400 - 20, K.PM10_BOUNDS).alias("grade"))
+    rows = V.table(spark, sf, "events").selectExpr(*_AIR.split(", "))
+    return rows.select("event_id", C.air_grade(F.col("pm25"), F.col("pm10"), F.col("word")).alias("grade"))
 
 
 @query("sco15_weather_state", f"SELECT request_id, CASE WHEN rain > 0.3 THEN '{K.WEATHER_STATES[1]}' WHEN pm >= 3 THEN '{K.WEATHER_STATES[2]}' WHEN feels > 31 OR feels < -5 THEN '{K.WEATHER_STATES[3]}' ELSE '{K.WEATHER_STATES[0]}' END AS state, CASE WHEN party <= 2 THEN 1 WHEN party <= 4 THEN 2 ELSE 3 END AS party_band FROM v_request")
