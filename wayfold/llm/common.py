@@ -17,12 +17,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Only where the session has
-    none (local tests), a temporary folder is set as the checkpoint folder."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Only where a local session has none (tests) a temporary
+    folder is set as the checkpoint folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="wayfold-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/wayfold/{name}-{uuid.uuid4().hex}"
