@@ -16,6 +16,14 @@ def observed(rows: DataFrame, checks: dict[str, Column], fatal: tuple[str, ...]
     return out.withColumn("status", F.when((F.col("rate") == 0) & F.col("fatal"), "FAIL").when(F.col("rate") < low, "WARN").otherwise("OK")).drop("fatal")
 
 
+def catalog(rows: DataFrame) -> DataFrame:
+    """One row a column: col, type, n, nulls, kinds. Distinct values are counted by pre-aggregated (column, value) hashes."""
+    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema]
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("col"), F.lit(k).alias("type"), F.when(F.col(n).isNotNull(), F.xxhash64(n)).alias("v")) for n, k in fields))).alias("x")
+    values = rows.select(each).select("x.*").groupBy("col", "type", "v").agg(F.count("*").alias("c"))
+    return values.groupBy("col", "type").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("nulls"), F.count("v").alias("kinds"))
+
+
 def histogram(rows: DataFrame, value: Column, bounds: list[float]) -> DataFrame:
     """Right-closed bins with open ends: bin number, n."""
     bin_ = F.lit(len(bounds))

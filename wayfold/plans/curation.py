@@ -638,7 +638,12 @@ def _(spark, sf):
     return t("orders")(spark, sf).where("o_orderstatus = 'F' AND o_totalprice > 400000").select("o_orderkey")
 
 
-@query("src14_catalog", "SELECT * FROM (VALUES ('events', 'event_id', 'bigint'), ('events', 'event_type', 'string'), ('events', 'props', 'string'), ('events', 'user_id', 'bigint'), ('events', 'value', 'double')) t(tab, col, type)")
+_COLUMNS = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+
+
+@query("src14_catalog", " UNION ALL ".join(f"SELECT '{c}' AS col, '{k}' AS type, count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS kinds FROM events" for c, k in _COLUMNS.items()))
 def _(spark, sf):
-    rows = [("events", f.name, f.dataType.simpleString()) for f in t("events")(spark, sf).schema if f.name != "ts"]
-    return spark.createDataFrame(rows, "tab string, col string, type string")
+    """The columns of a table as its schema has them, with their rows, nulls and distinct values."""
+    return audits.catalog(t("events")(spark, sf))
+
+

@@ -140,10 +140,14 @@ def _(spark, sf):
     return rows.select("event_id", C.air_grade(F.col("pm25"), F.col("pm10"), F.col("word")).alias("grade"))
 
 
-@query("sco15_weather_state", f"SELECT request_id, CASE WHEN rain > 0.3 THEN '{K.WEATHER_STATES[1]}' WHEN pm >= 3 THEN '{K.WEATHER_STATES[2]}' WHEN feels > 31 OR feels < -5 THEN '{K.WEATHER_STATES[3]}' ELSE '{K.WEATHER_STATES[0]}' END AS state, CASE WHEN party <= 2 THEN 1 WHEN party <= 4 THEN 2 ELSE 3 END AS party_band FROM v_request")
+_WEATHER = "event_id, user_id, (event_id * 13) % 101 / 100e0 AS rain, 1 + event_id % 4 AS pm, value - 10 AS feels, 1 + user_id % 7 AS party"
+
+
+@query("sco15_weather_state", f"SELECT event_id, CASE WHEN rain > 0.3 THEN '{K.WEATHER_STATES[1]}' WHEN pm >= 3 THEN '{K.WEATHER_STATES[2]}' WHEN feels > 31 OR feels < -5 THEN '{K.WEATHER_STATES[3]}' ELSE '{K.WEATHER_STATES[0]}' END AS state, CASE WHEN party <= 2 THEN 1 WHEN party <= 4 THEN 2 ELSE 3 END AS party_band FROM (SELECT {_WEATHER} FROM events)")
 def _(spark, sf):
     c = F.col
-    return V.requests(spark).select("request_id", S.weather_state(c("rain"), c("pm"), c("feels")).alias("state"), C.party_band(c("party")).alias("party_band"))
+    rows = V.table(spark, sf, "events").selectExpr(*_WEATHER.split(", "))
+    return rows.select("event_id", S.weather_state(c("rain"), c("pm"), c("feels")).alias("state"), C.party_band(c("party")).alias("party_band"))
 
 
 @query("sco19_number_parse", "SELECT page_id, TRY_CAST(NULLIF(regexp_extract(url, '-?[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE) AS number FROM pages")
@@ -151,11 +155,11 @@ def _(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", C.first_number(F.col("url")).alias("number"))
 
 
-@query("str18_weather_label", f"SELECT request_id, CASE WHEN rain >= 0.99 THEN '{K.WEATHER_STATES[1]}' WHEN rain >= 0.3 THEN concat('{K.WEATHER_STATES[1]} ', CAST(floor(rain * 100 + 0.5) AS INT), '%') ELSE '{K.WEATHER_STATES[0]}' END AS label FROM v_request")
+@query("str18_weather_label", f"SELECT event_id, CASE WHEN rain >= 0.99 THEN '{K.WEATHER_STATES[1]}' WHEN rain >= 0.3 THEN concat('{K.WEATHER_STATES[1]} ', CAST(floor(rain * 100 + 0.5) AS INT), '%') ELSE '{K.WEATHER_STATES[0]}' END AS label FROM (SELECT {_WEATHER} FROM events)")
 def _(spark, sf):
     rain = F.col("rain")
     label = F.when(rain >= 0.99, K.WEATHER_STATES[1]).when(rain >= 0.3, F.concat(F.lit(f"{K.WEATHER_STATES[1]} "), F.floor(rain * 100 + 0.5).cast("int"), F.lit("%"))).otherwise(K.WEATHER_STATES[0])
-    return V.requests(spark).select("request_id", label.alias("label"))
+    return V.table(spark, sf, "events").selectExpr(*_WEATHER.split(", ")).select("event_id", label.alias("label"))
 
 
 @query("str19_age_top", "SELECT event_id, concat(10 * (1 + CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END), '대 ', greatest(a, b, c), '%') AS label FROM (SELECT event_id, event_id % 31 AS a, event_id % 37 AS b, event_id % 41 AS c FROM events)")
@@ -235,11 +239,14 @@ def _(spark, sf):
     return V.poi(spark, sf).select(F.explode(F.array_compact(F.array("tag1", "tag2"))).alias("tag"), "vec_id").groupBy("tag").agg(F.count("*").alias("pois"), F.countDistinct("vec_id").alias("vectors"))
 
 
-@query("jon12_query_grid", f"SELECT purpose, state, band, concat(purpose, ' ', state, ' ', band) AS sentence FROM (SELECT unnest({list(K.PURPOSES)}) AS purpose), (SELECT unnest({list(K.WEATHER_STATES)}) AS state), (SELECT unnest([1, 2, 3]) AS band)")
+@query("jon12_query_grid", "SELECT purpose, zone, price, concat(purpose, ' ', zone, ' ', price) AS sentence, n FROM (SELECT DISTINCT tag1 AS purpose FROM v_poi WHERE tag1 IS NOT NULL), (SELECT DISTINCT zone FROM v_poi), (SELECT DISTINCT price FROM v_poi WHERE price IS NOT NULL) LEFT JOIN (SELECT tag1, zone AS z, price AS p, count(*) AS n FROM v_poi GROUP BY ALL) c ON c.tag1 = purpose AND c.z = zone AND c.p = price")
 def _(spark, sf):
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, K.PURPOSES))).alias("purpose"))
-    grid = grid.withColumn("state", F.explode(F.array(*map(F.lit, K.WEATHER_STATES)))).withColumn("band", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    return grid.withColumn("sentence", F.concat_ws(" ", "purpose", "state", F.col("band").cast("string")))
+    """Every purpose, zone and price band that occurs, with every other, and how many places each cell has."""
+    rows = V.poi(spark, sf)
+    axes = rows.agg(*(F.collect_set(c).alias(c) for c in ("tag1", "zone", "price")))  # vocabularies of a handful of values
+    grid = axes.select(F.explode("tag1").alias("purpose"), "zone", "price").select("purpose", F.explode("zone").alias("zone"), "price").select("purpose", "zone", F.explode("price").alias("price"))
+    counts = rows.groupBy(F.col("tag1").alias("purpose"), "zone", "price").agg(F.count("*").alias("n"))
+    return grid.join(counts, ["purpose", "zone", "price"], "left").withColumn("sentence", F.concat_ws(" ", "purpose", "zone", F.col("price").cast("string")))
 
 
 @query("agg19_age_baseline", "SELECT code, round(sum(rate20 * people) / sum(people), 6) AS rate FROM v_snapshot WHERE rate20 IS NOT NULL GROUP BY code")

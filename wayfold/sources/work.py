@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir. Only where the session names none (tests), a temporary one is set."""
+    """A new folder below spark.checkpoint.dir. Only a local session that names none (tests) gets a temporary one; on a cluster each
+    executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="wayfold-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/wayfold/{name}-{uuid.uuid4().hex}"
