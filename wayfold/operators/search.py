@@ -14,6 +14,14 @@ from wayfold.sources.work import written
 
 #: So many requests or fewer look for their nearest places in one pass over all of them.
 FEW = 32
+#: So many points or fewer (counted) are broadcast in a range join: 121 narrow rows each. So are their candidates, at most
+#: CANDIDATE_LIMIT each, half a million narrow rows.
+SMALL = 1000
+
+
+def at_most(df: DataFrame, n: int) -> bool:
+    """Whether df has n rows or fewer; reads no more than it must to know."""
+    return df.limit(n + 1).count() <= n
 
 
 def cells(lat: Column, lng: Column, metres: float, at_lat: float = 37.5) -> tuple[Column, Column]:
@@ -27,13 +35,14 @@ def within(points: DataFrame, places: DataFrame, metres: float) -> DataFrame:
     """points (u_lat, u_lng) with every place (lat, lng) at most metres away, and dist.
 
     Each point is sent to its cell and those around it that a quarter of the distance a side can reach, so that the
-    join is an equi-join on cells, a dense area is many keys, and few pairs are left for the exact distance. Both sides
-    are dealt by cell (a merge join), however few files hold them."""
+    join is an equi-join on cells, a dense area is many keys, and few pairs are left for the exact distance. SMALL points or
+    fewer are broadcast, so that the places stay where they are; beyond that both sides are dealt by cell (a merge join)."""
+    side = "broadcast" if at_most(points, SMALL) else "merge"
     y, x = cells(F.col("u_lat"), F.col("u_lng"), metres / 4)
     around = F.sequence(F.lit(-5), F.lit(5))
     points = points.withColumn("_y", F.explode(F.transform(around, lambda d: y + d))).withColumn("_x", F.explode(F.transform(around, lambda d: x + d)))
     y, x = cells(F.col("lat"), F.col("lng"), metres / 4)
-    near = points.hint("merge").join(places.withColumn("_y", y).withColumn("_x", x), ["_y", "_x"]).drop("_y", "_x")
+    near = points.hint(side).join(places.withColumn("_y", y).withColumn("_x", x), ["_y", "_x"]).drop("_y", "_x")
     return near.withColumn("dist", haversine(F.col("u_lat"), F.col("u_lng"), F.col("lat"), F.col("lng"))).where(F.col("dist") <= metres)
 
 
@@ -83,19 +92,23 @@ def ladder(requests: DataFrame, near: DataFrame, radii: tuple[float, ...] = K.RA
 def candidates(requests: DataFrame, places: DataFrame) -> DataFrame:
     """Places of each request after the ladder: at most CANDIDATE_LIMIT nearest, or the nearest few if hardly any pass.
 
-    The range join runs once: what passes is written narrow, and counts, choice and fallback read that table."""
+    The range join runs once: what passes is written narrow, and counts, choice and fallback read that table. A request's
+    fallback rows, if it has any, take the place of the chosen ones. With SMALL requests or fewer the candidates are
+    broadcast to the places instead of shuffling these."""
     near = within(requests, with_week(places), K.RADII[-1]).where(passes()).select("request_id", "poi_id", "dist", "confidence")
     near = written(near, "near")
-    stages = written(ladder(requests, near).select("request_id", "stage", "radius", "confidence_min", "n"), "stages")
+    stages = ladder(requests, near).select("request_id", "stage", "radius", "confidence_min", "n")
     chosen = near.join(stages, "request_id").where((F.col("dist") <= F.col("radius")) & (F.col("confidence") >= F.col("confidence_min")))
     w = Window.partitionBy("request_id").orderBy("dist", "poi_id")
     chosen = chosen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= K.CANDIDATE_LIMIT)
     columns = ["request_id", "poi_id", "dist", "stage", "radius", "confidence_min", "n"]
     starved = requests.select("request_id", "u_lat", "u_lng").join(stages.where(F.col("n") < K.RELAX_BELOW).drop("stage"), "request_id")
-    closest = nearest_of_few if starved.count() <= FEW else nearest
+    closest = nearest_of_few if at_most(requests, FEW) or at_most(starved, FEW) else nearest
     fallback = closest(starved, places, "request_id", K.NEAREST, "poi_id").join(starved.drop("u_lat", "u_lng"), "request_id")
     # the fallback holds only if it gives more places than the ladder did
     sized = fallback.withColumn("_m", F.count("*").over(Window.partitionBy("request_id"))).where(F.col("_m") > F.col("n"))
-    fallback = written(sized.withColumn("stage", F.lit(len(K.RADII) + 1)).select(*columns), "fallback")
-    found = chosen.join(fallback.select("request_id").distinct(), "request_id", "left_anti").select(*columns).unionByName(fallback)
-    return written(found, "candidates").join(requests, "request_id").join(places, "poi_id")
+    last = len(K.RADII) + 1
+    found = chosen.select(*columns).unionByName(sized.withColumn("stage", F.lit(last)).select(*columns))
+    found = found.withColumn("_last", F.max("stage").over(Window.partitionBy("request_id"))).where((F.col("stage") == last) | (F.col("_last") < last)).drop("_last")
+    found = found.join(requests, "request_id")
+    return (found.hint("broadcast") if at_most(requests, SMALL) else found).join(places, "poi_id")

@@ -11,6 +11,7 @@ from wayfold.operators import audits, ranking, search
 from wayfold.operators.nearest import nearest
 from wayfold.plans.registry import HAVERSINE, query
 from wayfold.sources import views as V
+from wayfold.sources.work import written
 
 _minutes = lambda x: f"CASE WHEN regexp_matches({x}, '^[0-9]{{1,2}}:[0-9]{{2}}$') AND (CAST(split_part({x}, ':', 1) AS INT) < 24 OR {x} = '24:00') AND CAST(split_part({x}, ':', 2) AS INT) < 60 THEN CAST(split_part({x}, ':', 1) AS INT) * 60 + CAST(split_part({x}, ':', 2) AS INT) END"
 _of = lambda i: _minutes(f"json_extract_string(hours, concat('$.', day, '[{i}]'))")
@@ -264,22 +265,26 @@ SCORED = f"SELECT *, {BASE} AS base, least(greatest({BASE} - 0.05 * penalty, 0),
 
 
 def scored(spark, sf):
-    """The flagship chain: candidates after the ladder, affinity, taste, live signals, terms and score."""
+    """The flagship chain: candidates after the ladder, affinity, taste, live signals, terms and score. What is small and
+    used by every candidate (a row a request, a row a segment) is written first, so that the planner knows its size."""
     from wayfold.operators import segments
 
-    found = search.candidates(V.requests(spark), V.poi(spark, sf))
+    requests = V.requests(spark)
+    found = search.candidates(requests, V.poi(spark, sf))
     names = lambda t, c, n: V.table(spark, sf, t).select(F.col(c).alias(n)).distinct()
     link = segments.paired(names("customer", "c_mktsegment", "segment"), "segment", names("part", "p_type", "type"), "type")
+    link = written(link, "link")
     found = found.join(link, found["category"] == link["segment"], "left").drop("segment")
-    # only the groups that some candidate asks for are built
-    wanted = found.select("area", F.col("type").alias("category")).distinct()
-    affinity = segments.affinity(V.sales(spark, sf).join(wanted, ["area", "category"], "left_semi")).select(F.col("area").alias("_a"), F.col("category").alias("_c"), F.col("gender").alias("_g"), F.col("age_band").alias("_b"), F.col("weekend").alias("_w"), F.col("band").alias("_h"), "affinity")
+    # only the groups of types that a segment stands for are built
+    wanted = link.select(F.col("type").alias("category"))
+    affinity = segments.affinity(V.sales(spark, sf).join(wanted, "category", "left_semi")).select(F.col("area").alias("_a"), F.col("category").alias("_c"), F.col("gender").alias("_g"), F.col("age_band").alias("_b"), F.col("weekend").alias("_w"), F.col("band").alias("_h"), "affinity")
     c = F.col
     found = found.join(affinity, (c("area") == c("_a")) & (c("type") == c("_c")) & (c("gender") == c("_g")) & (c("age_band") == c("_b")) & (c("dow") == c("_w")) & (C.hour_band(c("hour")) == c("_h")), "left").drop("_a", "_c", "_g", "_b", "_w", "_h")
-    users = embeddings(spark, sf, "user_vec", "u").join(V.requests(spark).select("user_vec").distinct(), "user_vec", "left_semi")
-    found = found.join(embeddings(spark, sf), "vec_id", "left").join(users, "user_vec", "left")
+    users = embeddings(spark, sf, "user_vec", "u").join(requests.select("user_vec").distinct(), "user_vec", "left_semi")
+    known = requests.select("request_id", "code", "user_vec").join(latest(spark, sf), "code", "left").join(users, "user_vec", "left")
+    known = written(known.select("request_id", "level", "rate", "u"), "known")
+    found = found.join(embeddings(spark, sf), "vec_id", "left").join(known, "request_id", "left")
     found = found.withColumn("similarity", C.cosine(c("u"), c("v"))).drop("u", "v")
-    found = found.join(latest(spark, sf), "code", "left")
     return ranking.scored(ranking.with_reference(found))
 
 

@@ -166,5 +166,8 @@ def request_rows() -> list[tuple]:
 
 
 def requests(spark: SparkSession) -> DataFrame:
-    types = "request_id int, purpose string, party int, budget int, u_lat double, u_lng double, u_zone string, gender string, age_band int, sensitivity int, rain double, pm int, feels double, hour int, sunset int, dow int, code string, user_vec int, day string"
-    return spark.createDataFrame(request_rows(), types).coalesce(1)
+    """The requests as literal rows, so that the planner knows how few they are."""
+    types = "int string int int double double string string int int double int double int int int string int string".split()
+    show = lambda v, t: f"CAST({'NULL' if v is None else repr(v) + 'D' if isinstance(v, float) else repr(v)} AS {t})"
+    rows = ", ".join("(" + ", ".join(map(show, r, types)) + ")" for r in request_rows())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(REQUEST_COLUMNS)})")
