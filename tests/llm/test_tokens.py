@@ -24,6 +24,18 @@ def ids_of(library, text, end):
     return np.array(library.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
+def test_generations_of_the_memo_keep_the_ids(library, monkeypatch):
+    from wayfold.llm import bpe_encode
+
+    monkeypatch.setattr(bpe_encode, "MEMO_LIMIT", 3)
+    own = bpe_encode.ByteBpe(queries.tokenizer_path(queries.BYTE_BPE))
+    texts = ["one two one three four one two five", "nine one nine", "x" * 200 + " one", "caf\u00e9 \u2026 \u00b2", "\u65e5\u672c one", "a <|endoftext|> b", "tab\x0b\xa0", ""]
+    for text in texts * 2:
+        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(own.memo) <= 3 and len(own.memo.before) <= 3
+    assert all(len(k) <= bpe_encode.LONGEST for k in [*own.memo, *own.memo.before])
+
+
 def key(x):
     return (x is not None, x or 0)
 

@@ -13,7 +13,8 @@ import numpy as np
 
 from wayfold.llm.common import held
 
-#: Pre-tokens kept per worker process and their longest, in characters: at some 200 bytes each, rarely up to 700, some 40 MB.
+#: Pre-tokens kept per generation and worker process and their longest, in characters. Two generations are held: at some 170
+#: bytes each, rarely up to 700, some 70 MB.
 MEMO_LIMIT, LONGEST = 200_000, 64
 #: All letters up to U+024F.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -28,14 +29,20 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Memo(dict):
-    """Values by key, made on the first use and kept up to MEMO_LIMIT."""
+    """Values by key, made on the first use. At MEMO_LIMIT keys a new generation begins; what is used again moves into it from
+    the one before, and older keys are forgotten."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= LONGEST and len(self) < MEMO_LIMIT:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= MEMO_LIMIT:
+                self.before = dict(self)
+                self.clear()
             self[key] = value
         return value
 
@@ -49,13 +56,22 @@ class ByteBpe:
         # the byte-level pre-tokenizer's classes, spelled out for the characters that whole() lets through
         self.find = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+").findall
         self.alphabet = byte_alphabet()
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[^\t\n\r -~¡-±´-¸º»¿-ɏ‐-…€]", *map(re.escape, added)])).search
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.foreign = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ‐-…€]").search
+        self.common = bytes(b for b in range(256) if not self.foreign(chr(b)))
         self.memo = Memo(self._new)
 
     def _new(self, token: str) -> bytes:
         mapped = token.encode().decode("latin1").translate(self.alphabet)
-        return np.array([x.id for x in self.model.tokenize(mapped)], "<u4").tobytes()
+        return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(mapped)])
+
+    def whole(self, text: str) -> bool:
+        """Whether a text has to go through the library whole. Latin-1 texts are looked through as bytes."""
+        try:
+            foreign = bool(text.encode("latin1").translate(None, self.common))
+        except UnicodeEncodeError:
+            foreign = self.foreign(text) is not None
+        return foreign or any(t in text for t in self.added)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null counts as empty."""
