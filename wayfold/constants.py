@@ -46,6 +46,12 @@ RAIN_COEFFICIENT = {1: 0.5, 2: 0.7, 3: 0.9}
 PM25_BOUNDS, PM10_BOUNDS = (15, 35, 75), (30, 80, 150)
 AIR_GRADES = {"좋음": 1, "보통": 2, "나쁨": 3, "매우나쁨": 4}
 
+# Fixed values of service responses.
+AGE_RATES = (0, 10, 20, 30, 40, 50, 60, 70)
+NOT_WEATHER_NOW = ("FCST24HOURS", "NEWS_LIST")
+SKY = {1: "맑음", 3: "구름많음", 4: "흐림"}
+PRECIPITATION = {0: "없음", 1: "비", 2: "비/눈", 3: "눈", 4: "소나기", 5: "빗방울", 6: "빗방울눈날림", 7: "눈날림"}
+
 # Fixed values of candidate search.
 RADII = (1200.0, 1920.0, 3072.0)
 MIN_CANDIDATES, RELAX_BELOW, NEAREST = 30, 3, 3

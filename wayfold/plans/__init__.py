@@ -1,6 +1,6 @@
 """Named queries over the domain views, with their SQL where SQL can say it."""
 
-from wayfold.plans import curation, extras, gaps, retrieval, signals  # noqa: F401  they register their queries
+from wayfold.plans import curation, extras, gaps, payloads, retrieval, signals  # noqa: F401  they register their queries
 from wayfold.plans.registry import ORACLES, QUERIES, Query
 
 
