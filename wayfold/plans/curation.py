@@ -261,7 +261,7 @@ def _(spark, sf):
     return rows.agg(R6(F.avg("sentiment"), "mean")).crossJoin(p95)
 
 
-_CLEAN = "(SELECT p.*, coalesce(c, 0) AS clean FROM v_poi p LEFT JOIN (SELECT poi_id, count(*) FILTER (WHERE NOT sponsored) AS c FROM v_review GROUP BY poi_id) USING (poi_id))"
+_COUNTED = "(SELECT p.*, coalesce(c, 0) AS clean FROM v_poi p LEFT JOIN (SELECT poi_id, count(*) FILTER (WHERE NOT sponsored) AS c FROM v_review GROUP BY poi_id) USING (poi_id))"
 
 
 def clean_counts(spark, sf):
@@ -269,12 +269,12 @@ def clean_counts(spark, sf):
     return V.poi(spark, sf).join(counts, "poi_id", "left").withColumn("clean", F.coalesce("c", F.lit(0))).drop("c")
 
 
-@query("jon09_filtered_count", f"SELECT poi_id, clean FROM {_CLEAN}")
+@query("jon09_filtered_count", f"SELECT poi_id, clean FROM {_COUNTED}")
 def _(spark, sf):
     return clean_counts(spark, sf).select("poi_id", "clean")
 
 
-@query("agg06_quality", f"SELECT poi_id, round(least(greatest((8 * m + coalesce(sentiment, m) * clean) / (8 + clean) * ln(1 + least(coalesce(mentions, 0), p)) / ln(1 + p), 0), 1), 6) AS quality FROM {_CLEAN}, (SELECT avg(sentiment) AS m, quantile_cont(coalesce(mentions, 0), 0.95) AS p FROM v_poi)")
+@query("agg06_quality", f"SELECT poi_id, round(least(greatest((8 * m + coalesce(sentiment, m) * clean) / (8 + clean) * ln(1 + least(coalesce(mentions, 0), p)) / ln(1 + p), 0), 1), 6) AS quality FROM {_COUNTED}, (SELECT avg(sentiment) AS m, quantile_cont(coalesce(mentions, 0), 0.95) AS p FROM v_poi)")
 def _(spark, sf):
     rows = clean_counts(spark, sf).drop("quality")
     return curation.quality(rows).select("poi_id", R6(F.col("quality"), "quality"))

@@ -85,7 +85,7 @@ _KNOWN = "CASE WHEN known THEN"
  {_KNOWN} round(CASE WHEN t >= 27 THEN ((-42.379 + 2.04901523 * f + 10.14333127 * 50 - 0.22475541 * f * 50 - 6.83783e-3 * f * f - 5.481717e-2 * 2500 + 1.22874e-3 * f * f * 50 + 8.5282e-4 * f * 2500 - 1.99e-6 * f * f * 2500) - 32) * 5 / 9
  WHEN t <= 10 THEN 13.12 + 0.6215 * t - 11.37 * pow(9.0, 0.16) + 0.3965 * t * pow(9.0, 0.16) ELSE t END, 6) END AS feels_like,
  {_KNOWN} CASE WHEN pty > 0 THEN {_named(K.PRECIPITATION, 'pty')} ELSE coalesce({_named(K.SKY, 'event_id % 5')}, '{K.SKY[1]}') END END AS label, {_KNOWN} coalesce({_named(K.PRECIPITATION, 'pty')}, '{K.PRECIPITATION[0]}') END AS precpt_type,
- {_KNOWN} strftime(at, '%Y%m%d%H00') END AS fcst_slot FROM (SELECT *, t * 9 / 5 + 32 AS f FROM (SELECT *, event_id % 9 AS pty, (event_id % 40 - 8 + late)::DOUBLE AS t, date_trunc('hour', ts) + to_hours(late) AS at,
+ {_KNOWN} strftime(slot_at, '%Y%m%d%H00') END AS fcst_slot FROM (SELECT *, t * 9 / 5 + 32 AS f FROM (SELECT *, event_id % 9 AS pty, (event_id % 40 - 8 + late)::DOUBLE AS t, date_trunc('hour', ts) + to_hours(late) AS slot_at,
  event_id % 10 <> 0 AND event_id % 12 <> 5 AS known FROM (SELECT *, CASE WHEN s > 1800000000 OR (s = 1800000000 AND event_id % 2 = 0) THEN 1 ELSE 0 END AS late FROM (SELECT *, epoch_us(ts) - epoch_us(date_trunc('hour', ts)) AS s FROM events))))""")
 def _(spark, sf):
     rows = forecast_payloads(spark, sf).withColumn("items", payloads.forecast_items(_c("payload")))

@@ -140,13 +140,13 @@ def _(spark, sf):
     return rows.select("event_id", C.air_grade(F.col("pm25"), F.col("pm10"), F.col("word")).alias("grade"))
 
 
-_WEATHER = "event_id, user_id, (event_id * 13) % 101 / 100e0 AS rain, 1 + event_id % 4 AS pm, value - 10 AS feels, 1 + user_id % 7 AS party"
+_SKY_ROW = "event_id, user_id, (event_id * 13) % 101 / 100e0 AS rain, 1 + event_id % 4 AS pm, value - 10 AS feels, 1 + user_id % 7 AS party"
 
 
-@query("sco15_weather_state", f"SELECT event_id, CASE WHEN rain > 0.3 THEN '{K.WEATHER_STATES[1]}' WHEN pm >= 3 THEN '{K.WEATHER_STATES[2]}' WHEN feels > 31 OR feels < -5 THEN '{K.WEATHER_STATES[3]}' ELSE '{K.WEATHER_STATES[0]}' END AS state, CASE WHEN party <= 2 THEN 1 WHEN party <= 4 THEN 2 ELSE 3 END AS party_band FROM (SELECT {_WEATHER} FROM events)")
+@query("sco15_weather_state", f"SELECT event_id, CASE WHEN rain > 0.3 THEN '{K.WEATHER_STATES[1]}' WHEN pm >= 3 THEN '{K.WEATHER_STATES[2]}' WHEN feels > 31 OR feels < -5 THEN '{K.WEATHER_STATES[3]}' ELSE '{K.WEATHER_STATES[0]}' END AS state, CASE WHEN party <= 2 THEN 1 WHEN party <= 4 THEN 2 ELSE 3 END AS party_band FROM (SELECT {_SKY_ROW} FROM events)")
 def _(spark, sf):
     c = F.col
-    rows = V.table(spark, sf, "events").selectExpr(*_WEATHER.split(", "))
+    rows = V.table(spark, sf, "events").selectExpr(*_SKY_ROW.split(", "))
     return rows.select("event_id", S.weather_state(c("rain"), c("pm"), c("feels")).alias("state"), C.party_band(c("party")).alias("party_band"))
 
 
@@ -155,11 +155,11 @@ def _(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", C.first_number(F.col("url")).alias("number"))
 
 
-@query("str18_weather_label", f"SELECT event_id, CASE WHEN rain >= 0.99 THEN '{K.WEATHER_STATES[1]}' WHEN rain >= 0.3 THEN concat('{K.WEATHER_STATES[1]} ', CAST(floor(rain * 100 + 0.5) AS INT), '%') ELSE '{K.WEATHER_STATES[0]}' END AS label FROM (SELECT {_WEATHER} FROM events)")
+@query("str18_weather_label", f"SELECT event_id, CASE WHEN rain >= 0.99 THEN '{K.WEATHER_STATES[1]}' WHEN rain >= 0.3 THEN concat('{K.WEATHER_STATES[1]} ', CAST(floor(rain * 100 + 0.5) AS INT), '%') ELSE '{K.WEATHER_STATES[0]}' END AS label FROM (SELECT {_SKY_ROW} FROM events)")
 def _(spark, sf):
     rain = F.col("rain")
     label = F.when(rain >= 0.99, K.WEATHER_STATES[1]).when(rain >= 0.3, F.concat(F.lit(f"{K.WEATHER_STATES[1]} "), F.floor(rain * 100 + 0.5).cast("int"), F.lit("%"))).otherwise(K.WEATHER_STATES[0])
-    return V.table(spark, sf, "events").selectExpr(*_WEATHER.split(", ")).select("event_id", label.alias("label"))
+    return V.table(spark, sf, "events").selectExpr(*_SKY_ROW.split(", ")).select("event_id", label.alias("label"))
 
 
 @query("str19_age_top", "SELECT event_id, concat(10 * (1 + CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END), '대 ', greatest(a, b, c), '%') AS label FROM (SELECT event_id, event_id % 31 AS a, event_id % 37 AS b, event_id % 41 AS c FROM events)")
