@@ -63,3 +63,19 @@ def test_many_points_without_comparing_all_pairs(spark):
     assert found.where("rank = 1 and place <> id").count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_crowded_spots_are_searched_once_and_nothing_large_is_broadcast(spark):
+    """3,000 points at 15 spots: exact, ties by place, and only the list of levels goes through the driver."""
+    spots = [(37.5 + i / 1e3, 127 - i * i / 1e3) for i in range(15)]
+    places = [spots[i % 15] for i in range(300)] + [(37.50001, 127.00001), (-37.5, -53.0)]
+    points = [spots[i % 15] for i in range(3000)] + [(None, 1.0)]
+    p, q = frames(spark, points, places)
+    found = nearest(p, q, "id", 3, "place")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, {})[r.rank] = r.place
+    assert got == {i: {n + 1: i % 15 + 15 * n for n in range(3)} for i in range(3000)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("BroadcastHashJoin") <= 1
+    assert "isFinalPlan=true" in plan

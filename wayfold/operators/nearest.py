@@ -8,7 +8,11 @@ a quarter of the one before. Three steps, each an equi-join on cells:
   3. At that level the cells that the circle of this radius reaches; no cell beyond can hold one of the k nearest. Their
      places are measured, and the first k stay.
 The work of a point is bounded by k and not by the places there are: a dense area uses small cells, an empty one large ones. Of
-places at one spot only the first k can count, so that a spot of many places sends k.
+places at one spot only the first k can count, so that a spot of many places sends k. Points at one spot have the same
+neighbours: the steps run once for each distinct spot, and the points get its k rows in the end.
+
+Sizes of exploded rows are not known before they are made, and equal rows shrink in a shuffle to far less than they take in
+memory, so that the planner could broadcast too much through the driver: the joins ask for a merge.
 
 Points or places without coordinates have no neighbours; fewer than k places are all returned; ties go by `tie`.
 """
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from wayfold import constants as K
 from wayfold.functions.columns import haversine
+from wayfold.sources.work import written
 
 LEVELS = 12
 LARGEST = 180.0
@@ -76,19 +81,19 @@ def farthest(lat: Column, lng: Column, y: Column, x: Column, height: Column) ->
     return F.lit(2 * K.EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0)))) * (1 + 1e-9) + 1e-6
 
 
-def radii(points: DataFrame, places: DataFrame, key: str, k: int) -> DataFrame:
-    """For each point (key, u_lat, u_lng) the level to search and a radius that holds its k nearest places."""
+def radii(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """For each distinct point (u_lat, u_lng) the level to search and a radius that holds its k nearest places."""
     levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
     at = cell_of(F.col("lat"), F.col("lng"), _height(F.col("level")))
     held = places.select("lat", "lng", levels).select("level", at.alias("cell")).groupBy("level", "cell.y", "cell.x").agg(F.count("*").alias("n"))
     height = _height(F.col("level"))
-    asked = points.select(key, "u_lat", "u_lng", levels)
+    asked = points.select("u_lat", "u_lng", levels)
     asked = asked.select("*", F.inline(reached(F.col("u_lat"), F.col("u_lng"), F.radians(height) * K.EARTH_RADIUS_M, height)))
     far = farthest(F.col("u_lat"), F.col("u_lng"), F.col("y"), F.col("x"), height)
-    sums = asked.join(held, ["level", "y", "x"]).groupBy(key, "level").agg(F.sum("n").alias("n"), F.max(far).alias("radius"))
-    found = sums.where(F.col("n") >= k).groupBy(key).agg(F.max_by(F.struct("level", "radius"), "level").alias("found"))
+    sums = asked.join(held.hint("merge"), ["level", "y", "x"]).groupBy("u_lat", "u_lng", "level").agg(F.sum("n").alias("n"), F.max(far).alias("radius"))
+    found = sums.where(F.col("n") >= k).groupBy("u_lat", "u_lng").agg(F.max_by(F.struct("level", "radius"), "level").alias("found"))
     whole = F.struct(F.lit(0).alias("level"), F.lit(math.pi * K.EARTH_RADIUS_M + 1).alias("radius"))
-    return points.select(key, "u_lat", "u_lng").join(found, key, "left").select(key, "u_lat", "u_lng", F.inline(F.array(F.coalesce("found", whole))))
+    return points.select("u_lat", "u_lng").join(found.hint("merge"), ["u_lat", "u_lng"], "left").select("u_lat", "u_lng", F.inline(F.array(F.coalesce("found", whole))))
 
 
 def nearest(points: DataFrame, places: DataFrame, key: str, k: int, tie: str) -> DataFrame:
@@ -97,15 +102,16 @@ def nearest(points: DataFrame, places: DataFrame, key: str, k: int, tie: str) ->
     spots = places.where("lat is not null and lng is not null")
     first = F.row_number().over(Window.partitionBy("lat", "lng").orderBy(tie))
     spots = spots.select(tie, "lat", "lng").withColumn("_n", first).where(F.col("_n") <= k).drop("_n")
-    search = radii(some, spots, key, k)
+    search = written(radii(some.select("u_lat", "u_lng").distinct(), spots, k), "nearest")
     cells = search.select("*", F.inline(reached(F.col("u_lat"), F.col("u_lng"), F.col("radius"), _height(F.col("level")))))
     used = search.select("level").distinct()  # LEVELS rows at most
     every = spots.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
     dealt = every.join(F.broadcast(used), "level").select("*", cell_of(F.col("lat"), F.col("lng"), _height(F.col("level"))).alias("cell")).select(tie, "lat", "lng", "level", "cell.y", "cell.x")
-    pairs = cells.join(dealt, ["level", "y", "x"])
+    pairs = cells.join(dealt.hint("merge"), ["level", "y", "x"])
     pairs = pairs.withColumn("dist", haversine(F.col("u_lat"), F.col("u_lng"), F.col("lat"), F.col("lng"))).where(F.col("dist") <= F.col("radius"))
-    w = Window.partitionBy(key).orderBy("dist", tie)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, tie, "dist", "rank")
+    w = Window.partitionBy("u_lat", "u_lng").orderBy("dist", tie)
+    best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("u_lat", "u_lng", tie, "dist", "rank")
+    return some.join(best.hint("merge"), ["u_lat", "u_lng"]).select(key, tie, "dist", "rank")
 
 
 def nearest_of_few(points: DataFrame, places: DataFrame, key: str, k: int, tie: str) -> DataFrame:
