@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm import words
+
 #: A side of a join is broadcast only if it has been counted and has at most so many narrow rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -69,15 +73,19 @@ _held: dict[str, object] = {}
 def held(name: str, make: Callable[[], object]) -> object:
     """An object that a worker process makes once and keeps until it needs another one: tokenizers and their memos."""
     if name not in _held:
-        _held.clear()
+        release()
         _held[name] = make()
     return _held[name]
 
 
 def release() -> None:
-    """Give back what earlier stages left in a reused worker process."""
+    """Give back what earlier stages left in a reused worker process: tokenizers and memos, powers as long as the longest text, and
+    freed pages that the C library keeps (where it is glibc)."""
     _held.clear()
+    words.forget()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wayfold.llm.common import release
 from wayfold.llm.token_files import read_tokens, with_starts, write_tokens
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -27,6 +28,7 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
     """Rows of token files with global starts -> PIECES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             g, n, lists = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
             offsets = lists.offsets.to_numpy().astype(np.int64)

@@ -136,8 +136,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for lo, hi, data, at in text_chunks(batch.column(2)):
+            for lo, hi, data, at in text_chunks(batch.column(2), 1 << 20):
                 offsets, index, value = text_features(data, at)
                 cut = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), cut(index), cut(value)], names=["doc_id", "label", "feature", "value"])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.bpe_encode import encoder
-from wayfold.llm.common import part_offsets, small_batches, work_path
+from wayfold.llm.common import part_offsets, release, small_batches, work_path
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 #: Row groups of about 16 MB and pages of 256 KB keep a selective read small; the dictionary page may
@@ -91,6 +91,7 @@ def checksums(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from rows of token files with their starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             lists = batch.column(3)
             offsets = lists.offsets.to_numpy()

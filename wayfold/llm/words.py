@@ -40,6 +40,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0][:n], _pow[1][:n]
 
 
+def forget() -> None:
+    """Drop the powers kept so far; they are made anew when asked for."""
+    _pow[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of all words, and the word offsets of the documents (n + 1)."""
     if not len(data):
