@@ -8,7 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import connect, differences
 from wayfold.operators.nearest import nearest, nearest_of_few
+from wayfold.plans import all_oracles, all_queries
 
 
 def metres(a, b):
@@ -79,3 +81,16 @@ def test_crowded_spots_are_searched_once_and_nothing_large_is_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("BroadcastHashJoin") <= 1
     assert "isFinalPlan=true" in plan
+
+
+@pytest.mark.parametrize("name", ["geo14_near_duplicates", "geo04_nearest_places"])
+def test_queries_on_crowded_spots(spark, sf_dir, tmp_path, name):
+    """Keys 20,000 apart lie at one spot. The rows are the SQL's, and no place table is broadcast."""
+    places = spark.range(900).selectExpr("id % 300 + 20000 * floor(id / 300) AS c_custkey", "concat('c', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal", "'BUILDING' AS c_mktsegment")
+    places.distinct().write.parquet(f"{tmp_path}/customer.parquet")
+    con = connect(sf_dir)
+    con.execute(f"CREATE OR REPLACE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    found = all_queries()[name](spark, str(tmp_path))
+    assert differences(found, con, all_oracles()[name]) == ""
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("BroadcastHashJoin") <= 1

@@ -153,7 +153,7 @@ def _(spark, sf):
     own = places.select("poi_id", F.concat(F.lit("CAFE-no "), F.col("k") % 3).alias("name"))
     other = places.select(F.col("poi_id").alias("other"), F.concat(F.lit("Cafe No. "), F.col("k") % 3).alias("existing"))
     same = C.normalised(F.col("name")) == C.normalised(F.col("existing"))
-    return best.join(own, "poi_id").join(other, "other").select("poi_id", "other", R3(F.col("dist"), "d"), (F.col("dist") <= 20).alias("close_review"), (same & (F.col("dist") <= 100)).alias("likely_duplicate"))
+    return best.join(own.hint("merge"), "poi_id").join(other.hint("merge"), "other").select("poi_id", "other", R3(F.col("dist"), "d"), (F.col("dist") <= 20).alias("close_review"), (same & (F.col("dist") <= 100)).alias("likely_duplicate"))
 
 
 @query("flt01_candidates", f"SELECT request_id, poi_id, round(dist, 3) AS dist FROM v_near WHERE dist <= 1200 AND confidence >= 0.3 AND {PASSES}")
