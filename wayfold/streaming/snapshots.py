@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayfold.operators.merges import last_wins, upsert
 from wayfold.sources.work import written
@@ -96,60 +96,60 @@ def ingested_table(spark: SparkSession, path: str, name: str, schema) -> DataFra
     return files.where(F.col("v") == last).drop("v") if last is not None else files.drop("v")
 
 
-class _Limiter(StatefulProcessor):
-    """State of a key: hits that the watermark has not passed, and the allowed hits of the last window. Times are microseconds."""
+#: Keys share so many groups of the limiter by hash: a group costs milliseconds, whatever it holds.
+BUCKETS = 1024
 
-    def __init__(self, seconds: int, most: int):
-        self.window, self.most = seconds * 1_000_000, most
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, id bigint")
-        self.kept = handle.getListState("kept", "at bigint")
+def _limiter(seconds: int, most: int):
+    """State of a bucket of keys: hits that the watermark has not passed, and of each key the allowed hits of the last window.
+    Times are microseconds, keys strings."""
+    window = seconds * 1_000_000
 
-    def _decide(self, key: tuple, waiting: list, timers) -> Iterator[pd.DataFrame]:
-        mark = timers.getCurrentWatermarkInMs()
-        waiting.sort()
+    def decide(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ats, ids, keys, kept_ats, kept_keys = state.get if state.exists else ([], [], [], [], [])
+        waiting, kept = list(zip(ats, ids, keys)), {}
+        for at, key in zip(kept_ats, kept_keys):
+            kept.setdefault(key, []).append(at)
+        if not state.hasTimedOut:
+            for part in parts:
+                waiting += zip(part["at"].tolist(), part["id"].tolist(), part["key"].tolist())
+        mark = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda x: x[:2])
         due = [x for x in waiting if x[0] // 1000 <= mark]
         rest = waiting[len(due) :]
-        kept, out = [x[0] for x in self.kept.get()] if self.kept.exists() else [], []
-        for at, hit in due:
-            kept = [x for x in kept if x > at - self.window]
-            allowed = len(kept) < self.most
-            wait = 0 if allowed else max(1, (self.window - (at - kept[0])) // 1_000_000 + 1)
+        out = []
+        for at, hit, key in due:
+            mine = kept[key] = [x for x in kept.get(key, ()) if x > at - window]
+            allowed = len(mine) < most
+            wait = 0 if allowed else max(1, (window - (at - mine[0])) // 1_000_000 + 1)
             if allowed:
-                kept.append(at)
-            out.append((key[0], hit, at, allowed, wait))
-        kept = [x for x in kept if (x + self.window) // 1000 >= mark]  # what a later hit can still meet
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        for state, values in ((self.waiting, rest), (self.kept, [(x,) for x in kept])):
-            state.put(values) if values else state.clear()
-        if rest or kept:
-            wake = rest[0][0] // 1000 if rest else (kept[-1] + self.window) // 1000 + 1
-            self.handle.registerTimer(max(wake, mark + 1))
-        yield pd.DataFrame(out, columns=["key", "id", "at", "allowed", "retry_after"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        for part in rows:
-            waiting += list(zip(part["at"].tolist(), part["id"].tolist()))
-        yield from self._decide(key, waiting, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._decide(key, [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else [], timerValues)
-
-    def close(self) -> None:
-        pass
+                mine.append(at)
+            out.append((key, hit, at, allowed, wait))
+        held = [(x, key) for key, mine in kept.items() for x in mine if (x + window) // 1000 >= mark]  # what a later hit can still meet
+        if rest or held:
+            wakes = [rest[0][0] // 1000] if rest else []
+            wake = min([*wakes, *((x + window) // 1000 + 1 for x, _ in held)])
+            state.update(([x[0] for x in rest], [x[1] for x in rest], [x[2] for x in rest], [x[0] for x in held], [x[1] for x in held]))
+            state.setTimeoutTimestamp(max(wake - 1, mark, 1))  # it wakes once the watermark is beyond that
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "id", "at", "allowed", "retry_after"])
+
+    return decide
 
 
 def limited(rows: DataFrame, key: str, hit: str, at: str, seconds: int, most: int, delay: str = "2 hours") -> DataFrame:
     """Sliding-window rate limit of a stream by event time: key, id, at (microseconds), allowed, retry_after (seconds until the oldest
     allowed hit leaves the window; 0 if allowed). Rejected hits do not count. A hit is decided once the watermark has
     passed it, in order of time and then id, whatever order and trigger it came in; hits behind the watermark are dropped.
-    An event-time timer wakes a key, and a key whose window has passed holds no state. Of a hot key a trigger's hits are held by one task."""
+    An event-time timeout wakes a bucket of keys, and a key whose window has passed holds no state. State comes and goes with the
+    rows. Of a bucket a trigger's hits are held by one task."""
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = rows.schema[key].dataType.simpleString()
-    hits = rows.withWatermark(at, delay).select(F.col(key).alias("key"), F.col(hit).cast("long").alias("id"), F.unix_micros(at).alias("at"), F.col(at))
-    return hits.groupBy("key").transformWithStateInPandas(_Limiter(seconds, most), f"key {kind}, id bigint, at bigint, allowed boolean, retry_after bigint", "append", "eventTime")
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+    hits = rows.withWatermark(at, delay).select(bucket, F.col(key).cast("string").alias("key"), F.col(hit).cast("long").alias("id"), F.unix_micros(at).alias("at"), F.col(at))
+    out, kept = "key string, id bigint, at bigint, allowed boolean, retry_after bigint", "ats array<bigint>, ids array<bigint>, keys array<string>, kept_ats array<bigint>, kept_keys array<string>"
+    found = hits.groupBy("bucket").applyInPandasWithState(_limiter(seconds, most), out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("key", F.col("key").cast(kind))
